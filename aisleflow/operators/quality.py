@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aisleflow.operators.quantiles import quantile_columns
@@ -80,9 +80,16 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     return basic.withColumn("_q", all_q).select(*basic.columns, "_q.*")
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both sides are present; NULL when one does not vary."""
+    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 1e-12, F.try_divide(F.covar_pop(x, y), spread))
+
+
 def corr_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation with the target, pairwise NULLs skipped, long form."""
-    pairs = [F.corr(F.when(F.col(target).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(target))).alias(c) for c in cols]
+    pairs = [safe_corr(F.col(c), F.col(target)).alias(c) for c in cols]
     return df.agg(*pairs).unpivot([], list(cols), "feature", "corr")
 
 
@@ -91,7 +98,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for i, a in enumerate(cols):
         for b in cols[i:]:
             pairs.append((a, b))
-            aggs.append(F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))).alias(f"_{len(aggs)}"))
+            aggs.append(safe_corr(F.col(a), F.col(b)).alias(f"_{len(aggs)}"))
     one = df.agg(*aggs)
     cells = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
     return one.select(F.inline(F.array(*cells)))

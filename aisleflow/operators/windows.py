@@ -36,7 +36,7 @@ def roll_std(col: str, width: int, key: str = "series_id", order: str = "date")
 
 
 def roll_median(col: str, width: int, key: str = "series_id", order: str = "date") -> Column:
-    return _past(col, width, F.median, key, order)
+    return _past(col, width, lambda c: F.percentile(c, F.lit(0.5)), key, order)
 
 
 def smooth(col: str, width: int, key: str = "series_id", order: str = "date") -> Column:
@@ -50,6 +50,12 @@ def expanding_quantile(col: str, p: float, key: str = "series_id", order: str =
     return F.percentile(F.col(col), F.lit(p)).over(frame)
 
 
+def expanding_quantiles(col: str, probs: Sequence[float], key: str = "series_id", order: str = "date") -> Column:
+    """Array of exact quantiles of all strictly earlier rows, from one running histogram."""
+    frame = series_window(key, order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])).over(frame)
+
+
 def expanding_median(col: str, key: str = "series_id", order: str = "date") -> Column:
     return expanding_quantile(col, 0.5, key, order)
 

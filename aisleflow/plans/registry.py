@@ -25,7 +25,7 @@ def _fields(out: str) -> list[tuple[str, str]]:
 def guard(digits: int) -> float:
     """Small offset added before rounding. Exact halves (money divided by a small count) then
     round up in every engine instead of depending on the last bit of the quotient."""
-    return float(f"1.7e-{digits + 2}")
+    return float(f"1.7320508e-{digits + 2}")
 
 
 def _spark_column(name: str, kind: str) -> Column:

@@ -105,7 +105,7 @@ CTES: dict[str, tuple[str, str]] = {
     ),
     "traffic": (
         "",
-        """SELECT DATE '1995-01-01' + CAST(event_id % 2404 AS INT) AS date, event_type AS traffic_source,
+        """SELECT DATE '1995-01-01' + CAST(((event_id % 49999) * (event_id % 49999) + user_id * 131) % 2404 AS INT) AS date, event_type AS traffic_source,
              CAST(COUNT(*) AS DOUBLE) AS sessions, CAST(COUNT(DISTINCT user_id) AS DOUBLE) AS unique_visitors,
              CAST(SUM(CAST(json_extract_string(props, '$.k') AS INT)) AS DOUBLE) AS page_views,
              AVG(CASE WHEN value < 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS bounce_rate,
@@ -114,8 +114,8 @@ CTES: dict[str, tuple[str, str]] = {
     ),
     "components": (
         "revenue",
-        """SELECT series_id, date, actual, ROUND(last_year + 1.7e-4::DOUBLE, 2) AS last_year, ROUND(recent + 1.7e-4::DOUBLE, 2) AS recent,
-             ROUND(weekday + 1.7e-4::DOUBLE, 2) AS weekday, ROUND(level + 1.7e-4::DOUBLE, 2) AS level
+        """SELECT series_id, date, actual, ROUND(last_year + 1.7320508e-4::DOUBLE, 2) AS last_year, ROUND(recent + 1.7320508e-4::DOUBLE, 2) AS recent,
+             ROUND(weekday + 1.7320508e-4::DOUBLE, 2) AS weekday, ROUND(level + 1.7320508e-4::DOUBLE, 2) AS level
            FROM (SELECT series_id, date, revenue AS actual, LAG(revenue, 364) OVER w AS last_year,
              CASE WHEN COUNT(revenue) OVER w28 = 28 THEN AVG(revenue) OVER w28 END AS recent,
              (LAG(revenue, 7) OVER w + LAG(revenue, 14) OVER w + LAG(revenue, 21) OVER w + LAG(revenue, 28) OVER w

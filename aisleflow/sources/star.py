@@ -226,7 +226,7 @@ class Star:
         """Traffic per day and source; events are spread over the order calendar by id."""
         e = self.table("events")
         return e.groupBy(
-            F.date_add(F.lit(ORIGIN).cast("date"), (F.col("event_id") % SPAN_DAYS).cast("int")).alias("date"),
+            F.date_add(F.lit(ORIGIN).cast("date"), (((F.col("event_id") % 49999) * (F.col("event_id") % 49999) + F.col("user_id") * 131) % SPAN_DAYS).cast("int")).alias("date"),
             F.col("event_type").alias("traffic_source"),
         ).agg(
             F.count(F.lit(1)).cast("double").alias("sessions"),
@@ -260,5 +260,5 @@ class Star:
         )
         names = ["last_year", "recent", "weekday", "level"]
         return wide.where("date >= date'1998-01-01'").select(
-            "series_id", "date", "actual", *[F.round(F.col(n) + 1.7e-4, 2).alias(n) for n in names]
+            "series_id", "date", "actual", *[F.round(F.col(n) + 1.7320508e-4, 2).alias(n) for n in names]
         )
