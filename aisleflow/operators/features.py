@@ -223,8 +223,8 @@ def base_pred_features(df: DataFrame, key: str = "series_id") -> DataFrame:
 
 
 # Weights of promotion phase, campaign and memory in the scaling context.
-PHASE_WEIGHTS = {"peak": 0.15, "last7": 0.10, "first7": 0.05}
-CAMPAIGN_WEIGHT, MEMORY_WEIGHT = 0.25, 0.20
+PHASE_WEIGHTS = {"peak": 0.20, "last7": 0.10, "first7": 0.05}
+CAMPAIGN_WEIGHT, MEMORY_WEIGHT = 0.15, 0.20
 
 
 def scaling_context(df: DataFrame, intensity_scale: Column, strengths: dict[str, Column]) -> DataFrame:

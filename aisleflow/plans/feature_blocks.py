@@ -408,7 +408,7 @@ def stock_interactions(s):
     "date:d campaign_signal:6 normalized_promo_intensity:6 memory_signal:6 effective_prob:6",
     sql(
         "scored v2",
-        """SELECT date, campaign_signal, GREATEST(0, LEAST(1.5, norm * (1 + 0.15 * peak + 0.10 * last7 + 0.05 * first7) * (1 + 0.25 * campaign_signal))) AS normalized_promo_intensity, memory_signal,
+        """SELECT date, campaign_signal, GREATEST(0, LEAST(1.5, norm * (1 + 0.20 * peak + 0.10 * last7 + 0.05 * first7) * (1 + 0.15 * campaign_signal))) AS normalized_promo_intensity, memory_signal,
              GREATEST(0, LEAST(1, spike_prob * (1 + 0.20 * memory_signal))) AS effective_prob
            FROM (SELECT s.date, s.spike_prob, CAST(s.promo_day_number > 0 AND s.promo_day_number <= 7 AS INT) AS first7, CAST(s.promo_days_remaining BETWEEN 0 AND 6 AND s.any_promo > 0 AS INT) AS last7,
              CAST(s.promo_progress_ratio BETWEEN 0.3::DOUBLE AND 0.7::DOUBLE AND s.any_promo > 0 AS INT) AS peak, GREATEST(0, LEAST(1.5, """
