@@ -143,6 +143,7 @@ def row_mean(cols: Sequence) -> Column:
 
 
 def row_max(cols: Sequence) -> Column:
+    """Largest present value; NULL only when all are missing."""
     return F.greatest(*[_c(c) for c in cols])
 
 
@@ -159,7 +160,7 @@ def weighted_avg(pairs: Sequence[tuple[float, object]]) -> Column:
 
 # -- transforms --------------------------------------------------------------
 def log_ratio(n, d, floor: float = 1e-6) -> Column:
-    return F.log(F.greatest(_c(n) / _c(d), F.lit(floor)))
+    return F.log(clip(_c(n) / _c(d), lo=floor))
 
 
 def seasonal_phase(day, period: float = 365.0) -> tuple[Column, Column]:

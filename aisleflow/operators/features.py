@@ -198,7 +198,7 @@ def union_features(df: DataFrame) -> DataFrame:
 
 def predicted_orders_features(df: DataFrame, col: str = "predicted_orders") -> DataFrame:
     return df.select(
-        "*", F.log1p(F.greatest(c(col), F.lit(0.0))).alias(f"{col}_log1p"), product(col, "avg_discount_value"), product(col, "any_promo"), product(col, "day_of_week")
+        "*", F.log1p(clip(col, lo=0)).alias(f"{col}_log1p"), product(col, "avg_discount_value"), product(col, "any_promo"), product(col, "day_of_week")
     )
 
 

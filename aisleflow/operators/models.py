@@ -132,23 +132,23 @@ def conformal_quantile(df: DataFrame, calib: Column, by: Sequence[str], alphas:
     """Mean forecast plus the residual quantile of its regime on the calibration rows."""
     res = df.where(calib).groupBy(*by).agg(F.percentile(F.col("actual") - F.col("predicted"), F.array(*[F.lit(a) for a in alphas])).alias("_q"))
     j = df.where(~calib).join(res, list(by), "left")
-    return j.select(*df.columns, *[F.greatest(F.lit(0.0), F.col("predicted") + F.col("_q")[i]).alias(f"q{round(a * 100)}") for i, a in enumerate(alphas)])
+    return j.select(*df.columns, *[clip(F.col("predicted") + F.col("_q")[i], lo=0).alias(f"q{round(a * 100)}") for i, a in enumerate(alphas)])
 
 
 def ratio_targets(df: DataFrame, label: str, baseline: str) -> DataFrame:
     """target_ratio and its log; rows need a positive baseline."""
     r = F.when(F.col(baseline) > 0, F.col(label) / F.col(baseline))
-    return df.select("*", r.alias("target_ratio"), F.log(F.greatest(r, F.lit(1e-6))).alias("target_log_ratio"))
+    return df.select("*", r.alias("target_ratio"), F.log(clip(r, lo=1e-6)).alias("target_log_ratio"))
 
 
 def from_ratio(baseline: str, ratio: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(0.0), F.col(baseline) * clip(ratio, lo, hi))
+    return clip(F.col(baseline) * clip(ratio, lo, hi), lo=0)
 
 
 def compose(orders: Column, aov: Column, shape: Column | None = None) -> Column:
     """Orders x order value; with a shape forecast 0.70 / 0.30 stabilised."""
-    raw = F.greatest(F.lit(0.0), orders * aov)
-    return raw if shape is None else F.greatest(F.lit(0.0), 0.70 * raw + 0.30 * F.coalesce(shape, raw))
+    raw = clip(orders * aov, lo=0)
+    return raw if shape is None else clip(0.70 * raw + 0.30 * F.coalesce(shape, raw), lo=0)
 
 
 # -- pyspark.ml models ------------------------------------------------------------------

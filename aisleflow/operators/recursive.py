@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aisleflow.functions.scalars import clip
+
 
 def lag_of(hist: Column, k: int) -> Column:
     """Value ``k`` days before the next day; NULL when the history is shorter."""
@@ -53,7 +55,7 @@ def fold_forecast(
     start = F.struct(F.col("_h").alias("h"), F.array().cast("array<struct<date:date,p:double>>").alias("out"))
 
     def merge(acc, row):
-        p = F.greatest(F.lit(0.0), step(acc["h"], row))
+        p = clip(step(acc["h"], row), lo=0)
         grown = F.concat(acc["h"], F.array(p))
         return F.struct(
             F.slice(grown, F.greatest(F.lit(1), F.size(grown) - keep + 1), F.lit(keep)).alias("h"),
@@ -65,14 +67,19 @@ def fold_forecast(
 
 
 def recursive_linear(history: DataFrame, future: DataFrame, value: str, keys: Sequence[str], models: DataFrame, inputs: Sequence[tuple[str, int]]) -> DataFrame:
-    """Recursive forecast of a fitted linear model whose inputs are ("lag", k) or ("mean", width)."""
+    """Recursive forecast of a fitted linear model whose inputs are ("lag", k) or ("mean", width). An
+    input the history is too short for takes the model's ``fill`` value (e.g. a training median), or 0."""
+    if "fill" not in models.columns:
+        models = models.withColumn("fill", F.array_repeat(F.lit(0.0), len(inputs)))
+
     def step(hist, row):
         out = F.get("coef", F.lit(0))
         for i, (kind, n) in enumerate(inputs, 1):
-            out = out + F.get("coef", F.lit(i)) * (lag_of(hist, n) if kind == "lag" else mean_of(hist, n))
+            x = lag_of(hist, n) if kind == "lag" else mean_of(hist, n)
+            out = out + F.get("coef", F.lit(i)) * F.coalesce(x, F.get("fill", F.lit(i - 1)))
         return out
 
-    return fold_forecast(history, future, value, keys, step, models.select(*keys, "coef"))
+    return fold_forecast(history, future, value, keys, step, models.select(*keys, "coef", "fill"))
 
 
 def adaptive_weight(lag7_ratio: Column, volatility: Column, lag365_ratio: Column, threshold: Column, base: float) -> Column:

@@ -192,7 +192,7 @@ def robust_baseline(history: DataFrame, targets: DataFrame, value: str, campaign
     t = targets.withColumn("_m", F.month("date")).withColumn("_p", F.col("any_promo") > 0)
     t = t.join(month, [key, "_m", "_p"], "left").join(per_campaign, key, "left").join(recent, key, "left")
     by_campaign = [F.when(F.col(c) > 0, F.col(f"_c_{c}")) for c in campaigns]
-    out = F.greatest(F.lit(0.0), F.coalesce(*by_campaign, "_month", "_recent"))
+    out = clip(F.coalesce(*by_campaign, "_month", "_recent"), lo=0)
     return t.select(*targets.columns, out.alias("baseline"))
 
 

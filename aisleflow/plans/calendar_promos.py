@@ -8,7 +8,7 @@ from aisleflow.functions import calendar as cal
 from aisleflow.functions.scalars import log_ratio, month_label, seasonal_phase, weekday_name
 from aisleflow.operators import promos as pr
 from aisleflow.operators.joins import expand_intervals
-from aisleflow.plans.registry import query
+from aisleflow.plans.registry import kept, query
 from aisleflow.plans.sqlbase import cte, sql
 
 cte(
@@ -88,10 +88,12 @@ def active_days(s):
     return days_of(s, pr.prepare_promotions(s.promotions()))
 
 
+@kept
 def known_calendar(s):
     return pr.promo_known(days_of(s, promo_table(s)), s.spine())
 
 
+@kept
 def phase_calendar(s):
     return pr.promo_phase(active_days(s), s.spine())
 

@@ -8,7 +8,7 @@ from aisleflow.functions.scalars import div_zero
 from aisleflow.operators import aggregates as agg
 from aisleflow.operators.joins import assert_unique
 from aisleflow.operators.windows import forward_fill
-from aisleflow.plans.registry import query
+from aisleflow.plans.registry import kept, query
 from aisleflow.plans.sqlbase import cte, sql
 
 SOURCES = ["click", "error", "purchase", "signup", "view"]
@@ -104,7 +104,7 @@ def daily_traffic_wide(s):
 
 @query("inventory_snapshot_totals", "date:d " + SNAP_OUT, sql("snaps", "SELECT * FROM snaps"))
 def inventory_snapshot_totals(s):
-    return agg.snapshot_aggregate(s.inventory())
+    return s.snapshots()
 
 
 STOCK_OUT = (
@@ -126,7 +126,7 @@ cte(
 
 @query("stock_snapshot_signals", "date:d " + STOCK_OUT, sql("stock", "SELECT * FROM stock"))
 def stock_snapshot_signals(s):
-    return agg.stock_snapshot_features(s.inventory())
+    return s.stock_signals()
 
 
 @query(
@@ -237,6 +237,7 @@ FUNNEL_OUT = (
 )
 
 
+@kept
 def funnel(s):
     """Daily fact with traffic and funnel ratios."""
     web = agg.daily_traffic(s.traffic()).select("date", "web_sessions", "web_page_views")
@@ -259,7 +260,7 @@ def funnel_ratios(s):
     ),
 )
 def inventory_on_calendar(s):
-    snaps = agg.snapshot_aggregate(s.inventory())
+    snaps = s.snapshots()
     aligned = s.spine().join(snaps, "date", "left").withColumn("series_id", F.lit("total"))
     return forward_fill(aligned, SNAP_COLS)
 
@@ -284,7 +285,7 @@ def inventory_on_calendar(s):
 def daily_funnel_table(s):
     """Star join on date: each input is already one row per day, so all joins share one key."""
     out = funnel(s)
-    snaps = agg.snapshot_aggregate(s.inventory()).select("date", "inventory_stock_on_hand")
+    snaps = s.snapshots().select("date", "inventory_stock_on_hand")
     stock = forward_fill(s.spine().join(snaps, "date", "left").withColumn("series_id", F.lit("total")), ["inventory_stock_on_hand"])
     parts = [
         agg.daily_order_level(s.lines()).select("date", "promo_orders"),

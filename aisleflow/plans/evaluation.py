@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import weights_json_column
+from aisleflow.functions import scalars as fx
 from aisleflow.operators import blend as bl
 from aisleflow.operators import features as ft
 from aisleflow.operators import metrics as mt
@@ -315,7 +315,7 @@ def ensemble_weight_grid(s):
 def ensemble_best_weights(s):
     b = bl.best_weights(bl.grid_search(s.components(), MODELS, ["series_id"]), ["series_id"], 4)
     pairs = F.array(*[F.struct(F.lit(m).alias("name"), F.col(f"w{i}").alias("weight")) for i, m in enumerate(MODELS, 1)])
-    return b.withColumn("weights_json", weights_json_column(pairs))
+    return b.withColumn("weights_json", fx.weights_json_column(pairs))
 
 
 @query(
@@ -463,7 +463,7 @@ def scaled_forecast(s):
     """The chosen configuration applied to the forecast; revenue and COGS scale together."""
     best = bl.pick(scale_results(s).withColumn("_one", F.lit(1)), ["_one"], [F.round("rmse", 6), F.col("config_id")]).select("config_id")
     g = bl.with_grid(scaling_inputs(s), CONFIGS).join(best, "config_id", "left_semi").withColumn("scale", bl.scale_expr())
-    return g.select("date", "config_id", "scale", F.greatest(F.lit(0.0), F.col("base_pred") * F.col("scale")).alias("revenue"), F.greatest(F.lit(0.0), F.col("base_pred") * 0.89 * F.col("scale")).alias("cogs"))
+    return g.select("date", "config_id", "scale", fx.clip(F.col("base_pred") * F.col("scale"), lo=0).alias("revenue"), fx.clip(F.col("base_pred") * 0.89 * F.col("scale"), lo=0).alias("cogs"))
 
 
 META_CLIPS = [{"clip_name": n, "clip_lo": a, "clip_hi": b} for n, a, b in (("tight", 0.97, 1.12), ("medium", 0.95, 1.15), ("wide", 0.93, 1.18), ("conservative", 0.98, 1.10))]
@@ -599,7 +599,7 @@ cte("changes", "catalog", "SELECT *, CASE WHEN ABS(anchor) > 1e-9 THEN (predicte
 def catalog(s):
     g = bl.with_grid(anchored(s), CATALOG)
     mix = bl.total([F.col(f"w_{m}") * F.col(m) for m in ("anchor", "recent", "weekday")])
-    return g.withColumn("predicted", F.greatest(F.lit(0.0), mix * F.col("scale")))
+    return g.withColumn("predicted", fx.clip(mix * F.col("scale"), lo=0))
 
 
 @query(

@@ -14,7 +14,7 @@ from aisleflow.operators import stock as st
 from aisleflow.operators import windows as win
 from aisleflow.plans.calendar_promos import CAL_OUT, CALF_OUT, CAMPAIGNS, PHASE_OUT, active_days, calendar, known_calendar, phase_calendar
 from aisleflow.plans.daily_facts import SNAP_COLS, SNAP_OUT, funnel
-from aisleflow.plans.registry import query
+from aisleflow.plans.registry import kept, query
 from aisleflow.plans.series_windows import dense_traffic, lagged, strict, traffic_table
 from aisleflow.plans.sqlbase import cte, sql
 
@@ -28,7 +28,7 @@ CUTD = "DATE '1999-12-31'"
     sql("calendar pphase snaps", "SELECT c.*, p.* EXCLUDE (date), " + ", ".join(f"COALESCE(a.{x}, 0) AS {x}" for x in SNAP_COLS) + " FROM calendar c JOIN pphase p USING (date) ASOF LEFT JOIN snaps a ON c.date >= a.date"),
 )
 def static_context(s):
-    stock = jn.asof_backward(s.spine(), agg.snapshot_aggregate(s.inventory()), SNAP_COLS).drop("asof_date")
+    stock = jn.asof_backward(s.spine(), s.snapshots(), SNAP_COLS).drop("asof_date")
     return calendar(s).join(phase_calendar(s), "date").join(stock, "date").na.fill(0)
 
 
@@ -47,6 +47,7 @@ cte("past_q", "revenue", "SELECT date, " + ", ".join(f"QUANTILE_CONT(revenue, 0.
 cte("btab", "hist calendar pknown past_q", "SELECT h.*, c.* EXCLUDE (date), p.* EXCLUDE (date), q.* EXCLUDE (date) FROM hist h JOIN calendar c USING (date) JOIN pknown p USING (date) JOIN past_q q USING (date)")
 
 
+@kept
 def base_table(s):
     """Revenue history with calendar and known promotions, one row per day."""
     return ft.revenue_history(s.revenue()).join(calendar(s), "date").join(known_calendar(s), "date")
@@ -103,6 +104,7 @@ cte(
 V2_OUT = " ".join(f"z_{k}_{w}:6" for k, w in ZS) + " " + " ".join(f"lag{k}_above_p{q}:i" for k, q in ABOVE) + " momentum_7_30:4 momentum_14_60:4 momentum_30_90:4 momentum_ratio_7_30:1 " + " ".join("_x_".join(p) + ":4" for p in V2_X)
 
 
+@kept
 def spike_table(s):
     return ft.spike_v2(ft.spike_v1(base_table(s)))
 
@@ -215,7 +217,7 @@ ML, MW = [7, 14, 30, 365], [7, 30]
     sql("daily", metric_sql("orders_count", "orders", ML, MW, "daily")),
 )
 def orders_history(s):
-    return ft.metric_history(s.daily().select("series_id", "date", "orders_count"), "orders_count", "orders", ML, MW)
+    return ft.metric_history(s.order_series().select("series_id", "date", "orders_count"), "orders_count", "orders", ML, MW)
 
 
 @query(
@@ -281,7 +283,7 @@ def union_feature_table(s):
     drivers = ref.series_reference(f, f, "orders_count", "orders").join(
         f.select("date", win.lag("aov", 365).alias("aov_lag_365"), win.lag("orders_count", 365).alias("orders_lag_365")), "date"
     ).select("date", "orders_same_day_mean", "aov_lag_365", "orders_lag_365")
-    stock = jn.asof_backward(s.spine(), agg.stock_snapshot_features(s.inventory()), ["stock_pressure"]).drop("asof_date")
+    stock = jn.asof_backward(s.spine(), s.stock_signals(), ["stock_pressure"]).drop("asof_date")
     t = ft.revenue_history(s.revenue()).join(known_calendar(s), "date").join(traffic_table(s).select("date", "sessions_growth_3_14"), "date").join(drivers, "date").join(stock, "date")
     return ft.union_features(t)
 
@@ -291,7 +293,7 @@ cte("pred_orders", "daily", "SELECT series_id, date, ROUND(" + strict("orders_co
 
 def pred_orders(s):
     """A stand-in orders forecast: last week's mean."""
-    return s.daily().select("series_id", "date", F.round(win.roll_mean("orders_count", 7) + 1.7320508e-6, 4).alias("predicted_orders"))
+    return s.order_series().select("series_id", "date", F.round(win.roll_mean("orders_count", 7) + 1.7320508e-6, 4).alias("predicted_orders"))
 
 
 @query(
@@ -299,7 +301,7 @@ def pred_orders(s):
     "date:d predicted_orders:4 predicted_orders_log1p:6 predicted_orders_x_avg_discount_value:6 predicted_orders_x_any_promo:4 predicted_orders_x_day_of_week:4 orders_spike_flag:i orders_momentum_flag:i orders_high_flag:i",
     sql(
         "pred_orders pknown calendar",
-        f"""SELECT date, predicted_orders, LN(1 + GREATEST(predicted_orders, 0)) AS predicted_orders_log1p, predicted_orders * avg_discount_value AS predicted_orders_x_avg_discount_value,
+        f"""SELECT date, predicted_orders, CASE WHEN predicted_orders IS NOT NULL THEN LN(1 + GREATEST(predicted_orders, 0)) END AS predicted_orders_log1p, predicted_orders * avg_discount_value AS predicted_orders_x_avg_discount_value,
              predicted_orders * any_promo AS predicted_orders_x_any_promo, predicted_orders * day_of_week AS predicted_orders_x_day_of_week, {gt('l7', '1.2::DOUBLE * m30')} AS orders_spike_flag, {gt('l1', 'l7')} AS orders_momentum_flag,
              {gt('l7', "(SELECT QUANTILE_CONT(predicted_orders, 0.8) FROM pred_orders WHERE date < DATE '2000-01-01')")} AS orders_high_flag
            FROM (SELECT *, {lagged('predicted_orders', 1)} AS l1, {lagged('predicted_orders', 7)} AS l7, {strict('predicted_orders', 30)} AS m30 FROM pred_orders) JOIN pknown USING (date) JOIN calendar USING (date)""",
@@ -338,7 +340,7 @@ def forecast_safe_table(s):
     """Lag first, then drop every same-day realised column, then keep complete rows."""
     t = win.add_lag_grid(s.daily(), ["orders_count", "quantity"], [7, 30], [30])
     t = drop_unsafe(t, SAME_DAY).join(ft.revenue_history(s.revenue()).drop("series_id", "revenue"), "date")
-    stock = jn.asof_backward(s.spine(), agg.snapshot_aggregate(s.inventory()), ["inventory_stock_on_hand"]).drop("asof_date").na.fill(0)
+    stock = jn.asof_backward(s.spine(), s.snapshots(), ["inventory_stock_on_hand"]).drop("asof_date").na.fill(0)
     t = t.join(calendar(s), "date").join(known_calendar(s).select("date", "avg_discount_value"), "date").join(stock, "date")
     return complete_cases(t, ["revenue_lag_365", "orders_count_roll_mean_30"])
 
@@ -353,6 +355,7 @@ cte(
 )
 
 
+@kept
 def scored(s):
     """Naive forecasts with promotions and a rule-based spike probability (rank of last year)."""
     promo = known_calendar(s).select("date", "any_promo", "avg_discount_value", "active_promo_count", "promo_progress_ratio", "promo_days_remaining", "promo_day_number", *CAMPAIGNS)
@@ -386,9 +389,10 @@ STOCK_X = [("low_stock", "base_pred"), ("stock_pressure", "base_pred"), ("stocko
 STOCK_CTX = ["inv_avg_days_of_supply", "stock_pressure", "stockout_pressure", "restock_signal", "stock_build_up"]
 
 
+@kept
 def stock_scored(s):
     """Scored forecasts with stock flags; thresholds come from the training period only."""
-    stock = jn.asof_backward(s.spine(), agg.stock_snapshot_features(s.inventory()), STOCK_CTX).drop("asof_date").na.fill(0)
+    stock = jn.asof_backward(s.spine(), s.stock_signals(), STOCK_CTX).drop("asof_date").na.fill(0)
     d = scored(s).join(stock, "date").withColumn("campaign_active", sum((F.col(x) for x in CAMPAIGNS), F.lit(0)))
     limits = st.stock_thresholds(d.where("date <= date'1999-12-31'"), ["series_id"])
     return st.stock_flags(d.join(limits, "series_id"))

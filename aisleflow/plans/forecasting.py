@@ -18,7 +18,7 @@ from aisleflow.plans.daily_facts import funnel
 from aisleflow.plans.evaluation import BASIC_OUT, M_SQL, drivers
 from aisleflow.plans.feature_blocks import scored
 from aisleflow.plans.lookups import _back, _wavg, seasonal_table
-from aisleflow.plans.registry import query
+from aisleflow.plans.registry import kept, query
 from aisleflow.plans.series_windows import FEATURES, importance, lagged, strict
 from aisleflow.plans.sqlbase import cte, sql
 
@@ -39,6 +39,7 @@ cte("phist", "panel", f"SELECT series_id, date, revenue, cogs, {lagged('revenue'
 cte("pfit", "phist", ridge_sql("phist", "series_id", "revenue", "lag_7", "mean_30", 10, f"date <= {CUT}"))
 
 
+@kept
 def panel_history(s):
     p = s.panel().select("series_id", "date", "revenue", "cogs")
     return p.select("*", win.lag("revenue", 7).alias("lag_7"), win.roll_mean("revenue", 30).alias("mean_30"), win.lag("revenue", 365).alias("lag_365"), win.roll_mean("revenue", 365).alias("mean_365"))
@@ -162,9 +163,9 @@ cte("ohist", "daily", f"SELECT series_id, date, YEAR(date) AS fold, orders_count
 )
 def orders_out_of_fold(s):
     """Yearly folds: orders of each year predicted by a model of the years before."""
-    d = s.daily().select("series_id", "date", F.year("date").alias("fold"), F.col("orders_count").cast("double").alias("orders"), win.lag("orders_count", 7).alias("lag_7"), win.roll_mean("orders_count", 30).alias("mean_30"))
+    d = s.order_series().select("series_id", "date", F.year("date").alias("fold"), F.col("orders_count").cast("double").alias("orders"), win.lag("orders_count", 7).alias("lag_7"), win.roll_mean("orders_count", 30).alias("mean_30"))
     w = md.walk_forward(d, ["lag_7", "mean_30"], "orders", "fold", 5.0, "series_id", 200, "p", F.lit(None).cast("double"))
-    return w.where("p is not null").withColumn("predicted_orders", F.greatest(F.lit(0.0), "p"))
+    return w.where("p is not null").withColumn("predicted_orders", fx.clip("p", lo=0))
 
 
 WINDOWS = [{"train_window": "from_1995", "start": "1995-01-01"}, {"train_window": "from_1997", "start": "1997-01-01"}, {"train_window": "from_1999", "start": "1999-01-01"}]
@@ -225,7 +226,7 @@ def residual_model(s):
     d = s.components().withColumn("res", F.col("actual") - F.col("weekday"))
     m = md.fit_ridge(until_cut(d), ["last_year", "level"], "res", 10.0, ["series_id"])
     v = md.score(d.where("date > date'1999-12-31'"), m, ["last_year", "level"], ["series_id"], "residual_pred")
-    return v.select("date", F.col("weekday").alias("base"), "residual_pred", F.greatest(F.lit(0.0), F.col("weekday") + F.col("residual_pred")).alias("final_pred"))
+    return v.select("date", F.col("weekday").alias("base"), "residual_pred", fx.clip(F.col("weekday") + F.col("residual_pred"), lo=0).alias("final_pred"))
 
 
 @query(
@@ -252,7 +253,8 @@ cte(
 
 
 def _direct_sql(target, expr, lo, hi):
-    return f"SELECT d.date, d.baseline, GREATEST({lo}, LEAST({hi}, {expr})) AS ratio, GREATEST(0, d.baseline * GREATEST({lo}, LEAST({hi}, {expr}))) AS predicted FROM direct d JOIN m USING (series_id) WHERE d.date > {CUT}"
+    filled = ", ".join(f"COALESCE({c}, (SELECT MEDIAN({c}) FROM direct WHERE date <= {CUT})) AS {c}" for c in ("lag1_to_same_day", "lag1_to_lag2"))
+    return f"SELECT d.date, d.baseline, GREATEST({lo}, LEAST({hi}, {expr})) AS ratio, GREATEST(0, d.baseline * GREATEST({lo}, LEAST({hi}, {expr}))) AS predicted FROM (SELECT series_id, date, baseline, {filled} FROM direct) d JOIN m USING (series_id) WHERE d.date > {CUT}"
 
 
 @query(
@@ -269,7 +271,9 @@ def direct_ratio_forecast(s):
     """Long horizon without recursion: a seasonal baseline times a fitted ratio or log ratio."""
     feats = ["lag1_to_same_day", "lag1_to_lag2"]
     d = md.ratio_targets(seasonal_table(s), "revenue", "baseline")
-    train, ahead = until_cut(d), d.where("date > date'1999-12-31'")
+    train = until_cut(d)
+    # after the cutoff some references are unknown: training medians stand in
+    ahead = fx.apply_medians(d.where("date > date'1999-12-31'"), fx.fit_medians(train, feats, ["series_id"]), feats, ["series_id"])
     out = []
     for kind, target in (("ratio", "target_ratio"), ("log_ratio", "target_log_ratio")):
         raw = md.score(ahead, md.fit_ridge(train, feats, target, 10.0, ["series_id"]), feats, ["series_id"], "_r")
@@ -389,7 +393,7 @@ def orders_times_value(s):
 @query(
     "orders_from_conversion",
     "date:d predicted_conversion:6 predicted_orders:4",
-    sql("funnel", f"SELECT date, c AS predicted_conversion, c * s AS predicted_orders FROM (SELECT date, GREATEST(0, LEAST(1, {strict('conversion_rate', 30)})) AS c, {strict('web_sessions', 7)} AS s FROM funnel)"),
+    sql("funnel", f"SELECT date, c AS predicted_conversion, c * s AS predicted_orders FROM (SELECT date, CASE WHEN {strict('conversion_rate', 30)} IS NOT NULL THEN GREATEST(0, LEAST(1, {strict('conversion_rate', 30)})) END AS c, {strict('web_sessions', 7)} AS s FROM funnel)"),
 )
 def orders_from_conversion(s):
     """Forecast conversion (kept within 0..1) times forecast sessions, both from earlier days only."""
@@ -421,7 +425,7 @@ def order_value_ratio_forecast(s):
     g = d.select("date", "aov_lag_365", "m30", "m365", F.inline(clips))
     ratio = F.greatest("lo", F.least("hi", F.try_divide(F.col("m30"), F.col("m365"))))
     base = F.coalesce(F.when(F.col("aov_lag_365") != 0, F.col("aov_lag_365")), F.col("m365"))
-    return g.select("clip_name", "date", ratio.alias("ratio"), F.greatest(F.lit(0.0), ratio * base).alias("predicted_aov"))
+    return g.select("clip_name", "date", ratio.alias("ratio"), fx.clip(ratio * base, lo=0).alias("predicted_aov"))
 
 
 # -- preparation, importance and selection ---------------------------------------------------
@@ -474,9 +478,9 @@ def permutation_importance(s):
     "position:i feature:s",
     sql(
         "importance g",
-        """SELECT UNNEST(range(LEN(sel))) AS position, UNNEST(sel) AS feature FROM (SELECT LIST_REDUCE((SELECT LIST(feature ORDER BY importance DESC, feature) FROM importance), lambda acc, x:
-             CASE WHEN LEN(STRING_SPLIT(acc, ';')) >= 5 OR LEN(LIST_FILTER(STRING_SPLIT(acc, ';'), lambda k: COALESCE((SELECT MAP_FROM_ENTRIES(LIST((a || '|' || b, c))) FROM corr)[k || '|' || x], 0) >= 0.5)) > 0 THEN acc ELSE acc || ';' || x END) AS joined),
-             LATERAL (SELECT STRING_SPLIT(joined, ';') AS sel)""",
+        """SELECT UNNEST(range(LEN(sel))) AS position, UNNEST(sel) AS feature FROM (SELECT STRING_SPLIT(LIST_REDUCE(names, lambda acc, x:
+             CASE WHEN LEN(STRING_SPLIT(acc, ';')) >= 5 OR LEN(LIST_FILTER(STRING_SPLIT(acc, ';'), lambda k: COALESCE(m[k || '|' || x], 0) >= 0.5)) > 0 THEN acc ELSE acc || ';' || x END), ';') AS sel
+             FROM (SELECT (SELECT LIST(feature ORDER BY importance DESC, feature) FROM importance) AS names, (SELECT MAP(LIST(a || '|' || b ORDER BY a, b), LIST(c ORDER BY a, b)) FROM corr) AS m))""",
         corr=" SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ABS(CORR({a}, {b})) AS c FROM g" for a in FEATURES for b in FEATURES if a != b) + ")",
     ),
 )
@@ -501,7 +505,7 @@ def gbt_forecast(s):
     train = md.quantile_weights(until_cut(t), "revenue", ["series_id"])
     model = md.fit_gbt(train, ML_FEATURES, "revenue", "target_weight")
     v = model.transform(md.assembled(t.where("date > date'1999-12-31'"), ML_FEATURES))
-    return v.select("series_id", "date", F.col("revenue").alias("actual"), F.greatest(F.lit(0.0), "predicted").alias("predicted"))
+    return v.select("series_id", "date", F.col("revenue").alias("actual"), fx.clip("predicted", lo=0).alias("predicted"))
 
 
 @query("gbt_feature_importance", "feature:s importance:6")
@@ -548,4 +552,4 @@ def final_forecast(s):
     t = ref.year_references(ahead, r, "revenue", "lag")
     level = win.tail(r, 28).groupBy("series_id").agg(F.avg("revenue").alias("_level"))
     value = F.coalesce(fx.weighted_avg([(w, f"lag_{k}y") for k, w in ref.YEAR_WEIGHTS]), F.col("_level"))
-    return apply_cogs_ratio(t.join(level, "series_id").withColumn("revenue", F.greatest(F.lit(0.0), value))).select("date", "revenue", "cogs")
+    return apply_cogs_ratio(t.join(level, "series_id").withColumn("revenue", fx.clip(value, lo=0))).select("date", "revenue", "cogs")

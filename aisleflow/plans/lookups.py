@@ -13,7 +13,7 @@ from aisleflow.operators import references as ref
 from aisleflow.operators import stock as st
 from aisleflow.plans.calendar_promos import CAMPAIGNS, active_days, known_calendar
 from aisleflow.plans.daily_facts import SNAP_COLS, SNAP_OUT
-from aisleflow.plans.registry import query
+from aisleflow.plans.registry import kept, query
 from aisleflow.plans.series_windows import dense_traffic
 from aisleflow.plans.sqlbase import cte, sql
 
@@ -163,7 +163,7 @@ def cogs_ratio_recent(s):
     sql("spine snaps", "SELECT s.date, a.date AS asof_date, " + ", ".join(f"a.{c}" for c in SNAP_COLS) + " FROM spine s ASOF LEFT JOIN snaps a ON s.date >= a.date"),
 )
 def inventory_asof(s):
-    return jn.asof_backward(s.spine(), agg.snapshot_aggregate(s.inventory()), SNAP_COLS)
+    return jn.asof_backward(s.spine(), s.snapshots(), SNAP_COLS)
 
 
 @query(
@@ -186,7 +186,7 @@ def inventory_asof_per_unit(s):
                             ASOF LEFT JOIN (SELECT * FROM snaps WHERE date <= DATE '1999-12-31') a ON s.date >= a.date"""),
 )
 def inventory_asof_with_cutoff(s):
-    return jn.asof_backward(s.spine(), agg.snapshot_aggregate(s.inventory()), ["inventory_stock_on_hand", "inventory_fill_rate"], cutoff=cut())
+    return jn.asof_backward(s.spine(), s.snapshots(), ["inventory_stock_on_hand", "inventory_fill_rate"], cutoff=cut())
 
 
 MF = ["inventory_days_of_supply", "inventory_stockout_rate"]
@@ -205,7 +205,7 @@ MF = ["inventory_days_of_supply", "inventory_stockout_rate"]
 )
 def inventory_month_fallback(s):
     """Snapshots known from March 1997 to the cutoff; earlier days fall back to the month mean."""
-    snaps = agg.snapshot_aggregate(s.inventory()).where("date >= date'1997-03-01'").select("date", *MF)
+    snaps = s.snapshots().where("date >= date'1997-03-01'").select("date", *MF)
     return st.asof_month_fallback(s.spine(), snaps, MF, cut())
 
 
@@ -228,7 +228,7 @@ _known = "SELECT * FROM stock WHERE date <= DATE '1999-12-31'"
     ),
 )
 def stock_scenarios_known(s):
-    snaps = agg.stock_snapshot_features(s.inventory())
+    snaps = s.stock_signals()
     return st.stock_context(s.spine(), snaps, SF, cutoff=cut())
 
 
@@ -246,7 +246,7 @@ def stock_scenarios_known(s):
     ),
 )
 def stock_scenarios_updating(s):
-    return st.stock_context(s.spine(), agg.stock_snapshot_features(s.inventory()), SF)
+    return st.stock_context(s.spine(), s.stock_signals(), SF)
 
 
 # -- seasonal references ------------------------------------------------------------
@@ -350,6 +350,7 @@ cte(
 SEASONAL_OUT = "lag_1y:4 lag_2y:4 lag_3y:4 weighted_recent:3 same_month_mean:3 same_day_mean:3 same_campaign:4 baseline:3 lag1_to_lag2:6 lag1_to_same_day:6"
 
 
+@kept
 def seasonal_table(s):
     t = with_reference_end(s)
     flags = pr.campaign_flags(active_days(s), s.spine())
@@ -390,7 +391,7 @@ cte(
     ),
 )
 def orders_yearly_reference(s):
-    d = s.daily().select("series_id", "date", F.col("orders_count").cast("double").alias("orders_count"))
+    d = s.order_series().select("series_id", "date", F.col("orders_count").cast("double").alias("orders_count"))
     return ref.series_reference(d, d, "orders_count", "orders")
 
 
@@ -477,7 +478,7 @@ def seasonal_lookup(s):
     ),
 )
 def business_lag_lookup(s):
-    d = s.daily().select("series_id", "date", F.col("orders_count").cast("double").alias("orders_count"))
+    d = s.order_series().select("series_id", "date", F.col("orders_count").cast("double").alias("orders_count"))
     return ref.business_lag_lookup(d.where("date > date'1998-12-31'").select("series_id", "date"), d.where("date <= date'1998-09-30'"), "orders_count", "orders_lag_365", 1998)
 
 

@@ -66,6 +66,16 @@ def conform_sql(sql: str, out: str) -> str:
     return f"SELECT {cols}\nFROM (\n{sql.strip().rstrip(';')}\n) AS result"
 
 
+def kept(fn):
+    """Mark a shared daily-grain helper ``fn(star)``: built and persisted once per star."""
+
+    @wraps(fn)
+    def run(star) -> DataFrame:
+        return star.kept(fn.__name__, lambda: fn(star))
+
+    return run
+
+
 def query(name: str, out: str, sql: str | None = None):
     """Register ``fn(star) -> DataFrame`` under ``name``."""
 

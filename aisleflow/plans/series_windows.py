@@ -11,7 +11,7 @@ from aisleflow.operators import windows as win
 from aisleflow.operators.aggregates import daily_traffic_wide
 from aisleflow.operators.references import lead_lag_corr, traffic_features
 from aisleflow.plans.daily_facts import SOURCES, facts
-from aisleflow.plans.registry import query
+from aisleflow.plans.registry import kept, query
 from aisleflow.plans.sqlbase import cte, sql
 
 LAGS = [7, 14, 30, 60, 90, 180, 365]
@@ -57,11 +57,13 @@ TRAFFIC_OUT = " ".join(f"{n}:{2 if 'std' in n else 4}" for n in _T) + (
 )
 
 
+@kept
 def dense_traffic(s):
     """Wide traffic on every calendar day, so that row lags are day lags."""
     return s.spine().join(daily_traffic_wide(s.traffic(), SOURCES), "date", "left").na.fill(0).withColumn("series_id", F.lit("total"))
 
 
+@kept
 def traffic_table(s):
     return traffic_features(dense_traffic(s), SOURCES)
 

@@ -10,6 +10,8 @@ order in which partitions arrive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,20 @@ class Star:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A daily-grain frame that several parts of a query read. It is persisted, so the facts
+        behind it are scanned and reduced once; Spark rebuilds lost blocks from the lineage. Only
+        frames bounded by the calendar (times a few series) go through here."""
+        if name not in self._kept:
+            self._kept[name] = build().persist()
+        return self._kept[name]
+
+    def release(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -118,6 +134,9 @@ class Star:
 
     # -- daily series ------------------------------------------------------
     def sales(self) -> DataFrame:
+        return self.kept("sales", self._build_sales)
+
+    def _build_sales(self) -> DataFrame:
         """Daily revenue and COGS on the days that have orders (gaps kept)."""
         return self.product_day_facts().groupBy("date").agg(
             F.sum("net_value").cast("double").alias("revenue"),
@@ -125,6 +144,9 @@ class Star:
         )
 
     def revenue(self) -> DataFrame:
+        return self.kept("revenue", self._build_revenue)
+
+    def _build_revenue(self) -> DataFrame:
         """Dense daily revenue with a series key; days without orders are 0."""
         daily = self.lines().groupBy("date").agg(F.sum("net_value").cast("double").alias("revenue"))
         return (
@@ -139,7 +161,16 @@ class Star:
             F.countDistinct("customer_id").alias("unique_customers"),
         )
 
+    def order_series(self) -> DataFrame:
+        """Dense daily order and customer counts; reads the order table only."""
+        return self.kept(
+            "order_series", lambda: self.spine().join(self.order_days(), "date", "left").na.fill(0).withColumn("series_id", F.lit("total"))
+        )
+
     def daily(self) -> DataFrame:
+        return self.kept("daily", self._build_daily)
+
+    def _build_daily(self) -> DataFrame:
         """Dense daily fact: money, volume, orders. One row per calendar day."""
         items = self.product_day_facts().groupBy("date").agg(
             F.sum("net_value").cast("double").alias("revenue"),
@@ -159,6 +190,9 @@ class Star:
         )
 
     def panel(self, level: str = "segment") -> DataFrame:
+        return self.kept(f"panel_{level}", lambda: self._build_panel(level))
+
+    def _build_panel(self, level: str) -> DataFrame:
         """Dense daily revenue and COGS per member of a product level."""
         facts = self.product_day_facts().groupBy("date", F.col(level).alias("series_id")).agg(
             F.sum("net_value").cast("double").alias("revenue"),
@@ -222,6 +256,18 @@ class Star:
             (dos < 15).cast("int").alias("reorder_flag"),
         )
 
+    def snapshots(self) -> DataFrame:
+        """Stock totals and rates per snapshot date."""
+        from aisleflow.operators.aggregates import snapshot_aggregate
+
+        return self.kept("snapshots", lambda: snapshot_aggregate(self.inventory()))
+
+    def stock_signals(self) -> DataFrame:
+        """Operational stock signals per snapshot date."""
+        from aisleflow.operators.aggregates import stock_snapshot_features
+
+        return self.kept("stock_signals", lambda: stock_snapshot_features(self.inventory()))
+
     def traffic(self) -> DataFrame:
         """Traffic per day and source; events are spread over the order calendar by id."""
         e = self.table("events")
@@ -238,6 +284,9 @@ class Star:
 
     # -- naive forecasts used by evaluation, blending and scaling -----------
     def components(self) -> DataFrame:
+        return self.kept("components", self._build_components)
+
+    def _build_components(self) -> DataFrame:
         """date, actual and four naive forecasts from strictly earlier days (wide)."""
         from pyspark.sql import Window
 
