@@ -32,6 +32,20 @@ def prepare_promotions(promos: DataFrame) -> DataFrame:
     )
 
 
+def promo_intervals(promos: DataFrame, names: Sequence[str] = CAMPAIGN_NAMES) -> DataFrame:
+    """Promotions summed per distinct (start, end). Everything a calendar needs depends only on the
+    interval, so only distinct intervals are expanded into days, however many promotions there are.
+    Wants prepare_promotions; campaign_index is carried when present."""
+    disc, least_order, base = F.coalesce("discount_value", F.lit(0.0)), F.coalesce("min_order_value", F.lit(0.0)), F.lower("promo_name_base")
+    extra = [F.max("campaign_index").alias("campaign_index")] if "campaign_index" in promos.columns else []
+    return promos.groupBy("start_date", "end_date", "duration_days").agg(
+        F.countDistinct("promo_id").alias("promos"), F.count(F.lit(1)).alias("n"), F.sum(disc).alias("sum_discount"), F.max(disc).alias("max_discount"),
+        F.sum("stackable").alias("stackable"), F.max("category_specific").alias("category_specific"), F.sum("percentage_promo").alias("percentage_promo"),
+        F.sum("fixed_promo").alias("fixed_promo"), F.sum(least_order).alias("sum_min_order"),
+        *[F.max((base == n).cast("int")).alias(c) for n, c in zip(names, campaign_columns(names))], *extra,
+    )
+
+
 def promo_day_columns(days: DataFrame) -> DataFrame:
     """Position of each active day inside its promotion."""
     number = F.datediff("date", "start_date") + 1
@@ -48,17 +62,31 @@ def on_spine(daily: DataFrame, spine: DataFrame) -> DataFrame:
     return spine.select("date").join(daily, "date", "left").na.fill(0)
 
 
+def _mean(col: str) -> Column:
+    """Mean over promotions of a column that is constant within an interval."""
+    return F.sum(F.col("n") * F.col(col)) / F.sum("n")
+
+
 def _calendar_aggs() -> list[Column]:
     return [
-        F.countDistinct("promo_id").alias("active_promo_count"),
-        F.avg("discount_value").alias("avg_discount_value"),
-        F.max("discount_value").alias("max_discount_value"),
+        F.sum("promos").alias("active_promo_count"),
+        (F.sum("sum_discount") / F.sum("n")).alias("avg_discount_value"),
+        F.max("max_discount").alias("max_discount_value"),
         F.sum("stackable").alias("stackable_promo_count"),
-        F.max("stackable").alias("has_stackable_promo"),
+        F.max((F.col("stackable") > 0).cast("int")).alias("has_stackable_promo"),
         F.max("category_specific").alias("has_category_specific_promo"),
         F.sum("percentage_promo").alias("percentage_promo_count"),
         F.sum("fixed_promo").alias("fixed_promo_count"),
-        F.avg("min_order_value").alias("avg_min_order_value"),
+        (F.sum("sum_min_order") / F.sum("n")).alias("avg_min_order_value"),
+    ]
+
+
+def _edge_flags() -> list[Column]:
+    return [
+        F.max((F.col("day_number") <= 3).cast("int")).alias("is_first_3_days"),
+        F.max((F.col("days_remaining") <= 2).cast("int")).alias("is_last_3_days"),
+        F.max((F.col("day_number") <= 7).cast("int")).alias("is_first_7_days"),
+        F.max((F.col("days_remaining") <= 6).cast("int")).alias("is_last_7_days"),
     ]
 
 
@@ -67,28 +95,21 @@ def _any_flag(df: DataFrame) -> DataFrame:
 
 
 def promo_calendar(days: DataFrame, spine: DataFrame) -> DataFrame:
-    """Counts, discounts and kinds of the promotions active on each date; 0 without promotions."""
+    """Counts, discounts and kinds of the promotions active on each date; 0 without promotions.
+    ``days`` are the expanded promo_intervals."""
     return _any_flag(on_spine(days.groupBy("date").agg(*_calendar_aggs()), spine))
 
 
 def promo_phase(days: DataFrame, spine: DataFrame) -> DataFrame:
     """promo_calendar plus duration, position, first / last day flags, length classes, intensities."""
     d = promo_day_columns(days)
-    spread = [
-        agg(c).alias(f"{name}_{c}")
-        for c in ("duration_days", "day_number", "days_remaining", "progress")
-        for name, agg in (("avg", F.avg), ("min", F.min), ("max", F.max))
-    ]
-    flags = [
-        F.max((F.col("day_number") <= 3).cast("int")).alias("is_first_3_days"),
-        F.max((F.col("days_remaining") <= 2).cast("int")).alias("is_last_3_days"),
-        F.max((F.col("day_number") <= 7).cast("int")).alias("is_first_7_days"),
-        F.max((F.col("days_remaining") <= 6).cast("int")).alias("is_last_7_days"),
-        F.count_if(F.col("duration_days") <= 7).alias("short_promo_count"),
-        F.count_if(F.col("duration_days").between(8, 30)).alias("medium_promo_count"),
-        F.count_if(F.col("duration_days") > 30).alias("long_promo_count"),
-    ]
-    daily = _any_flag(on_spine(d.groupBy("date").agg(*_calendar_aggs(), *spread, *flags), spine))
+    spread = []
+    for c in ("duration_days", "day_number", "days_remaining", "progress"):
+        spread += [_mean(c).alias(f"avg_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    length = F.col("duration_days")
+    classes = {"short": length <= 7, "medium": length.between(8, 30), "long": length > 30}
+    counts = [F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(f"{k}_promo_count") for k, cond in classes.items()]
+    daily = _any_flag(on_spine(d.groupBy("date").agg(*_calendar_aggs(), *spread, *_edge_flags(), *counts), spine))
     base = F.col("avg_discount_value") * F.col("active_promo_count")
     return daily.select(
         "*",
@@ -100,29 +121,22 @@ def promo_phase(days: DataFrame, spine: DataFrame) -> DataFrame:
 
 def campaign_flags(days: DataFrame, spine: DataFrame, names: Sequence[str] = CAMPAIGN_NAMES) -> DataFrame:
     """One 0/1 column per campaign: is any promotion of that campaign active."""
-    base = F.lower("promo_name_base")
-    aggs = [F.max((base == n).cast("int")).alias(c) for n, c in zip(names, campaign_columns(names))]
-    return on_spine(days.groupBy("date").agg(*aggs), spine)
+    return on_spine(days.groupBy("date").agg(*[F.max(c).alias(c) for c in campaign_columns(names)]), spine)
 
 
 def promo_known(days: DataFrame, spine: DataFrame) -> DataFrame:
     """Compact calendar with mean phase, campaign flags and three interactions. ``days`` needs
     campaign_index."""
     d = promo_day_columns(days)
-    base = F.lower("promo_name_base")
     daily = d.groupBy("date").agg(
-        F.countDistinct("promo_id").alias("active_promo_count"),
-        F.avg("discount_value").alias("avg_discount_value"),
-        F.max("discount_value").alias("max_discount_value"),
-        F.sum("stackable").alias("stackable_promo_count"),
-        F.avg("duration_days").alias("promo_duration"),
-        F.avg("day_number").alias("promo_day_number"),
-        F.avg("progress").alias("promo_progress_ratio"),
-        F.avg("days_remaining").alias("promo_days_remaining"),
-        F.max((F.col("day_number") <= 7).cast("int")).alias("is_first_7_days"),
-        F.max((F.col("days_remaining") <= 6).cast("int")).alias("is_last_7_days"),
+        *_calendar_aggs()[:4],
+        _mean("duration_days").alias("promo_duration"),
+        _mean("day_number").alias("promo_day_number"),
+        _mean("progress").alias("promo_progress_ratio"),
+        _mean("days_remaining").alias("promo_days_remaining"),
+        *_edge_flags()[2:],
         F.max("campaign_index").alias("campaign_index"),
-        *[F.max((base == n).cast("int")).alias(c) for n, c in zip(CAMPAIGN_NAMES, campaign_columns())],
+        *[F.max(c).alias(c) for c in campaign_columns()],
     )
     out = _any_flag(on_spine(daily, spine))
     disc = F.col("avg_discount_value")
@@ -194,14 +208,9 @@ def future_promo_features(days: DataFrame, spine: DataFrame) -> DataFrame:
     d = promo_day_columns(days)
     daily = d.groupBy("date").agg(
         *_calendar_aggs()[:8],
-        F.avg("duration_days").alias("avg_duration_days"), F.max("duration_days").alias("max_duration_days"),
-        F.avg("day_number").alias("avg_day_number"), F.avg("days_remaining").alias("avg_days_remaining"),
-        F.avg("progress").alias("avg_progress_ratio"),
-        F.max((F.col("day_number") <= 3).cast("int")).alias("is_first_3_days"),
-        F.max((F.col("days_remaining") <= 2).cast("int")).alias("is_last_3_days"),
-        F.max((F.col("day_number") <= 7).cast("int")).alias("is_first_7_days"),
-        F.max((F.col("days_remaining") <= 6).cast("int")).alias("is_last_7_days"),
-        F.max("campaign_index").alias("campaign_index"),
+        _mean("duration_days").alias("avg_duration_days"), F.max("duration_days").alias("max_duration_days"),
+        _mean("day_number").alias("avg_day_number"), _mean("days_remaining").alias("avg_days_remaining"),
+        _mean("progress").alias("avg_progress_ratio"), *_edge_flags(), F.max("campaign_index").alias("campaign_index"),
     )
     out = _any_flag(on_spine(daily, spine))
     return out.select("date", *[F.col(c).alias(f"future_{c}") for c in out.columns if c != "date"])

@@ -85,12 +85,12 @@ def days_of(s, promos, lo=None, hi=None):
 
 
 def active_days(s):
-    return days_of(s, pr.prepare_promotions(s.promotions()))
+    return days_of(s, pr.promo_intervals(pr.prepare_promotions(s.promotions())))
 
 
 @kept
 def known_calendar(s):
-    return pr.promo_known(days_of(s, promo_table(s)), s.spine())
+    return pr.promo_known(days_of(s, pr.promo_intervals(promo_table(s))), s.spine())
 
 
 @kept
@@ -151,7 +151,7 @@ def calendar_labels(s):
     sql("pdays", "SELECT * FROM pdays"),
 )
 def promotion_days(s):
-    return pr.promo_day_columns(active_days(s))
+    return pr.promo_day_columns(days_of(s, pr.prepare_promotions(s.promotions())))
 
 
 @query("promo_calendar", "date:d " + CAL_OUT, sql("pcal", "SELECT * FROM pcal"))
@@ -277,7 +277,7 @@ FUTURE_EXPR = CAL_AGGS + """, AVG(duration_days) AS avg_duration_days, MAX(durat
 def future_promo_features(s):
     """548 future days described by the projected promotions."""
     lo, hi = "2002-01-01", "2003-07-02"
-    days = days_of(s, projected(s), F.lit(lo).cast("date"), F.lit(hi).cast("date"))
+    days = days_of(s, pr.promo_intervals(projected(s)), F.lit(lo).cast("date"), F.lit(hi).cast("date"))
     return pr.future_promo_features(days, cal.date_spine(s.spark, lo, hi))
 
 

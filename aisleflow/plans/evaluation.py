@@ -14,7 +14,7 @@ from aisleflow.plans.calendar_promos import known_calendar
 from aisleflow.plans.daily_facts import funnel
 from aisleflow.plans.feature_blocks import pred_orders, scored, spike_table, stock_scored
 from aisleflow.plans.lookups import _back, _wavg
-from aisleflow.plans.registry import query
+from aisleflow.plans.registry import kept, query
 from aisleflow.plans.series_windows import strict
 from aisleflow.plans.sqlbase import cte, sql
 
@@ -76,6 +76,7 @@ cte(
 )
 
 
+@kept
 def drivers(s):
     """Orders and order value with their stand-in forecasts."""
     f = funnel(s).select("date", F.col("orders_count").alias("orders"), "aov", win.roll_mean("aov", 30).alias("predicted_aov"))
@@ -370,6 +371,7 @@ cte("base_m", "slevels", f"SELECT {M_SQL}, {SPIKE_SQL} FROM (SELECT *, base_pred
 GATE_OUT = "mode:s threshold:2 uplift:2 avg_gate:6 mae:2 rmse:2 r2:6 top10_rmse:2 top10_under:i non_spike_rmse:2 accepted:i"
 
 
+@kept
 def gate_results(s):
     d = mt.with_spike_levels(scored(s), ["series_id"])
     g = bl.with_grid(d, GATES).withColumn("g", bl.gate(F.col("spike_prob"), F.col("mode"), F.col("threshold")))
@@ -419,6 +421,7 @@ def scaling_inputs(s):
     return d.select("*", F.col("spike_prob").alias("effective_prob"), F.least(F.lit(1.5), F.col("avg_discount_value") * F.col("active_promo_count") / 100).alias("normalized_promo_intensity"))
 
 
+@kept
 def scale_results(s):
     d = scaling_inputs(s)
     g = bl.with_grid(d, CONFIGS).withColumn("sc", bl.scale_expr())

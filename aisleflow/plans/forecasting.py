@@ -550,6 +550,6 @@ def final_forecast(s):
     r = s.revenue()
     ahead = date_spine(s.spark, "2001-08-02", "2003-01-31").withColumn("series_id", F.lit("total"))
     t = ref.year_references(ahead, r, "revenue", "lag")
-    level = win.tail(r, 28).groupBy("series_id").agg(F.avg("revenue").alias("_level"))
-    value = F.coalesce(fx.weighted_avg([(w, f"lag_{k}y") for k, w in ref.YEAR_WEIGHTS]), F.col("_level"))
-    return apply_cogs_ratio(t.join(level, "series_id").withColumn("revenue", fx.clip(value, lo=0))).select("date", "revenue", "cogs")
+    level = win.tail(r, 28).agg(F.avg("revenue")).scalar()
+    value = F.coalesce(fx.weighted_avg([(w, f"lag_{k}y") for k, w in ref.YEAR_WEIGHTS]), level)
+    return apply_cogs_ratio(t.withColumn("revenue", fx.clip(value, lo=0))).select("date", "revenue", "cogs")

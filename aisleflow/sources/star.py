@@ -45,7 +45,8 @@ class Star:
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A daily-grain frame that several parts of a query read. It is persisted, so the facts
         behind it are scanned and reduced once; Spark rebuilds lost blocks from the lineage. Only
-        frames bounded by the calendar (times a few series) go through here."""
+        frames bounded by the calendar (times a few series) go through here, and the snapshot
+        table, whose totals, medians and splitters are three passes."""
         if name not in self._kept:
             self._kept[name] = build().persist()
         return self._kept[name]
@@ -234,6 +235,9 @@ class Star:
 
     def inventory(self) -> DataFrame:
         """Month-end snapshot per stock unit (the supplier stands in), from shipped quantities."""
+        return self.kept("inventory", self._build_inventory)
+
+    def _build_inventory(self) -> DataFrame:
         li = self.table("lineitem")
         q = F.col("l_quantity")
         base = li.groupBy(
