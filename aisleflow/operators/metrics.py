@@ -97,11 +97,13 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
     the ties. Rows collapse to distinct scores first; only per-bucket totals are compared globally."""
     from pyspark.sql import Window
 
-    from aisleflow.operators.quantiles import bucket_of
+    from aisleflow.operators.quantiles import bucketed
 
     rows = df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).alias("_y")).where("_s is not null and _y is not null")
-    hist = rows.withColumn("_b", bucket_of(rows, "_s")).groupBy(*by, "_b", "_s").agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") == 0).alias("_n"))
-    buckets = hist.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+    counts = rows.groupBy(*by, "_s").agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") == 0).alias("_n"))
+    hist = bucketed(counts, rows, "_s")
+    # the filter reads both counts, so this side shares the histogram's shuffle
+    buckets = hist.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"), F.sum("_p").alias("_bp")).where("_bn + _bp > 0")
     before = F.sum("_bn").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_bn")
     offsets = buckets.select(*by, "_b", before.alias("_below"))
     inside = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)

@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-
 
 def weighted_percentile(value: str, p: float | Sequence[float], weight: str) -> Column:
     """Exact linear-interpolated percentile of a (value, count) histogram."""
@@ -27,26 +25,33 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bucket_of(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
-    """Bucket number from approximate splitters; monotone in ``col``, so ranks stay exact."""
-    splits = sorted(set(df.approxQuantile(col, [i / buckets for i in range(1, buckets)], 0.005)))
-    number = F.lit(0)
-    for s in splits:
-        number = number + (F.col(col) > F.lit(s)).cast("int")
-    return number
+def bucket_count(df: DataFrame) -> int:
+    """As many value buckets as shuffle partitions, within [32, 4096]."""
+    return min(4096, max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def bucketed(hist: DataFrame, rows: DataFrame, col: str, out: str = "_b") -> DataFrame:
+    """Number each value of ``hist`` by approximate splitters of ``rows``. The splitters only balance
+    the buckets; numbering is monotone in the value, so ranks built on it stay exact."""
+    from pyspark.ml.feature import Bucketizer
 
+    n = bucket_count(rows)
+    sketch = F.percentile_approx(col, [i / n for i in range(1, n)], max(1000, 10 * n))
+    found = rows.agg(sketch.alias("s")).first()["s"] or []
+    splits = sorted(set(found))
+    if not splits:
+        return hist.withColumn(out, F.lit(0))
+    cut = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol=col, outputCol="_bucket", handleInvalid="keep")
+    return cut.transform(hist).withColumn(out, F.col("_bucket").cast("int")).drop("_bucket")
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles in long form: (*by, p, value)."""
     by = list(by)
     rows = df.select(*by, F.col(col).cast("double").alias("_v")).where("_v is not null")
-    hist = (
-        rows.withColumn("_b", bucket_of(rows, "_v", buckets))
-        .groupBy(*by, "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    hist = bucketed(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), rows, "_v")
     per_bucket = hist.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
-    over_all = Window.partitionBy(*(by or [F.lit(0)]))  # at most ``buckets`` rows per group
+    over_all = Window.partitionBy(*(by or [F.lit(0)]))  # one row per bucket and group
     placed = per_bucket.select(
         *by,
         "_b",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from aisleflow.operators.quantiles import weighted_percentile
+from aisleflow.operators.quantiles import value_counts, weighted_percentile
 from aisleflow.plans.registry import query
 from aisleflow.plans.sqlbase import sql
 
@@ -170,8 +170,8 @@ def revenue_by_region(s):
                    GROUP BY 1 ORDER BY order_rows DESC, payment_method LIMIT 1"""),
 )
 def top_payment_for_cancelled(s):
-    o = s.orders().where("order_status = 'P' and payment_method is not null")
-    return o.groupBy("payment_method").agg(F.count(F.lit(1)).alias("order_rows")).orderBy(F.desc("order_rows"), "payment_method").limit(1)
+    counts = value_counts(s.orders().where("order_status = 'P'"), "payment_method").withColumnRenamed("n", "order_rows")
+    return counts.orderBy(F.desc("order_rows"), "payment_method").limit(1)
 
 
 @query(

@@ -174,8 +174,8 @@ def daily_payment_method_counts(s):
 
 
 def facts(s, col):
-    """Lines joined to a product attribute after reduction to (date, product)."""
-    return s.product_days().join(s.products().select("product_id", col), "product_id")
+    """Daily value per member of a product level."""
+    return s.level_days().groupBy("date", col).agg(F.sum("net_value").alias("net_value"))
 
 
 @query(

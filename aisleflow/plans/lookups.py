@@ -39,7 +39,7 @@ def forecast_outer_join(s):
 
 @query("dense_panel", "series_id:s date:d revenue:4 cogs:4 quantity:2 item_lines:i", sql("panel", "SELECT * FROM panel"))
 def dense_panel(s):
-    facts = s.product_day_facts().groupBy("date", F.col("segment").alias("series_id")).agg(
+    facts = s.level_days().groupBy("date", F.col("segment").alias("series_id")).agg(
         F.sum("net_value").cast("double").alias("revenue"), (F.sum("list_cost").cast("double") * F.lit(0.89)).alias("cogs"),
         F.sum("quantity").alias("quantity"), F.sum("item_lines").alias("item_lines"),
     )
@@ -96,11 +96,13 @@ def tx_fact(s):
     return hier.build_fact(items, s.orders().select("order_id", "customer_id", "date"), products, geo, promos)
 
 
+@kept
 def compact(s):
     f = tx_fact(s).withColumn("raw_cogs", F.col("raw_cogs").cast("decimal(20,2)"))
     return hier.compact_fact(f).withColumn("raw_cogs", F.col("raw_cogs").cast("double"))
 
 
+@kept
 def reconciled(s):
     return hier.reconcile_to_total(compact(s), s.sales())
 
@@ -425,7 +427,7 @@ def category_mix_reference(s):
     """Share of each segment in the day's value, and the share on the same date last year."""
     from pyspark.sql import Window
 
-    per = s.product_days().join(s.products().select("product_id", "segment"), "product_id").groupBy("date", "segment").agg(F.sum("net_value").cast("double").alias("_v"))
+    per = s.level_days().groupBy("date", "segment").agg(F.sum("net_value").cast("double").alias("_v"))
     share = per.select("segment", "date", (F.col("_v") / F.sum("_v").over(Window.partitionBy("date"))).alias("share"))
     return ref.year_references(share, share, "share", "share", "segment", backs=[1])
 

@@ -127,6 +127,17 @@ class Star:
             F.col("p_retailprice").alias("price"),
         )
 
+    def level_days(self) -> DataFrame:
+        """Lines reduced to (date, category, segment), the finest product level any series needs."""
+        return self.kept("level_days", self._build_level_days)
+
+    def _build_level_days(self) -> DataFrame:
+        return self.product_day_facts().groupBy("date", "category", "segment").agg(
+            F.sum("item_lines").alias("item_lines"), F.sum("quantity").alias("quantity"), F.sum("gross_value").alias("gross_value"),
+            F.sum("discount_amount").alias("discount_amount"), F.sum("net_value").alias("net_value"), F.sum("promo_lines").alias("promo_lines"),
+            F.sum("list_cost").alias("list_cost"),
+        )
+
     def product_day_facts(self) -> DataFrame:
         """product_days with category, segment and cost of goods."""
         p = self.products().select("product_id", "category", "segment", "price")
@@ -139,7 +150,7 @@ class Star:
 
     def _build_sales(self) -> DataFrame:
         """Daily revenue and COGS on the days that have orders (gaps kept)."""
-        return self.product_day_facts().groupBy("date").agg(
+        return self.level_days().groupBy("date").agg(
             F.sum("net_value").cast("double").alias("revenue"),
             (F.sum("list_cost").cast("double") * F.lit(COGS_RATIO)).alias("cogs"),
         )
@@ -173,7 +184,7 @@ class Star:
 
     def _build_daily(self) -> DataFrame:
         """Dense daily fact: money, volume, orders. One row per calendar day."""
-        items = self.product_day_facts().groupBy("date").agg(
+        items = self.level_days().groupBy("date").agg(
             F.sum("net_value").cast("double").alias("revenue"),
             (F.sum("list_cost").cast("double") * F.lit(COGS_RATIO)).alias("cogs"),
             F.sum("item_lines").alias("item_lines"),
@@ -195,7 +206,7 @@ class Star:
 
     def _build_panel(self, level: str) -> DataFrame:
         """Dense daily revenue and COGS per member of a product level."""
-        facts = self.product_day_facts().groupBy("date", F.col(level).alias("series_id")).agg(
+        facts = self.level_days().groupBy("date", F.col(level).alias("series_id")).agg(
             F.sum("net_value").cast("double").alias("revenue"),
             (F.sum("list_cost").cast("double") * F.lit(COGS_RATIO)).alias("cogs"),
             F.sum("quantity").alias("quantity"),
