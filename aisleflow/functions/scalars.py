@@ -213,6 +213,13 @@ def slice_dates(df: DataFrame, lo: str | None = None, hi: str | None = None, col
     return df
 
 
+def slice_times(df: DataFrame, lo: str, hi: str, col: str) -> DataFrame:
+    """Closed date range on a timestamp column without wrapping the column, so files and row groups
+    outside the range are skipped."""
+    end = F.date_add(F.lit(hi).cast("date"), 1).cast(df.schema[col].dataType)
+    return df.where((F.col(col) >= F.lit(lo).cast(df.schema[col].dataType)) & (F.col(col) < end))
+
+
 def one_hot(df: DataFrame, col: str, categories: Sequence[str], prefix: str | None = None) -> DataFrame:
     """0/1 columns for a fixed training template; unseen values give all zeros."""
     prefix = prefix or col

@@ -52,10 +52,12 @@ def solve_ridge(k: int, alpha: float):
             sxx = sxx + sxx.T - np.diag(np.diag(sxx))
             mean, my = sx / n, sy / n
             cov = sxx / n - np.outer(mean, mean)
-            sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
-            sd[sd <= 1e-12] = 1.0
+            cxy = sxy / n - mean * my
+            flat = np.diag(cov) <= 1e-12 * np.diag(sxx) / n  # constant up to rounding: slope 0
+            cov[flat, :], cov[:, flat], cxy[flat] = 0.0, 0.0, 0.0
+            sd = np.where(flat, 1.0, np.sqrt(np.maximum(np.diag(cov), 0.0)))
             a = n * cov / np.outer(sd, sd) + alpha * np.eye(k)
-            b = n * (sxy / n - mean * my) / sd
+            b = n * cxy / sd
             coef = np.linalg.solve(a, b) / sd
             out.append([my - float(coef @ mean), *coef.tolist()])
         return pd.Series(out)

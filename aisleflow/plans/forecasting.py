@@ -31,7 +31,7 @@ def ridge_sql(source: str, by: str, y: str, x1: str, x2: str, alpha: float, wher
     return f"""SELECT {by}, n, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (
       SELECT *, ((n + {a}) * q1 - n * r * q2) / ((n + {a}) * (n + {a}) - n * r * n * r) / s1 AS b1, ((n + {a}) * q2 - n * r * q1) / ((n + {a}) * (n + {a}) - n * r * n * r) / s2 AS b2 FROM (
         SELECT *, c12 / (s1 * s2) AS r, n * c1y / s1 AS q1, n * c2y / s2 AS q2 FROM (
-          SELECT {by}, COUNT(*)::DOUBLE AS n, AVG({y}) AS my, AVG({x1}) AS m1, AVG({x2}) AS m2, STDDEV_POP({x1}) AS s1, STDDEV_POP({x2}) AS s2, COVAR_POP({x1}, {x2}) AS c12, COVAR_POP({x1}, {y}) AS c1y, COVAR_POP({x2}, {y}) AS c2y
+          SELECT {by}, COUNT(*)::DOUBLE AS n, AVG({y}) AS my, AVG({x1}) AS m1, AVG({x2}) AS m2, CASE WHEN STDDEV_POP({x1}) > 1e-9 THEN STDDEV_POP({x1}) ELSE 1 END AS s1, CASE WHEN STDDEV_POP({x2}) > 1e-9 THEN STDDEV_POP({x2}) ELSE 1 END AS s2, COVAR_POP({x1}, {x2}) AS c12, COVAR_POP({x1}, {y}) AS c1y, COVAR_POP({x2}, {y}) AS c2y
           FROM {source} WHERE {where} AND {y} IS NOT NULL AND {x1} IS NOT NULL AND {x2} IS NOT NULL GROUP BY {by} HAVING COUNT(*) >= {min_rows})))"""
 
 

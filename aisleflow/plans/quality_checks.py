@@ -188,6 +188,29 @@ def written_table_round_trip(s):
     return stored.groupBy("year").agg(F.count(F.lit(1)).alias("days"), F.sum(F.col("revenue").cast("decimal(20,4)")).cast("double").alias("revenue"))
 
 
+@query(
+    "write_once_table",
+    "brand:s parts:i",
+    sql("", "SELECT p_brand AS brand, COUNT(*) AS parts FROM part GROUP BY 1"),
+)
+def write_once_table(s):
+    """A result stored as CSV under a name that must not exist yet, then read back."""
+    path = io.shared_dir(s.spark, "parts-per-brand")
+    io.write_new(s.table("part").groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("parts")), path, "csv")
+    return s.spark.read.schema("brand string, parts bigint").option("header", True).csv(path)
+
+
+@query(
+    "orders_in_time_slice",
+    "date:d orders:i",
+    sql("ords", "SELECT date, COUNT(*) AS orders FROM ords WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 1"),
+)
+def orders_in_time_slice(s):
+    """The slice is applied to the stored timestamp, so it reaches the parquet scan."""
+    o = fx.slice_times(s.table("orders"), "1998-01-01", "1998-12-31", "o_orderdate")
+    return o.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("orders"))
+
+
 @query(
     "aligned_forecast",
     "date:d revenue:2",
