@@ -52,6 +52,20 @@ def div_one(n, d) -> Column:
     return div_fill(n, d, 1.0)
 
 
+# -- exact money ------------------------------------------------------------
+MONEY = 10_000  # line amounts are whole ten-thousandths, so sums are exact long additions
+
+
+def cents(c) -> Column:
+    """Amount as whole cents."""
+    return F.floor(_c(c) * 100 + 0.5)
+
+
+def units(c) -> Column:
+    """Amount given to the cent as whole ten-thousandths."""
+    return cents(c) * 100
+
+
 # -- NULL rules -------------------------------------------------------------
 def to_number(c) -> Column:
     """Text to double; unparsable, NaN and infinite values become NULL."""

@@ -28,15 +28,16 @@ def daily_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def daily_items(lines: DataFrame) -> DataFrame:
-    """Line counts, quantities and discounts; keeps the mean of line rates and the ratio of sums."""
+def daily_items(lines: DataFrame, unit: int = 1) -> DataFrame:
+    """Line counts, quantities and discounts; keeps the mean of line rates and the ratio of sums.
+    Amounts are in 1 / ``unit`` of money."""
     rate = div_zero(F.col("discount_amount").cast("double"), F.col("gross_value").cast("double"))
     g = lines.where("date is not null").groupBy("date").agg(
         F.count(F.lit(1)).alias("item_lines_count"),
         F.sum(F.coalesce("quantity", F.lit(0.0))).alias("total_quantity"),
-        F.sum("gross_value").cast("double").alias("_gross"),
-        F.sum("discount_amount").cast("double").alias("total_discount_amount"),
-        (F.sum("discount_amount").cast("double") / F.count(F.lit(1))).alias("avg_discount_amount"),
+        (F.sum("gross_value").cast("double") / unit).alias("_gross"),
+        (F.sum("discount_amount").cast("double") / unit).alias("total_discount_amount"),
+        (F.sum("discount_amount").cast("double") / unit / F.count(F.lit(1))).alias("avg_discount_amount"),
         F.avg(rate).alias("avg_discount_rate"),
         F.avg("promo_used").alias("promo_usage_rate"),
     )
@@ -118,22 +119,22 @@ def stock_snapshot_features(inventory: DataFrame) -> DataFrame:
     )
 
 
-def daily_returns(returns: DataFrame) -> DataFrame:
+def daily_returns(returns: DataFrame, unit: int = 1) -> DataFrame:
     return returns.where("date is not null").groupBy("date").agg(
         F.countDistinct("return_id").alias("returns_count"), F.countDistinct("order_id").alias("returned_orders_count"),
         F.coalesce(F.sum("return_quantity"), F.lit(0.0)).alias("return_quantity"),
-        F.coalesce(F.sum("refund_amount").cast("double"), F.lit(0.0)).alias("refund_amount"),
+        F.coalesce(F.sum("refund_amount").cast("double") / unit, F.lit(0.0)).alias("refund_amount"),
     )
 
 
-def daily_order_level(lines: DataFrame) -> DataFrame:
+def daily_order_level(lines: DataFrame, unit: int = 1) -> DataFrame:
     """Two stages: one row per order (any promoted line, lines, net value), then per day."""
     per_order = lines.groupBy("date", "order_id").agg(
         F.max("promo_used").alias("promo_order"), F.count(F.lit(1)).alias("lines"), F.sum("net_value").alias("net")
     )
     return per_order.groupBy("date").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("promo_order").alias("promo_orders"), F.avg("lines").alias("lines_per_order"),
-        F.max("net").cast("double").alias("largest_order"),
+        (F.max("net").cast("double") / unit).alias("largest_order"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from aisleflow.functions.scalars import cents
 from aisleflow.operators.quantiles import value_counts, weighted_percentile
 from aisleflow.plans.registry import query
 from aisleflow.plans.sqlbase import sql
@@ -155,12 +156,12 @@ def orders_per_customer_by_group(s):
 def revenue_by_region(s):
     """Gross line value by region. Lines fold to orders and orders to customers before each
     join, so a hot order or customer is one row when it meets the next table."""
-    per_order = s.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("v"))
+    per_order = s.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(cents("l_extendedprice")).alias("v"))
     per_customer = per_order.join(s.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("v").alias("v"))
     per_nation = per_customer.join(s.table("customer").select("c_custkey", "c_nationkey"), "c_custkey").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum("v").alias("v"))
     nation = s.table("nation").select("n_nationkey", "n_regionkey")
     region = s.table("region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
-    return per_nation.join(nation, "n_nationkey").join(region, "n_regionkey").groupBy("region").agg(F.sum("v").cast("double").alias("line_revenue"))
+    return per_nation.join(nation, "n_nationkey").join(region, "n_regionkey").groupBy("region").agg((F.sum("v") / 100).alias("line_revenue"))
 
 
 @query(
@@ -208,6 +209,6 @@ def return_rate_by_size(s):
 def payment_value_by_instalments(s):
     o = s.table("orders")
     return o.groupBy((F.col("o_orderkey") % 4 * 3).alias("installments")).agg(
-        (F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double") / F.count(F.lit(1))).alias("mean_payment_value"),
+        (F.sum(cents("o_totalprice")) / 100 / F.count(F.lit(1))).alias("mean_payment_value"),
         F.count(F.lit(1)).alias("order_count"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import div_zero
+from aisleflow.functions.scalars import MONEY, div_zero
 from aisleflow.operators import aggregates as agg
 from aisleflow.operators.joins import assert_unique
 from aisleflow.operators.windows import forward_fill
@@ -76,7 +76,7 @@ def daily_orders(s):
     ),
 )
 def daily_items(s):
-    return agg.daily_items(s.lines())
+    return agg.daily_items(s.lines(), MONEY)
 
 
 @query(
@@ -136,7 +136,7 @@ def stock_snapshot_signals(s):
                         SUM(return_quantity) AS return_quantity, CAST(SUM(refund_amount) AS DOUBLE) AS refund_amount FROM returns GROUP BY date"""),
 )
 def daily_returns(s):
-    return agg.daily_returns(returns(s))
+    return agg.daily_returns(returns(s), MONEY)
 
 
 @query(
@@ -146,8 +146,8 @@ def daily_returns(s):
                       FROM (SELECT date, SUM(quantity) AS q FROM lines GROUP BY 1) LEFT JOIN (SELECT date, SUM(return_quantity) AS r FROM returns GROUP BY 1) USING (date)"""),
 )
 def daily_return_rate(s):
-    sold = agg.daily_items(s.lines()).select("date", "total_quantity")
-    back = agg.daily_returns(returns(s)).select("date", "return_quantity")
+    sold = agg.daily_items(s.lines(), MONEY).select("date", "total_quantity")
+    back = agg.daily_returns(returns(s), MONEY).select("date", "return_quantity")
     return sold.join(back, "date", "left").na.fill(0).withColumn("return_rate", div_zero("return_quantity", "total_quantity"))
 
 
@@ -158,7 +158,7 @@ def daily_return_rate(s):
                       FROM (SELECT date, order_id, MAX(promo_used) AS p, COUNT(*) AS n, SUM(net_value) AS v FROM lines GROUP BY 1, 2) GROUP BY 1"""),
 )
 def daily_order_level(s):
-    return agg.daily_order_level(s.lines())
+    return agg.daily_order_level(s.lines(), MONEY)
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -174,7 +174,7 @@ def daily_payment_method_counts(s):
 
 
 def facts(s, col):
-    """Daily value per member of a product level."""
+    """Daily value (in money units) per member of a product level."""
     return s.level_days().groupBy("date", col).agg(F.sum("net_value").alias("net_value"))
 
 
@@ -200,7 +200,7 @@ def daily_category_mix(s):
     sql("facts", "SELECT category, CAST(SUM(net_value) AS DOUBLE) AS total FROM facts GROUP BY 1 ORDER BY total DESC, category LIMIT 5"),
 )
 def top_categories_by_value(s):
-    return agg.top_k_groups(facts(s, "category"), "category", F.col("net_value"), 5)
+    return agg.top_k_groups(facts(s, "category"), "category", F.col("net_value"), 5).withColumn("total", F.col("total") / MONEY)
 
 
 @query(
@@ -288,10 +288,10 @@ def daily_funnel_table(s):
     snaps = s.snapshots().select("date", "inventory_stock_on_hand")
     stock = forward_fill(s.spine().join(snaps, "date", "left").withColumn("series_id", F.lit("total")), ["inventory_stock_on_hand"])
     parts = [
-        agg.daily_order_level(s.lines()).select("date", "promo_orders"),
+        agg.daily_order_level(s.lines(), MONEY).select("date", "promo_orders"),
         agg.status_counts(s.orders(), ["P"], ["F", "O"]).select("date", "cancelled_orders"),
         agg.mix_shares(facts(s, "segment"), "segment", "net_value").select("date", "share_1"),
-        agg.daily_returns(returns(s)).select("date", "return_quantity"),
+        agg.daily_returns(returns(s), MONEY).select("date", "return_quantity"),
         stock.select("date", "inventory_stock_on_hand"),
     ]
     for p in parts:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aisleflow.functions.calendar import reference_end
+from aisleflow.functions.scalars import MONEY, units
 from aisleflow.operators import aggregates as agg
 from aisleflow.operators import hierarchy as hier
 from aisleflow.operators import joins as jn
@@ -40,7 +41,7 @@ def forecast_outer_join(s):
 @query("dense_panel", "series_id:s date:d revenue:4 cogs:4 quantity:2 item_lines:i", sql("panel", "SELECT * FROM panel"))
 def dense_panel(s):
     facts = s.level_days().groupBy("date", F.col("segment").alias("series_id")).agg(
-        F.sum("net_value").cast("double").alias("revenue"), (F.sum("list_cost").cast("double") * F.lit(0.89)).alias("cogs"),
+        (F.sum("net_value") / MONEY).alias("revenue"), (F.sum("list_cost") / MONEY * F.lit(0.89)).alias("cogs"),
         F.sum("quantity").alias("quantity"), F.sum("item_lines").alias("item_lines"),
     )
     return hier.densify(facts, ["series_id"], s.first_date(), s.last_date(), ["revenue", "cogs", "quantity", "item_lines"])
@@ -98,8 +99,8 @@ def tx_fact(s):
 
 @kept
 def compact(s):
-    f = tx_fact(s).withColumn("raw_cogs", F.col("raw_cogs").cast("decimal(20,2)"))
-    return hier.compact_fact(f).withColumn("raw_cogs", F.col("raw_cogs").cast("double"))
+    c = hier.compact_fact(tx_fact(s).withColumn("raw_cogs", units("raw_cogs")))
+    return c.withColumns({x: F.col(x) / MONEY for x in ("raw_revenue", "raw_cogs")})
 
 
 @kept

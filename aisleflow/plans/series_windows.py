@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from aisleflow.functions.scalars import MONEY
 from aisleflow.operators import quality as dq
 from aisleflow.operators import sets
 from aisleflow.operators import windows as win
@@ -293,8 +294,8 @@ def feature_group_presence(s):
     ),
 )
 def stacked_levels(s):
-    a = facts(s, "category").groupBy("date", "category").agg(F.sum("net_value").cast("double").alias("revenue")).withColumn("level", F.lit("CATEGORY"))
-    b = facts(s, "segment").groupBy("date", "segment").agg(F.sum("net_value").cast("double").alias("revenue")).withColumn("level", F.lit("SEGMENT"))
+    a = facts(s, "category").groupBy("date", "category").agg((F.sum("net_value") / MONEY).alias("revenue")).withColumn("level", F.lit("CATEGORY"))
+    b = facts(s, "segment").groupBy("date", "segment").agg((F.sum("net_value") / MONEY).alias("revenue")).withColumn("level", F.lit("SEGMENT"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

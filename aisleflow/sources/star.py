@@ -4,8 +4,8 @@ The reference schema (sales, order items, promotions, inventory snapshots, web t
 is not shipped, so each frame is derived from the supplied tables by a fixed, declared
 rule. All facts are reduced to a daily grain before any join to a dimension: a product,
 customer or order that holds a large part of the rows collapses map-side first.
-Money is summed as DECIMAL and turned into a double once, so sums do not depend on the
-order in which partitions arrive.
+Line amounts are whole ten-thousandths (``MONEY``): sums are exact long additions, do not
+depend on the order in which partitions arrive, and become a double once.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aisleflow.functions.scalars import MONEY, cents, units
 from aisleflow.operators.joins import expand_intervals
 
 # The six campaign names and the traffic window origin.
@@ -26,10 +27,6 @@ SPAN_DAYS = 2404
 COGS_RATIO = 0.89
 
 
-def money(name: str) -> Column:
-    return F.col(name).cast("decimal(12,2)")
-
-
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -86,15 +83,15 @@ class Star:
         )
 
     def items(self) -> DataFrame:
-        gross, disc = money("l_extendedprice"), F.col("l_discount").cast("decimal(4,2)")
+        price, disc = cents("l_extendedprice"), cents("l_discount")
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_linenumber").alias("line_number"),
             F.col("l_quantity").alias("quantity"),
-            gross.alias("gross_value"),
-            (gross * disc).alias("discount_amount"),
-            (gross * (F.lit(1).cast("decimal(1,0)") - disc)).alias("net_value"),
+            (price * 100).alias("gross_value"),
+            (price * disc).alias("discount_amount"),
+            (price * (100 - disc)).alias("net_value"),
             F.col("l_discount").alias("discount_rate"),
             (F.col("l_discount") > 0).cast("int").alias("promo_used"),
             F.col("l_returnflag").alias("return_flag"),
@@ -141,8 +138,7 @@ class Star:
     def product_day_facts(self) -> DataFrame:
         """product_days with category, segment and cost of goods."""
         p = self.products().select("product_id", "category", "segment", "price")
-        unit_cost = F.col("quantity").cast("decimal(18,0)") * F.col("price").cast("decimal(10,2)")
-        return self.product_days().join(p, "product_id", "left").withColumn("list_cost", unit_cost)
+        return self.product_days().join(p, "product_id", "left").withColumn("list_cost", units(F.col("quantity") * F.col("price")))
 
     # -- daily series ------------------------------------------------------
     def sales(self) -> DataFrame:
@@ -151,8 +147,8 @@ class Star:
     def _build_sales(self) -> DataFrame:
         """Daily revenue and COGS on the days that have orders (gaps kept)."""
         return self.level_days().groupBy("date").agg(
-            F.sum("net_value").cast("double").alias("revenue"),
-            (F.sum("list_cost").cast("double") * F.lit(COGS_RATIO)).alias("cogs"),
+            (F.sum("net_value") / MONEY).alias("revenue"),
+            (F.sum("list_cost") / MONEY * F.lit(COGS_RATIO)).alias("cogs"),
         )
 
     def revenue(self) -> DataFrame:
@@ -160,7 +156,7 @@ class Star:
 
     def _build_revenue(self) -> DataFrame:
         """Dense daily revenue with a series key; days without orders are 0."""
-        daily = self.lines().groupBy("date").agg(F.sum("net_value").cast("double").alias("revenue"))
+        daily = self.lines().groupBy("date").agg((F.sum("net_value") / MONEY).alias("revenue"))
         return (
             self.spine()
             .join(daily, "date", "left")
@@ -185,12 +181,12 @@ class Star:
     def _build_daily(self) -> DataFrame:
         """Dense daily fact: money, volume, orders. One row per calendar day."""
         items = self.level_days().groupBy("date").agg(
-            F.sum("net_value").cast("double").alias("revenue"),
-            (F.sum("list_cost").cast("double") * F.lit(COGS_RATIO)).alias("cogs"),
+            (F.sum("net_value") / MONEY).alias("revenue"),
+            (F.sum("list_cost") / MONEY * F.lit(COGS_RATIO)).alias("cogs"),
             F.sum("item_lines").alias("item_lines"),
             F.sum("quantity").alias("quantity"),
-            F.sum("gross_value").cast("double").alias("gross_value"),
-            F.sum("discount_amount").cast("double").alias("discount_amount"),
+            (F.sum("gross_value") / MONEY).alias("gross_value"),
+            (F.sum("discount_amount") / MONEY).alias("discount_amount"),
             F.sum("promo_lines").alias("promo_lines"),
         )
         return (
@@ -207,8 +203,8 @@ class Star:
     def _build_panel(self, level: str) -> DataFrame:
         """Dense daily revenue and COGS per member of a product level."""
         facts = self.level_days().groupBy("date", F.col(level).alias("series_id")).agg(
-            F.sum("net_value").cast("double").alias("revenue"),
-            (F.sum("list_cost").cast("double") * F.lit(COGS_RATIO)).alias("cogs"),
+            (F.sum("net_value") / MONEY).alias("revenue"),
+            (F.sum("list_cost") / MONEY * F.lit(COGS_RATIO)).alias("cogs"),
             F.sum("quantity").alias("quantity"),
             F.sum("item_lines").alias("item_lines"),
         )
@@ -294,7 +290,7 @@ class Star:
             F.countDistinct("user_id").cast("double").alias("unique_visitors"),
             F.sum(F.get_json_object("props", "$.k").cast("int")).cast("double").alias("page_views"),
             F.avg((F.col("value") < 10).cast("double")).alias("bounce_rate"),
-            (F.sum(F.col("value").cast("decimal(12,2)")).cast("double") / F.count(F.lit(1))).alias("avg_session_duration_sec"),
+            (F.sum(cents("value")) / 100 / F.count(F.lit(1))).alias("avg_session_duration_sec"),
         )
 
     # -- naive forecasts used by evaluation, blending and scaling -----------
