@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import div_fill, div_zero, not_null
+from aisleflow.functions.scalars import div_fill, div_zero
 
 
 def daily_sales(sales: DataFrame) -> DataFrame:
@@ -188,11 +188,3 @@ def funnel_ratios(daily: DataFrame) -> DataFrame:
         div_fill("unique_customers", "orders_count").alias("customers_per_order"),
         div_fill("web_page_views", "web_sessions").alias("pages_per_session"),
     )
-
-
-def presence(cols: Sequence[str]) -> Column:
-    """Number of listed columns that carry a value."""
-    out = F.lit(0)
-    for c in cols:
-        out = out + not_null(c)
-    return out

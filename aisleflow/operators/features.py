@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import clip, div_eps, div_null, flag_gt, seasonal_phase
+from aisleflow.functions.scalars import clip, div_eps, flag_gt, seasonal_phase
 from aisleflow.operators import windows as win
 
 # Look-backs, windows and levels of the feature blocks.
@@ -58,7 +58,9 @@ def spike_v1(df: DataFrame, key: str = "series_id") -> DataFrame:
         *[flag_gt(c(lag.format(k)), c(mean.format(w)) * SPIKE_FACTOR).alias(n) for n, (k, w) in spikes.items()],
         c("month").isin(HIGH_ERROR_MONTHS).cast("int").alias("is_high_error_month"),
     )
-    d = d.withColumn("recent_volatility_high", flag_gt("rel_volatility_30", win.expanding_median("rel_volatility_30", key)))
+    # compared to ten digits: a volatility equal to its median must not count as high by rounding noise
+    median = win.expanding_median("rel_volatility_30", key)
+    d = d.withColumn("recent_volatility_high", flag_gt(F.round("rel_volatility_30", 10), F.round(median, 10)))
     return d.select(
         "*",
         product("revenue_lag_365", "month"), product("revenue_lag_365", "day_of_week"), product("revenue_lag_365", "day_of_year"),
@@ -303,7 +305,3 @@ def traffic_scenarios(history: DataFrame, targets: DataFrame, anchors: Sequence[
     factor = F.when(volume & mask, 1.05).otherwise(1.0) * F.when(volume & busy, 1.08).otherwise(1.0)
     out = [F.struct(F.lit(n).alias("scenario"), e.alias("value")) for n, e in (("seasonal", c("_seasonal")), ("conservative", c("_conservative")), ("high_demand", c("_seasonal") * factor))]
     return t.withColumn("_o", F.array(*out)).select("series_id", "date", F.inline("_o"))
-
-
-def aov_frame(funnel: DataFrame) -> DataFrame:
-    return funnel.withColumn("aov", div_null("revenue", "orders_count"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import campaign_base, present, slugify, truthy
+from aisleflow.functions.scalars import campaign_base, present, truthy
 
 # The six campaign names (lower case).
 CAMPAIGN_NAMES = ["spring sale", "mid-year sale", "fall launch", "year-end sale", "urban blowout", "rural special"]
@@ -254,7 +254,3 @@ def promo_summary(promos: DataFrame) -> DataFrame:
     return promos.groupBy("target_year").agg(
         F.count(F.lit(1)).alias("promo_count"), F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end")
     )
-
-
-def campaign_slug(col: str = "promo_name_base") -> Column:
-    return slugify(col)

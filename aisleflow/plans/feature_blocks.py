@@ -78,7 +78,7 @@ def times(pairs):
 cte(
     "v1",
     "btab",
-    "SELECT *, " + gt("rel_volatility_30", "MEDIAN(rel_volatility_30) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)") + " AS recent_volatility_high, " + times(V1_X)
+    "SELECT *, " + gt("ROUND(rel_volatility_30, 10)", "ROUND(MEDIAN(rel_volatility_30) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 10)") + " AS recent_volatility_high, " + times(V1_X)
     + " FROM (SELECT *, " + ", ".join(f"{eps(f'revenue_roll_std_{w}', f'revenue_roll_mean_{w}')} AS rel_volatility_{w}" for w in ft.STDS) + ", "
     + ", ".join(f"{eps(f'revenue_lag_{k}', f'revenue_roll_mean_{w}')} AS {n}" for n, (k, w) in RATIOS.items()) + ", "
     + ", ".join(f"{gt(f'revenue_lag_{k}', f'revenue_roll_mean_{w} * 1.25::DOUBLE')} AS {n}" for n, (k, w) in SPIKES.items()) + ", CAST(month IN (2, 3, 5, 8) AS INT) AS is_high_error_month FROM btab)",
