@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from aisleflow.llm.storage import without
 
-#: Pre-tokens and units remembered by a worker; more only cost time. About 150 bytes each.
-MEMO = 600_000
+#: Units remembered by a worker in each of two generations; more only cost time. About 200 bytes each.
+MEMO = 400_000
 #: Texts handled at a time, so that a batch of very long texts is never held twice.
 SLICE = 64
 
@@ -92,54 +92,61 @@ class Codec:
         self.table = {b: c for b, c in enumerate(byte_chars())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(tokens))
         self.split = regex.compile(pattern).findall
-        self.pretokens: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, pretokens: set[str]) -> None:
-        """Encode pre-tokens; a pre-token that is a token is not merged."""
+    def merge(self, pretokens: list[str]) -> None:
+        """Remember the pieces of pre-tokens; a pre-token that is a token is not merged."""
         todo = []
         for p in pretokens:
             whole = self.rank.get(p.encode("utf-8"))
             if whole is None:
                 todo.append(p)
             else:
-                self.pretokens[p] = (whole,)
+                self.young[p] = (whole + 1,)
         if todo:
             spelled = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in todo]
-            for p, ids in zip(todo, self.model.encode(spelled, num_threads=1), strict=True):
-                self.pretokens[p] = tuple([i - 1 for i in ids])
-
-    def learn_units(self, units: set[str]) -> None:
-        known = self.pretokens
-        if len(known) > MEMO:
-            known.clear()
-        split = [(u, self.split(u)) for u in units]
-        self.learn({p for _, ps in split for p in ps if p not in known})
-        for u, ps in split:
-            self.units[u] = known[ps[0]] if len(ps) == 1 else tuple(itertools.chain.from_iterable(map(known.__getitem__, ps)))
-
-    def pieces(self, text: str | None) -> list[tuple[int, ...]]:
-        """The ids of each unit of a text."""
-        if not text:
-            return []
-        units = UNITS(text)
-        memo = self.units
-        found = list(map(memo.get, units))
-        if None in found:
-            if len(memo) > MEMO:
-                memo.clear()
-            self.learn_units({u for u in units if u not in memo})
-            found = list(map(memo.__getitem__, units))
-        return found
-
-    def encode(self, text: str | None) -> list[int]:
-        return list(itertools.chain.from_iterable(self.pieces(text)))
+            self.young.update(zip(todo, map(tuple, self.model.encode(spelled, num_threads=1)), strict=True))
+
+    def learn(self, units: set[str]) -> None:
+        """Remember the pieces of units. A pre-token is a unit too, so one memo serves both."""
+        young, old, parts, fresh = self.young, self.old, [], set()
+        for u in units:
+            if (known := old.get(u)) is not None:
+                young[u] = known
+            elif u.isascii() and (u.isalpha() or u[:1] == " " and u[1:].isalpha()):
+                fresh.add(u)
+            else:
+                ps = self.split(u)
+                parts.append((u, ps))
+                fresh.update(ps)
+        todo = []
+        for p in fresh:
+            if p not in young:
+                if (known := old.get(p)) is not None:
+                    young[p] = known
+                else:
+                    todo.append(p)
+        self.merge(todo)
+        for u, ps in parts:
+            if len(ps) > 1:
+                young[u] = tuple(itertools.chain.from_iterable(map(young.__getitem__, ps)))
 
     def encode_batch(self, texts: list[str | None]) -> pa.Array:
-        found = [self.pieces(t) for t in texts]
-        offsets = np.cumsum([0] + [sum(map(len, x)) for x in found], dtype=np.int32)
-        flat = itertools.chain.from_iterable(itertools.chain.from_iterable(found))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(flat, np.int32, int(offsets[-1]))))
+        """The ids of each text."""
+        units = [UNITS(t) if t else [] for t in texts]
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        self.learn(set().union(*units).difference(self.young))
+        pieces = list(map(self.young.__getitem__, itertools.chain.from_iterable(units)))
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        offsets = ends[np.concatenate(([0], np.cumsum([len(u) for u in units])))].astype(np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(pieces), np.int32, int(ends[-1])) - 1
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_batch([text]).to_pylist()[0]
 
     def decode_batch(self, ids: pa.Array) -> pa.Array:
         """Bytes of each list: the bytes of its tokens, gathered from one table."""
