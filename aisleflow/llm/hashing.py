@@ -48,8 +48,8 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         start = end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, ASCII letters lowered, and the first word of each text (and the end)."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, ASCII letters lowered if ``fold``, and the first word of each text (and the end)."""
     if not len(raw):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
     word = ~SPACE[raw]
@@ -66,7 +66,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     lengths = np.diff(np.append(firsts, len(at)))
     place = np.arange(len(at)) - np.repeat(firsts, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _MULTIPLIER, U))
-    values = (LOWER[raw[at]].astype(U) + U(1)) * powers[place]
+    values = ((LOWER[raw[at]] if fold else raw[at]).astype(U) + U(1)) * powers[place]
     hashes = mix64(np.add.reduceat(values, firsts) + lengths.astype(U))
     return hashes, np.searchsorted(starts, offsets)
 

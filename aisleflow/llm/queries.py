@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleflow.llm import bpe, mix, near_dup, topk
+from aisleflow.llm import bpe, line_rules, mix, near_dup, spans, topk, word_piece
 from aisleflow.llm.storage import documents, importable, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,50 @@ SELECT doc_id, any_value(n.n) AS n_shingles, min(other) AS component_id, doc_id
 """)
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
+@register("op2_line_rules", r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), lines AS (
+  SELECT doc_id, l, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w)
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines WHERE len(lw) > 0 GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda j: array_to_string(ws[j:j + 2], ' '))) AS s FROM w WHERE len(ws) > 2
+), again AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN (SELECT doc_id, s FROM windows GROUP BY ALL HAVING count(*) > 1) USING (doc_id, s)) GROUP BY doc_id
+), base AS (
+  SELECT w.doc_id, source, md5(text) AS content, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id)
+), held AS (
+  SELECT source, array_to_string(lw, ' ') AS line, count(DISTINCT content) AS n FROM lines JOIN base USING (doc_id) WHERE len(lw) > 0 GROUP BY ALL
+), common AS (
+  SELECT h.source, line FROM held h JOIN (SELECT source, count(DISTINCT content) AS texts FROM base GROUP BY source) t ON h.source IS NOT DISTINCT FROM t.source
+  WHERE n > 20 AND n > texts * 0.1
+), gone AS (
+  SELECT l.doc_id, sum(len(lw))::BIGINT AS removed_words FROM lines l JOIN base USING (doc_id) JOIN common c ON base.source IS NOT DISTINCT FROM c.source AND c.line = array_to_string(lw, ' ') GROUP BY l.doc_id
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(removed_words, 0) AS removed_words,
+       NOT base_failed AND 2 * coalesce(removed_words, 0) <= n_words AS kept
+FROM failed LEFT JOIN gone USING (doc_id)
+""")
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_report(documents(spark, sf_dir)).select("doc_id", *line_rules.FIGURES, "base_failed", "removed_words", "kept")
+
+
+@register("op9_word_piece")
+def op9_word_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return word_piece.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "n_words", "n_tokens")
+
+
+@register("op10_sentence_spans")
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeated(documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "text")
