@@ -6,13 +6,14 @@ neighbouring registers are the keys under which candidates meet; a pair of candi
 by the collision-corrected share of equal registers and then confirmed on the full shingle sets.
 
 Texts with the same shingle set are one class and enter with one representative, so copies never meet
-each other. Within a bucket candidates first meet only its smallest member; every other pair of a
-bucket is looked at only while its two ends lie in different components.
+each other. Within a bucket candidates first meet only its smallest member; the other pairs of a
+bucket are rated, without being written out, only while their ends lie in different components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ BUCKET_BITS = 7  # 128 registers
 MANTISSA = 10  # bits kept after the leading one
 BAND = 4  # registers in a band: 32 bands, each 64 bits
 BUCKETS = 1 << BUCKET_BITS
-#: Bytes of text, and rows, given to one verification step.
-PAIRS = 64
+#: Pairs given to one verification step, and members of a bucket that one task compares.
+PAIRS, PIECE = 64, 1000
 
 U = np.uint64
 
@@ -110,6 +111,69 @@ def likely(threshold: float, registers_a, registers_b, size_a, size_b):
     return run(registers_a, registers_b, size_a, size_b)
 
 
+def _within(threshold: float):
+    """Pairs (a, b) of each group (bucket, i, j), which arrives sorted, that lie in different components
+    and can reach the threshold. Of a bucket in pieces, group (i, j) compares pieces i and j."""
+
+    def compare(group: pa.RecordBatch) -> tuple[list, list]:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        node, comp, size, side = (group.column(c).to_numpy() for c in ("node", "component", "size", "piece"))
+        sketch = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(node), BUCKETS)
+        left, right = [], []
+        for x in range(len(node) - 1):
+            at = x + 1 + np.flatnonzero((comp[x + 1 :] != comp[x]) & ((side[x + 1 :] != side[x]) | (i == j)))
+            if len(at):
+                estimate, used = similarity(sketch[x : x + 1], sketch[at], size[x], size[at])
+                ok = at[estimate >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - 1e-9]
+                left += np.minimum(node[x], node[ok]).tolist()
+                right += np.maximum(node[x], node[ok]).tolist()
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rest = batch if rest is None else pa.concat_batches([rest, batch])
+            if rest is None or not rest.num_rows:
+                continue
+            keys = np.stack([rest.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist()]
+            if batch is None:
+                cuts.append(rest.num_rows)  # no more rows of the last group
+            a, b = [], []
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                x, y = compare(rest.slice(start, end - start))
+                a += x
+                b += y
+            rest = rest.slice(cuts[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _pairs_within(members: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b), in different components, of members (bucket, node) of one bucket.
+
+    A bucket is compared inside one task while it has at most ``PIECE`` members. The members of a
+    larger one are first dealt again by each of their other bands: two texts at the threshold share
+    two bands about as surely as one, unlike texts hardly ever do. What is still larger is cut into
+    pieces, and every two pieces meet in a group of their own.
+    """
+    placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    state = lambda rows: rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "n")
+    placed = materialize(placed.join(state(placed), "bucket"), "open")
+    other = placed.where(F.col("n") > PIECE).join(classes.select("node", F.explode(band_keys("registers")).alias("second")), "node").where("bucket <> second")
+    again = other.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "node", "component").distinct()
+    again = again.join(state(again), "bucket").select("bucket", "node", "component", "n")
+    rows = placed.where(F.col("n") <= PIECE).select("bucket", "node", "component", "n").unionByName(again)
+    rows = rows.join(classes.select("node", "registers", "size"), "node").withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int"))
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = rows.select("bucket", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "node", "component", "size", "registers")
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return materialize(dealt.mapInArrow(_within(percent / 100), "a long, b long").distinct(), "pairs")
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, np.ndarray] = {}
@@ -164,9 +228,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     ra = classes.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("size").alias("na"))
     rb = classes.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("size").alias("nb"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        rated = pairs.join(rb, "b").join(ra, "a").where(likely(percent / 100, F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        return materialize(confirm(rated, docs, percent).distinct(), "links")
+    def links(pairs: DataFrame, rated: bool = False) -> DataFrame:
+        if not rated:
+            pairs = pairs.join(rb, "b").join(ra, "a").where(likely(percent / 100, F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")))
+        return materialize(confirm(pairs.select("a", "b").distinct(), docs, percent).distinct(), "links")
 
     def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs whose ends are not yet in one component."""
@@ -184,14 +249,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     edges = edges.unionByName(links(tried))
     found = connected_components(edges)
     # then every pair of a bucket that still holds more than one component
-    placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    placed = materialize(placed.join(open_, "bucket", "left_semi"), "open")
-    left = placed.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-    pairs = pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    edges = edges.unionByName(links(pairs))
+    pairs = _pairs_within(members, found, classes, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    edges = edges.unionByName(links(pairs, rated=True))
     found = connected_components(edges)
 
     nodes = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
