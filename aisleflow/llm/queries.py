@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleflow.llm import bpe, line_rules, mix, near_dup, spans, topk, word_piece
+from aisleflow.llm import bpe, line_rules, mix, near_dup, pii, spans, topk, word_piece
 from aisleflow.llm.storage import documents, importable, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,8 @@ def op9_word_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_sentence_spans")
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated(documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+@register("op3_pii_surrogates")
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(documents(spark, sf_dir)).select("doc_id", "n_mentions", "text")
