@@ -32,6 +32,8 @@ BAND = 4  # registers in a band: 32 bands, each 64 bits
 BUCKETS = 1 << BUCKET_BITS
 #: Pairs given to one verification step, and members of a bucket that one task compares.
 PAIRS, PIECE = 64, 1000
+#: Members above which a bucket is dealt again by a second band.
+DEAL = 20 * PIECE
 
 U = np.uint64
 
@@ -75,13 +77,17 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_profile, "doc_id long, n_shingles long, set_key binary, registers binary")
 
 
+def _keys(bands: np.ndarray) -> np.ndarray:
+    return mix64(bands + mix64(np.arange(1, BUCKETS // BAND + 1, dtype=U))).view(np.int64)
+
+
 def band_keys(sketch):
     """A key for each band of a sketch that has a filled register."""
 
     @F.arrow_udf("array<long>")
     def run(batch: pa.Array) -> pa.Array:
         words = np.frombuffer(b"".join(batch.to_pylist()), U).reshape(len(batch), BUCKETS // BAND)
-        keys = mix64(words + mix64(np.arange(1, BUCKETS // BAND + 1, dtype=U))).view(np.int64)
+        keys = _keys(words)
         filled = words != 0
         offsets = np.concatenate(([0], np.cumsum(filled.sum(axis=1)))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[filled]))
@@ -99,35 +105,29 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
     return (same / np.maximum(used, 1) - chance) / (1 - chance), used
 
 
+def reachable(threshold: float, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether pairs can reach ``threshold``: the estimate is at most five standard errors below. The
+    filled buckets are a sample without replacement of the union of the two sets."""
+    estimate, used = similarity(a, b, size_a, size_b)
+    union = (size_a + size_b) / (1 + threshold)
+    left = np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
+    used = np.maximum(used, 1)
+    return estimate >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / used * left) - 1.5 / used
+
+
 def likely(threshold: float, registers_a, registers_b, size_a, size_b):
-    """Condition that a pair can reach ``threshold``: its estimate is at most five standard errors below."""
+    """:func:`reachable` as a condition on columns."""
 
     @F.arrow_udf("boolean")
     def run(ra: pa.Array, rb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         rows = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), BUCKETS)
-        estimate, used = similarity(rows(ra), rows(rb), na.to_numpy(), nb.to_numpy())
-        return pa.array(estimate >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - 1e-9)
+        return pa.array(reachable(threshold, rows(ra), rows(rb), na.to_numpy(), nb.to_numpy()))
 
     return run(registers_a, registers_b, size_a, size_b)
 
 
-def _within(threshold: float):
-    """Pairs (a, b) of each group (bucket, i, j), which arrives sorted, that lie in different components
-    and can reach the threshold. Of a bucket in pieces, group (i, j) compares pieces i and j."""
-
-    def compare(group: pa.RecordBatch) -> tuple[list, list]:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        node, comp, size, side = (group.column(c).to_numpy() for c in ("node", "component", "size", "piece"))
-        sketch = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(node), BUCKETS)
-        left, right = [], []
-        for x in range(len(node) - 1):
-            at = x + 1 + np.flatnonzero((comp[x + 1 :] != comp[x]) & ((side[x + 1 :] != side[x]) | (i == j)))
-            if len(at):
-                estimate, used = similarity(sketch[x : x + 1], sketch[at], size[x], size[at])
-                ok = at[estimate >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - 1e-9]
-                left += np.minimum(node[x], node[ok]).tolist()
-                right += np.maximum(node[x], node[ok]).tolist()
-        return left, right
+def _by_group(work):
+    """Apply ``work`` to every group (bucket, i, j) of rows that arrive sorted by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.RecordBatch | None = None
@@ -140,38 +140,96 @@ def _within(threshold: float):
             cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist()]
             if batch is None:
                 cuts.append(rest.num_rows)  # no more rows of the last group
-            a, b = [], []
             for start, end in zip(cuts, cuts[1:], strict=False):
-                x, y = compare(rest.slice(start, end - start))
-                a += x
-                b += y
+                if end - start > 1:
+                    yield work(rest.slice(start, end - start))
             rest = rest.slice(cuts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _pairs_within(members: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b), in different components, of members (bucket, node) of one bucket.
-
-    A bucket is compared inside one task while it has at most ``PIECE`` members. The members of a
-    larger one are first dealt again by each of their other bands: two texts at the threshold share
-    two bands about as surely as one, unlike texts hardly ever do. What is still larger is cut into
-    pieces, and every two pieces meet in a group of their own.
+def _facing(group: pa.RecordBatch) -> np.ndarray:
+    """Which rows of a group are to be compared: those of different components and, where the group
+    stands for two pieces of a bucket, of different pieces."""
+    comp, side = group.column("component").to_numpy(), group.column("piece").to_numpy()
+    face = comp[:, None] != comp
+    return face & (side[:, None] != side) if group.column("i")[0].as_py() != group.column("j")[0].as_py() else face
+
+
+def _flag(threshold: float):
+    """The rows of a group that have a likely partner in it. Partners that share an earlier band are
+    left to the bucket of that band."""
+
+    def work(group: pa.RecordBatch) -> pa.RecordBatch:
+        face, size = _facing(group), group.column("size").to_numpy()
+        bands = np.frombuffer(b"".join(group.column("registers").to_pylist()), U).reshape(len(size), -1)
+        sketch = bands.view(np.uint16)
+        here = np.flatnonzero(_keys(bands[:1])[0] == group.column("bucket")[0].as_py())
+        before = bands[:, : here[0] if len(here) else 0]
+        hit = np.zeros(len(size), bool)
+        for x in range(len(size) - 1):
+            at = x + 1 + np.flatnonzero(face[x, x + 1 :])
+            at = at[~((before[at] == before[x]) & (before[x] != 0)).any(axis=1)]
+            if len(at):
+                at = at[reachable(threshold, sketch[x : x + 1], sketch[at], size[x], size[at])]
+                hit[at] = True
+                hit[x] |= len(at) > 0
+        return group.select(["bucket", "i", "j", "piece", "node", "component"]).filter(pa.array(hit))
+
+    return _by_group(work)
+
+
+def _link(percent: int):
+    """The links (a, b) inside a group, by the full shingle sets. Shared shingles are counted for all
+    pairs at once, a few thousand shingles at a time."""
+
+    def work(group: pa.RecordBatch) -> pa.RecordBatch:
+        face, node = _facing(group), group.column("node").to_numpy()
+        sets = list(shingle_sets(group.column("text"), WIDTH))
+        size = np.array([len(s) for s in sets])
+        own = np.repeat(np.arange(len(sets)), size)
+        shingle, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        of = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[of]
+        own, of = own[of >= 0], of[of >= 0]
+        order = np.argsort(of, kind="stable")
+        own, of = own[order], of[order]
+        common = np.zeros((len(sets), len(sets)))
+        for start in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
+            lo, hi = np.searchsorted(of, [start, start + 4096])
+            grid = np.zeros((len(sets), 4096), np.float32)
+            grid[own[lo:hi], of[lo:hi] - start] = 1
+            common += grid @ grid.T
+        a, b = np.nonzero(np.triu(face & (100 * common >= percent * (size[:, None] + size - common)), 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
+
+    return _by_group(work)
+
+
+def _links_within(members: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (bucket, node) of one bucket that lie in different components.
+
+    A bucket is compared inside one task while it has at most ``PIECE`` members; a larger one is cut
+    into pieces, and every two pieces meet in a group of their own. The members of one above ``DEAL``
+    are first dealt again by each of their other bands: two texts at the threshold share two bands
+    about as surely as one, unlike texts hardly ever do. Sketches tell which members of a group
+    have a likely partner; only their texts are fetched.
     """
     placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     state = lambda rows: rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "n")
     placed = materialize(placed.join(state(placed), "bucket"), "open")
-    other = placed.where(F.col("n") > PIECE).join(classes.select("node", F.explode(band_keys("registers")).alias("second")), "node").where("bucket <> second")
+    other = placed.where(F.col("n") > DEAL).join(classes.select("node", F.explode(band_keys("registers")).alias("second")), "node").where("bucket <> second")
     again = other.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "node", "component").distinct()
     again = again.join(state(again), "bucket").select("bucket", "node", "component", "n")
-    rows = placed.where(F.col("n") <= PIECE).select("bucket", "node", "component", "n").unionByName(again)
+    rows = placed.where(F.col("n") <= DEAL).select("bucket", "node", "component", "n").unionByName(again)
     rows = rows.join(classes.select("node", "registers", "size"), "node").withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int"))
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = rows.select("bucket", F.least("piece", "with").alias("i"), F.greatest("piece", "with").alias("j"), "piece", "node", "component", "size", "registers")
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return materialize(dealt.mapInArrow(_within(percent / 100), "a long, b long").distinct(), "pairs")
+    group = ["bucket", "i", "j"]
+    flagged = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_flag(percent / 100), "bucket long, i int, j int, piece int, node long, component long")
+    flagged = materialize(flagged, "flagged")
+    texts = flagged.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
+    return materialize(texts.repartition(*group).sortWithinPartitions(*group).mapInArrow(_link(percent), "a long, b long").distinct(), "links")
 
 
 def _confirm(percent: int):
@@ -228,10 +286,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     ra = classes.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("size").alias("na"))
     rb = classes.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("size").alias("nb"))
 
-    def links(pairs: DataFrame, rated: bool = False) -> DataFrame:
-        if not rated:
-            pairs = pairs.join(rb, "b").join(ra, "a").where(likely(percent / 100, F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")))
-        return materialize(confirm(pairs.select("a", "b").distinct(), docs, percent).distinct(), "links")
+    def links(pairs: DataFrame) -> DataFrame:
+        rated = pairs.join(rb, "b").join(ra, "a").where(likely(percent / 100, F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")))
+        return materialize(confirm(rated.select("a", "b").distinct(), docs, percent).distinct(), "links")
 
     def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs whose ends are not yet in one component."""
@@ -249,8 +306,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     edges = edges.unionByName(links(tried))
     found = connected_components(edges)
     # then every pair of a bucket that still holds more than one component
-    pairs = _pairs_within(members, found, classes, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    edges = edges.unionByName(links(pairs, rated=True))
+    edges = edges.unionByName(_links_within(members, found, classes, docs, percent))
     found = connected_components(edges)
 
     nodes = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
