@@ -26,7 +26,7 @@ from aisleflow.llm.storage import without
 #: Units remembered by a worker in each of two generations; more only cost time. About 200 bytes each.
 MEMO = 400_000
 #: Texts handled at a time, so that a batch of very long texts is never held twice.
-SLICE = 64
+SLICE = 256
 
 # The characters of the Unicode property White_Space.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -92,24 +92,28 @@ class Codec:
         self.table = {b: c for b, c in enumerate(byte_chars())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(tokens))
         self.split = regex.compile(pattern).findall
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}  # ids as bytes of 32-bit integers
+        self.old: dict[str, bytes] = {}
 
     def merge(self, pretokens: list[str]) -> None:
-        """Remember the pieces of pre-tokens; a pre-token that is a token is not merged."""
+        """Remember the ids of pre-tokens; a pre-token that is a token is not merged."""
         todo = []
         for p in pretokens:
             whole = self.rank.get(p.encode("utf-8"))
             if whole is None:
                 todo.append(p)
             else:
-                self.young[p] = (whole + 1,)
+                self.young[p] = whole.to_bytes(4, "little")
         if todo:
             spelled = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in todo]
-            self.young.update(zip(todo, map(tuple, self.model.encode(spelled, num_threads=1)), strict=True))
+            found = self.model.encode(spelled, num_threads=1)
+            sizes = list(map(len, found))
+            data = (np.fromiter(itertools.chain.from_iterable(found), np.int32, sum(sizes)) - 1).astype("<i4").tobytes()
+            ends = [0, *itertools.accumulate(4 * n for n in sizes)]
+            self.young.update(zip(todo, map(data.__getitem__, map(slice, ends, ends[1:])), strict=True))
 
     def learn(self, units: set[str]) -> None:
-        """Remember the pieces of units. A pre-token is a unit too, so one memo serves both."""
+        """Remember the ids of units. A pre-token is a unit too, so one memo serves both."""
         young, old, parts, fresh = self.young, self.old, [], set()
         for u in units:
             if (known := old.get(u)) is not None:
@@ -130,7 +134,7 @@ class Codec:
         self.merge(todo)
         for u, ps in parts:
             if len(ps) > 1:
-                young[u] = tuple(itertools.chain.from_iterable(map(young.__getitem__, ps)))
+                young[u] = b"".join(map(young.__getitem__, ps))
 
     def encode_batch(self, texts: list[str | None]) -> pa.Array:
         """The ids of each text."""
@@ -138,12 +142,9 @@ class Codec:
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
         self.learn(set().union(*units).difference(self.young))
-        pieces = list(map(self.young.__getitem__, itertools.chain.from_iterable(units)))
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        offsets = ends[np.concatenate(([0], np.cumsum([len(u) for u in units])))].astype(np.int32)
-        flat = np.fromiter(itertools.chain.from_iterable(pieces), np.int32, int(ends[-1])) - 1
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        data = [b"".join(map(self.young.__getitem__, u)) for u in units]
+        offsets = np.cumsum([0] + [len(x) // 4 for x in data]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text]).to_pylist()[0]
