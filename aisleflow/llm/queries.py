@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleflow.llm import bpe, line_rules, mix, near_dup, pii, spans, topk, word_piece
+from aisleflow.llm import bpe, cotrain, licences, line_rules, mix, near_dup, pii, spans, topk, word_piece
 from aisleflow.llm.storage import documents, importable, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,41 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_pii_surrogates")
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(documents(spark, sf_dir)).select("doc_id", "n_mentions", "text")
+
+
+_TEMPLATES = ", ".join(f"('{name}', {i}, '{text.replace(chr(39), chr(39) * 2)}')" for name, texts in licences.TEMPLATES.items() for i, text in enumerate(texts))
+
+
+@register("op7_licence_scan", rf"""
+WITH t AS (
+  SELECT licence, version, regexp_extract_all(translate(template, '{licences.UPPER}', '{licences.LOWER}'), '[a-z0-9]+') AS w FROM (VALUES {_TEMPLATES}) AS v(licence, version, template)
+), tg AS (
+  SELECT licence, version, size, gram, count(*) AS times FROM (
+    SELECT licence, version, len(w) - 1 AS size, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t) GROUP BY ALL
+), l AS (
+  SELECT doc_id, i - 1 AS line, regexp_extract_all(translate(s[i], '{licences.UPPER}', '{licences.LOWER}'), '[a-z0-9]+') AS w
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))
+), u AS (
+  SELECT doc_id, line, w FROM l
+  UNION ALL SELECT doc_id, NULL, flatten(list(w ORDER BY line)) FROM l GROUP BY doc_id HAVING count(*) FILTER (len(w) > 0) > 1
+), g AS (
+  SELECT doc_id, line, n, gram, count(*) AS here FROM (
+    SELECT doc_id, line, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM u WHERE len(w) BETWEEN 2 AND 100) GROUP BY ALL
+), r AS (
+  SELECT doc_id, line, licence, version, 2 * sum(least(here, times))::DOUBLE / (n + size) AS score FROM g JOIN tg USING (gram) GROUP BY doc_id, line, n, licence, version, size
+), p AS (
+  SELECT doc_id, line, licence, max(score) AS score FROM r WHERE score >= 0.85::DOUBLE GROUP BY ALL
+), b AS (
+  SELECT doc_id, arg_min(licence, k) AS licence, arg_min(score, k) AS score, arg_min(CASE WHEN line IS NULL THEN NULL ELSE line END, k) AS line, count(DISTINCT coalesce(line, -1)) AS n_lines
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence, line NULLS LAST) AS k FROM p) GROUP BY doc_id
+)
+SELECT d.doc_id, licence, score, line::BIGINT AS line, coalesce(n_lines, 0)::BIGINT AS n_lines FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN b USING (doc_id)
+""")
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir), licences.templates(spark))
+
+
+@register("op8_co_training")
+def op8_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotrain.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "page_score", "quality_score", "kept")
