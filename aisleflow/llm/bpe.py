@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from aisleflow.llm.storage import without
 
 #: Units remembered by a worker in each of two generations; more only cost time. About 200 bytes each.
-MEMO = 400_000
+MEMO = 500_000
+#: Units that are one pre-token in any pattern with runs of letters behind an optional space.
+PLAIN = re.compile(" ?[A-Za-z]+").fullmatch
 #: Texts handled at a time, so that a batch of very long texts is never held twice.
 SLICE = 256
 
@@ -84,12 +86,13 @@ class Codec:
         import sentencepiece
 
         tokens = read_ranks(path)
-        self.rank = {t: i for i, t in enumerate(tokens)}
+        chars = byte_chars()
+        self.rank = {"".join(chars[b] for b in t): i.to_bytes(4, "little") for i, t in enumerate(tokens)}
         self.tokens = tokens
         self.lengths = np.array([len(t) for t in tokens])
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.table = {b: c for b, c in enumerate(byte_chars())}
+        self.table = dict(enumerate(chars))
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(tokens))
         self.split = regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}  # ids as bytes of 32-bit integers
@@ -97,44 +100,32 @@ class Codec:
 
     def merge(self, pretokens: list[str]) -> None:
         """Remember the ids of pre-tokens; a pre-token that is a token is not merged."""
-        todo = []
-        for p in pretokens:
-            whole = self.rank.get(p.encode("utf-8"))
-            if whole is None:
-                todo.append(p)
-            else:
-                self.young[p] = whole.to_bytes(4, "little")
-        if todo:
-            spelled = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in todo]
-            found = self.model.encode(spelled, num_threads=1)
-            sizes = list(map(len, found))
-            data = (np.fromiter(itertools.chain.from_iterable(found), np.int32, sum(sizes)) - 1).astype("<i4").tobytes()
-            ends = [0, *itertools.accumulate(4 * n for n in sizes)]
-            self.young.update(zip(todo, map(data.__getitem__, map(slice, ends, ends[1:])), strict=True))
+        space, table, rank = self.table[32], self.table, self.rank
+        spelled = [p.replace(" ", space) if PLAIN(p) else p.encode("utf-8").decode("latin-1").translate(table) for p in pretokens]
+        whole = list(map(rank.get, spelled))
+        self.young.update((p, r) for p, r in zip(pretokens, whole, strict=True) if r is not None)
+        todo = [p for p, r in zip(pretokens, whole, strict=True) if r is None]
+        found = self.model.encode([t for t, r in zip(spelled, whole, strict=True) if r is None], num_threads=1) if todo else []
+        sizes = list(map(len, found))
+        data = (np.fromiter(itertools.chain.from_iterable(found), np.int32, sum(sizes)) - 1).astype("<i4").tobytes()
+        ends = [0, *itertools.accumulate(4 * n for n in sizes)]
+        self.young.update(zip(todo, map(data.__getitem__, map(slice, ends, ends[1:])), strict=True))
 
     def learn(self, units: set[str]) -> None:
         """Remember the ids of units. A pre-token is a unit too, so one memo serves both."""
-        young, old, parts, fresh = self.young, self.old, [], set()
-        for u in units:
-            if (known := old.get(u)) is not None:
-                young[u] = known
-            elif u.isascii() and (u.isalpha() or u[:1] == " " and u[1:].isalpha()):
-                fresh.add(u)
-            else:
-                ps = self.split(u)
-                parts.append((u, ps))
-                fresh.update(ps)
-        todo = []
-        for p in fresh:
-            if p not in young:
-                if (known := old.get(p)) is not None:
-                    young[p] = known
-                else:
-                    todo.append(p)
-        self.merge(todo)
-        for u, ps in parts:
-            if len(ps) > 1:
-                young[u] = b"".join(map(young.__getitem__, ps))
+        young, old = self.young, self.old
+        if old:
+            known = [u for u in units if u in old]
+            young.update(zip(known, map(old.__getitem__, known), strict=True))
+            units = units.difference(known)
+        single = [u for u in units if PLAIN(u)]
+        parts = [(u, self.split(u)) for u in units.difference(single)]
+        fresh = {p for _, ps in parts for p in ps if p not in young}
+        known = [p for p in fresh if p in old]
+        young.update(zip(known, map(old.__getitem__, known), strict=True))
+        fresh.difference_update(known)
+        self.merge(list(fresh.union(single)))
+        young.update((u, b"".join(map(young.__getitem__, ps))) for u, ps in parts if len(ps) > 1)
 
     def encode_batch(self, texts: list[str | None]) -> pa.Array:
         """The ids of each text."""
@@ -198,8 +189,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     """``docs`` with the token ids of every whole text.
 
     Every match of ``pattern`` is encoded on its own, without special tokens. No match of the pattern
-    may run from a character that isn't white space into white space (true of the usual byte-level
-    patterns); repeated units are then looked up whole. Edge cases: null and
+    may run from a character that isn't white space into white space, and ASCII letters behind an
+    optional space must be one match (true of the usual byte-level patterns); repeated units are then
+    looked up whole. Edge cases: null and
     empty texts have no ids; a column already named like ``out`` is replaced; other columns, null or
     not, and repeated rows pass unchanged; an empty frame gives an empty frame. No shuffle.
     """
