@@ -240,7 +240,7 @@ def _confirm(percent: int):
                 part = batch.slice(at, PAIRS)
                 ta, tb = part.column(2).to_pylist(), part.column(3).to_pylist()
                 new = [t for t in dict.fromkeys(ta + tb) if t not in last]
-                sets = {t: s for t, s in last.items() if t in set(ta)} | dict(zip(new, shingle_sets(pa.array(new, pa.large_string()), WIDTH), strict=True))
+                sets = last | dict(zip(new, shingle_sets(pa.array(new, pa.large_string()), WIDTH), strict=True))
                 ok = []
                 for x, y in zip(ta, tb, strict=True):
                     x, y = sets[x], sets[y]
