@@ -281,14 +281,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     keyed = classes.select("node", F.explode(band_keys("registers")).alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     members = materialize(keyed.join(shared.select("bucket", "first"), "bucket"), "members")
-    stars = materialize(members.where("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands")), "stars")
+    stars = members.where("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
 
     ra = classes.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("size").alias("na"))
     rb = classes.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("size").alias("nb"))
+    stars = stars.join(rb, "b").join(ra, "a").where(likely(percent / 100, F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")))
+    stars = materialize(stars.select("a", "b", "bands"), "stars")
+    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    texts = materialize(docs.join(ends, "doc_id", "left_semi"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
-        rated = pairs.join(rb, "b").join(ra, "a").where(likely(percent / 100, F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")))
-        return materialize(confirm(rated.select("a", "b").distinct(), docs, percent).distinct(), "links")
+        return materialize(confirm(pairs.distinct(), texts, percent).distinct(), "links")
 
     def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs whose ends are not yet in one component."""
