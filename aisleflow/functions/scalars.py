@@ -239,3 +239,17 @@ def one_hot(df: DataFrame, col: str, categories: Sequence[str], prefix: str | No
     prefix = prefix or col
     flags = [F.coalesce(F.col(col) == v, F.lit(False)).cast("int").alias(f"{prefix}_{v}") for v in categories]
     return df.select("*", *flags)
+
+
+def half_up(c: Column, digits: int) -> Column:
+    """Round a double half up, from plain double arithmetic so that every engine gives the same
+    value. Beyond 2**53 units of the last place there is nothing to round."""
+    unit = float(10**digits)
+    scaled = c.cast("double") * unit
+    return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled + 0.5) / unit).otherwise(c.cast("double"))
+
+
+def half_up_sql(expr: str, digits: int) -> str:
+    """:func:`half_up` as DuckDB SQL."""
+    unit = f"1e{digits}::DOUBLE"
+    return f"(CASE WHEN ABS(({expr})::DOUBLE * {unit}) < 9007199254740992 THEN FLOOR(({expr})::DOUBLE * {unit} + 0.5::DOUBLE) / {unit} ELSE ({expr})::DOUBLE END)"

@@ -173,33 +173,32 @@ def campaigns_started(promos: DataFrame, spine: DataFrame) -> DataFrame:
     return per_day.select("date", "_s", F.sum("n").over(run).alias("campaigns_started")).where("_s = 1").drop("_s")
 
 
-def even_source_year(promos: DataFrame, preferred: int, fallback: int) -> DataFrame:
-    """One row: the even year whose promotions serve as the pattern. The preferred year counts as
-    complete when it has at least the usual (most frequent) number of promotions."""
-    per_year = promos.where("source_year % 2 = 0").groupBy("source_year").agg(F.count(F.lit(1)).alias("n"))
+def pattern_year(promos: DataFrame, target_year: Column) -> DataFrame:
+    """One row: the newest complete year before ``target_year``, and of its parity, whose promotions serve
+    as its pattern. A year is complete with at least the usual (most frequent, then smallest) number
+    of promotions among the years of its parity; without a complete one, the newest."""
+    same = promos.where((F.col("source_year") < target_year) & (F.pmod(F.col("source_year") - target_year, F.lit(2)) == 0))
+    per_year = same.groupBy("source_year").agg(F.count(F.lit(1)).alias("n"))
     usual = per_year.groupBy("n").agg(F.count(F.lit(1)).alias("c")).agg(F.max_by("n", F.struct("c", -F.col("n"))).alias("usual"))
-    n_pref = F.max(F.when(F.col("source_year") == preferred, F.col("n")))
-    n_back = F.max(F.when(F.col("source_year") == fallback, F.col("n")))
-    return per_year.agg(n_pref.alias("p"), n_back.alias("b"), F.max("source_year").alias("last")).select(
-        F.when(F.col("p") >= usual.scalar(), F.lit(preferred)).when(F.col("b") > 0, F.lit(fallback)).otherwise(F.col("last")).alias("source_year")
-    )
+    complete = F.max(F.when(F.col("n") >= usual.scalar(), F.col("source_year")))
+    return per_year.agg(F.coalesce(complete, F.max("source_year")).alias("source_year"))
 
 
-def project_promotions(promos: DataFrame, source_year: Column, target_year: int) -> DataFrame:
-    """Next season's promotions: those of ``source_year`` moved by whole years and renamed."""
+def project_promotions(promos: DataFrame, source_year: Column, target_year: Column) -> DataFrame:
+    """A coming season's promotions: those of ``source_year`` moved by whole years and renamed."""
     src = promos.where(F.col("source_year") == source_year)
-    months = (F.lit(target_year) - F.col("source_year")) * 12
+    months = ((target_year - F.col("source_year")) * 12).cast("int")
     n = numbered(src, ["source_year"], ["start_date", "end_date", "promo_name"], ["promo_id"], "campaign_index")
-    idx = F.col("campaign_index").cast("string")
+    idx, year = F.col("campaign_index").cast("string"), target_year.cast("string")
     padded = F.when(F.length(idx) < 2, F.lpad(idx, 2, "0")).otherwise(idx)
     start, end = F.add_months("start_date", months), F.add_months("end_date", months)
     return n.select(
-        F.concat(F.lit(f"SYN_PROMO_{target_year}_"), padded).alias("promo_id"),
-        F.concat(F.col("promo_name_base"), F.lit(f" {target_year}")).alias("promo_name"),
+        F.concat(F.lit("SYN_PROMO_"), year, F.lit("_"), padded).alias("promo_id"),
+        F.concat(F.col("promo_name_base"), F.lit(" "), year).alias("promo_name"),
         "promo_name_base", "promo_type", "discount_value", start.alias("start_date"), end.alias("end_date"),
         "applicable_category", "promo_channel", "stackable_flag", "min_order_value", "stackable", "category_specific",
         "percentage_promo", "fixed_promo", F.col("source_year").alias("source_pattern_year"),
-        F.lit(target_year).alias("target_year"), "campaign_index", (F.datediff(end, start) + 1).alias("duration_days"),
+        target_year.alias("target_year"), "campaign_index", (F.datediff(end, start) + 1).alias("duration_days"),
     )
 
 

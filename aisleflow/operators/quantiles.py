@@ -26,8 +26,8 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """As many value buckets as shuffle partitions, within [32, 4096]."""
-    return min(4096, max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many value buckets as shuffle partitions, 32 at least."""
+    return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucketed(hist: DataFrame, rows: DataFrame, col: str, out: str = "_b") -> DataFrame:

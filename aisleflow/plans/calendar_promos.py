@@ -207,13 +207,14 @@ def campaigns_started(s):
     return pr.campaigns_started(s.promotions(), s.spine())
 
 
-# Even pattern year: 2000 when complete, else 1998; the odd pattern year is 1999.
+# The two years after the last order day follow the newest complete year of their parity.
+cte("ahead", "", "SELECT YEAR(MAX(o_orderdate)) + k AS target_year FROM orders, (VALUES (1), (2)) v(k) GROUP BY k")
+cte("per_year", "prepared ahead", "SELECT target_year, source_year, COUNT(*) AS n FROM prepared JOIN ahead ON source_year < target_year AND source_year % 2 = target_year % 2 GROUP BY ALL")
 cte(
     "pattern",
-    "prepared",
-    """SELECT CASE WHEN MAX(n) FILTER (source_year = 2000) >= (SELECT n FROM (SELECT n, COUNT(*) AS c FROM (SELECT COUNT(*) AS n FROM prepared WHERE source_year % 2 = 0 GROUP BY source_year) GROUP BY n) ORDER BY c DESC, n LIMIT 1)
-         THEN 2000 WHEN MAX(n) FILTER (source_year = 1998) > 0 THEN 1998 ELSE MAX(source_year) END AS source_year
-       FROM (SELECT source_year, COUNT(*) AS n FROM prepared WHERE source_year % 2 = 0 GROUP BY 1)""",
+    "per_year",
+    """SELECT target_year, COALESCE(MAX(source_year) FILTER (n >= usual), MAX(source_year)) AS source_year FROM per_year
+       JOIN (SELECT target_year, n AS usual FROM (SELECT target_year, n, COUNT(*) AS c FROM per_year GROUP BY ALL) QUALIFY ROW_NUMBER() OVER (PARTITION BY target_year ORDER BY c DESC, n) = 1) USING (target_year) GROUP BY target_year""",
 )
 cte(
     "projected",
@@ -222,16 +223,16 @@ cte(
          CAST(start_date + TO_YEARS((target_year - source_year)::INT) AS DATE) AS start_date, CAST(end_date + TO_YEARS((target_year - source_year)::INT) AS DATE) AS end_date,
          DATE_DIFF('day', CAST(start_date + TO_YEARS((target_year - source_year)::INT) AS DATE), CAST(end_date + TO_YEARS((target_year - source_year)::INT) AS DATE)) + 1 AS duration_days,
          discount_value, stackable, category_specific, percentage_promo, fixed_promo, source_year AS source_pattern_year, target_year, idx AS campaign_index
-       FROM (SELECT *, CASE WHEN source_year = 1999 THEN 2003 ELSE 2002 END AS target_year,
-         ROW_NUMBER() OVER (PARTITION BY source_year ORDER BY start_date, end_date, promo_name, promo_id) AS idx
-         FROM prepared WHERE source_year = 1999 OR source_year = (SELECT source_year FROM pattern))""",
+       FROM (SELECT prepared.*, target_year, ROW_NUMBER() OVER (PARTITION BY target_year ORDER BY start_date, end_date, promo_name, promo_id) AS idx
+         FROM prepared JOIN pattern USING (source_year))""",
 )
 
 
 def projected(s):
     p = pr.prepare_promotions(s.promotions())
-    even = pr.even_source_year(p, 2000, 1998).scalar()
-    return pr.project_promotions(p, F.lit(1999), 2003).unionByName(pr.project_promotions(p, even, 2002))
+    last = s.bounds().select(F.year("hi").alias("y")).scalar()
+    one, two = (pr.project_promotions(p, pr.pattern_year(p, last + k).scalar(), last + k) for k in (1, 2))
+    return one.unionByName(two)
 
 
 @query(
@@ -270,15 +271,17 @@ FUTURE_EXPR = CAL_AGGS + """, AVG(duration_days) AS avg_duration_days, MAX(durat
         "projected",
         "SELECT date, " + ", ".join(f"COALESCE({c}, 0) AS future_{c}" for c in [*FUTURE_MEANS, *FUTURE_INTS, "max_discount_value"])
         + f" FROM horizon LEFT JOIN (SELECT date, {FUTURE_EXPR} FROM fdays GROUP BY date) USING (date)",
-        horizon="SELECT CAST(UNNEST(generate_series(DATE '2002-01-01', DATE '2003-07-02', INTERVAL 1 DAY)) AS DATE) AS date",
+        horizon="SELECT CAST(UNNEST(generate_series(lo, lo + 547, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT MAKE_DATE(YEAR(MAX(o_orderdate)) + 1, 1, 1) AS lo FROM orders)",
         fdays=f"SELECT p.*, s.date, {PDAYS_COLS} FROM projected p JOIN horizon s ON s.date BETWEEN p.start_date AND p.end_date",
     ),
 )
 def future_promo_features(s):
-    """548 future days described by the projected promotions."""
-    lo, hi = "2002-01-01", "2003-07-02"
-    days = days_of(s, pr.promo_intervals(projected(s)), F.lit(lo).cast("date"), F.lit(hi).cast("date"))
-    return pr.future_promo_features(days, cal.date_spine(s.spark, lo, hi))
+    """548 days from the first of the year after the last order, described by the projected promotions."""
+    lo = F.make_date(F.year("hi") + 1, F.lit(1), F.lit(1))
+    ends = s.bounds().where("hi is not null").select(lo.alias("lo"), F.date_add(lo, 547).alias("hi"))
+    spine = ends.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
+    days = days_of(s, pr.promo_intervals(projected(s)), ends.select("lo").scalar(), ends.select("hi").scalar())
+    return pr.future_promo_features(days, spine)
 
 
 @query(

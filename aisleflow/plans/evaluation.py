@@ -72,7 +72,7 @@ def sliced_error_metrics(s):
 cte(
     "drivers",
     "pred_orders funnel",
-    f"SELECT p.date, p.predicted_orders, f.orders_count AS orders, f.aov, f.predicted_aov FROM pred_orders p JOIN (SELECT date, orders_count, aov, {strict('aov', 30)} AS predicted_aov FROM funnel) f USING (date) WHERE date >= DATE '1998-01-01'",
+    f"SELECT p.date, p.predicted_orders, f.orders_count AS orders, f.aov, f.predicted_aov FROM pred_orders p JOIN (SELECT date, orders_count, aov, {strict('aov', 30)} AS predicted_aov FROM funnel) f USING (date) WHERE predicted_orders IS NOT NULL AND predicted_aov IS NOT NULL",
 )
 
 
@@ -80,7 +80,7 @@ cte(
 def drivers(s):
     """Orders and order value with their stand-in forecasts."""
     f = funnel(s).select("date", F.col("orders_count").alias("orders"), "aov", win.roll_mean("aov", 30).alias("predicted_aov"))
-    return pred_orders(s).join(f, "date").where("date >= date'1998-01-01'")
+    return pred_orders(s).join(f, "date").where("predicted_orders is not null and predicted_aov is not null")
 
 
 @query(
@@ -580,8 +580,8 @@ def anchored(s):
     "model:s mean_revenue:3 std_revenue:2 max_revenue:2 min_revenue:2 mean_ratio:6 max_ratio:6 top10_ratio:6 bottom50_ratio:6 corr_to_anchor:6 days_gt_5pct:i days_gt_10pct:i exclusion_reasons:s passes:b",
     sql(
         "anchored",
-        """SELECT *, exclusion_reasons = '' AS passes FROM (SELECT *, RTRIM(CASE WHEN ABS(mean_ratio - 1) > 0.08 THEN 'mean_shift_gt_8pct;' ELSE '' END || CASE WHEN max_ratio NOT BETWEEN 0.75 AND 1.25 THEN 'max_ratio_outside;' ELSE '' END
-             || CASE WHEN top10_ratio NOT BETWEEN 0.75 AND 1.25 THEN 'top10_ratio_extreme;' ELSE '' END, ';') AS exclusion_reasons
+        """SELECT *, exclusion_reasons = '' AS passes FROM (SELECT *, RTRIM(CASE WHEN ABS(mean_ratio - 1) > 0.08 THEN 'mean_shift_gt_8pct;' ELSE '' END || CASE WHEN max_ratio NOT BETWEEN 0.75 AND 1.25 THEN 'max_ratio_outside_0.75_1.25;' ELSE '' END
+             || CASE WHEN top10_ratio NOT BETWEEN 0.75 AND 1.25 THEN 'top10_spike_ratio_extreme;' ELSE '' END, ';') AS exclusion_reasons
            FROM (SELECT model, AVG(x) AS mean_revenue, STDDEV_SAMP(x) AS std_revenue, MAX(x) AS max_revenue, MIN(x) AS min_revenue, AVG(x) / AVG(anchor) AS mean_ratio, MAX(x) / MAX(anchor) AS max_ratio,
              AVG(x) FILTER (anchor >= anchor_p90) / AVG(anchor) FILTER (anchor >= anchor_p90) AS top10_ratio, AVG(x) FILTER (anchor <= anchor_p50) / AVG(anchor) FILTER (anchor <= anchor_p50) AS bottom50_ratio, CORR(x, anchor) AS corr_to_anchor,
              COUNT(*) FILTER (ABS(x / anchor - 1) > 0.05) AS days_gt_5pct, COUNT(*) FILTER (ABS(x / anchor - 1) > 0.10) AS days_gt_10pct

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import complete_cases, drop_unsafe
+from aisleflow.functions.scalars import complete_cases, drop_unsafe, half_up, half_up_sql
 from aisleflow.operators import aggregates as agg
 from aisleflow.operators import features as ft
 from aisleflow.operators import joins as jn
@@ -288,12 +288,12 @@ def union_feature_table(s):
     return ft.union_features(t)
 
 
-cte("pred_orders", "daily", "SELECT series_id, date, ROUND(" + strict("orders_count", 7) + " + 1.7320508e-6::DOUBLE, 4) AS predicted_orders FROM daily")
+cte("pred_orders", "daily", "SELECT series_id, date, " + half_up_sql(strict("orders_count", 7), 4) + " AS predicted_orders FROM daily")
 
 
 def pred_orders(s):
     """A stand-in orders forecast: last week's mean."""
-    return s.order_series().select("series_id", "date", F.round(win.roll_mean("orders_count", 7) + 1.7320508e-6, 4).alias("predicted_orders"))
+    return s.order_series().select("series_id", "date", half_up(win.roll_mean("orders_count", 7), 4).alias("predicted_orders"))
 
 
 @query(

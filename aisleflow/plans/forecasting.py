@@ -538,17 +538,17 @@ def spike_probabilities(s):
     sql(
         "revenue daily",
         f"""SELECT date, GREATEST(0, COALESCE(v, lvl)) AS revenue, GREATEST(0, COALESCE(v, lvl)) * 0.89::DOUBLE AS cogs FROM (
-             SELECT t.date, {_wavg([(0.5, 'a.revenue'), (0.3, 'b.revenue'), (0.2, 'c.revenue')])} AS v FROM (SELECT 'total' AS series_id, CAST(UNNEST(generate_series(DATE '2001-08-02', DATE '2003-01-31', INTERVAL 1 DAY)) AS DATE) AS date) t
+             SELECT t.date, {_wavg([(0.5, 'a.revenue'), (0.3, 'b.revenue'), (0.2, 'c.revenue')])} AS v FROM (SELECT 'total' AS series_id, CAST(UNNEST(generate_series(hi + 1, hi + 548, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT MAX(o_orderdate)::DATE AS hi FROM orders)) t
              {_back(1, 'a', 'revenue', guard=False)} {_back(2, 'b', 'revenue', guard=False)} {_back(3, 'c', 'revenue', guard=False)}), (SELECT AVG(revenue) AS lvl FROM (SELECT revenue FROM revenue ORDER BY date DESC LIMIT 28))""",
     ),
 )
 def final_forecast(s):
     """548 days after the last order: weighted same dates of three years, else the recent level."""
-    from aisleflow.functions.calendar import date_spine
     from aisleflow.operators.blend import apply_cogs_ratio
 
     r = s.revenue()
-    ahead = date_spine(s.spark, "2001-08-02", "2003-01-31").withColumn("series_id", F.lit("total"))
+    days = F.sequence(F.date_add("hi", 1), F.date_add("hi", 548), F.expr("interval 1 day"))
+    ahead = s.bounds().where("hi is not null").select(F.explode(days).alias("date")).withColumn("series_id", F.lit("total"))
     t = ref.year_references(ahead, r, "revenue", "lag")
     level = win.tail(r, 28).agg(F.avg("revenue")).scalar()
     value = F.coalesce(fx.weighted_avg([(w, f"lag_{k}y") for k, w in ref.YEAR_WEIGHTS]), level)

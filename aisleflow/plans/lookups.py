@@ -57,7 +57,7 @@ cte(
        FROM lines l LEFT JOIN part ON product_id = p_partkey
        LEFT JOIN customer ON customer_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
        LEFT JOIN promotions a ON a.promo_id = CASE WHEN promo_used = 1 THEN 'PROMO-' || product_id END
-       LEFT JOIN promotions b ON b.promo_id = CASE WHEN line_number = 7 THEN 'PROMO-' || order_id % 500 END""",
+       LEFT JOIN promotions b ON b.promo_id = CASE WHEN line_number = 7 THEN 'PROMO-' || order_id % (SELECT MAX(p_partkey) + 1 FROM part) END""",
 )
 cte(
     "compact",
@@ -83,10 +83,11 @@ cte(
 
 
 def tx_fact(s):
+    last = s.table("part").agg((F.max("p_partkey") + 1).alias("n")).scalar()
     items = s.items().select(
         "order_id", "product_id", "quantity", "net_value",
         F.when(F.col("promo_used") == 1, F.concat(F.lit("PROMO-"), F.col("product_id").cast("string"))).alias("promo_id"),
-        F.when(F.col("line_number") == 7, F.concat(F.lit("PROMO-"), (F.col("order_id") % 500).cast("string"))).alias("promo_id_2"),
+        F.when(F.col("line_number") == 7, F.concat(F.lit("PROMO-"), (F.col("order_id") % last).cast("string"))).alias("promo_id_2"),
     )
     products = s.products().select("product_id", "category", "segment", (F.col("price") * 0.5).alias("unit_cost"))
     geo = (
@@ -172,12 +173,13 @@ def inventory_asof(s):
 @query(
     "inventory_asof_per_unit",
     "product_id:i date:d asof_date:d stock_on_hand:2",
-    sql("ords inventory", """SELECT q.product_id, q.date, a.snapshot_date AS asof_date, a.stock_on_hand FROM (SELECT DISTINCT order_id % 100 AS product_id, date FROM ords) q
+    sql("ords inventory", """SELECT q.product_id, q.date, a.snapshot_date AS asof_date, a.stock_on_hand FROM (SELECT DISTINCT l_suppkey AS product_id, date FROM lineitem JOIN ords ON l_orderkey = order_id) q
                             ASOF LEFT JOIN inventory a ON q.product_id = a.product_id AND q.date >= a.snapshot_date"""),
 )
 def inventory_asof_per_unit(s):
-    """Keyed as-of join: every asked (unit, day) gets that unit's latest snapshot."""
-    asked = s.orders().select((F.col("order_id") % 100).alias("product_id"), "date").distinct()
+    """Keyed as-of join: every unit gets, for each day on which it was ordered, its latest snapshot."""
+    lines = s.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("product_id")).distinct()
+    asked = lines.join(s.orders().select("order_id", "date"), "order_id").select("product_id", "date").distinct()
     snaps = s.inventory().select("product_id", F.col("snapshot_date").alias("date"), "stock_on_hand")
     return jn.asof_backward(asked, snaps, ["stock_on_hand"], ["product_id"])
 
@@ -203,13 +205,12 @@ MF = ["inventory_days_of_supply", "inventory_stockout_rate"]
         "SELECT s.date, " + ", ".join(f"COALESCE(a.{c}, m.{c}, 0) AS {c}" for c in MF)
         + """ FROM spine s ASOF LEFT JOIN known a ON s.date >= a.date LEFT JOIN (SELECT MONTH(date) AS m, """ + ", ".join(f"AVG({c}) AS {c}" for c in MF)
         + " FROM known GROUP BY 1) m ON m.m = MONTH(s.date)",
-        known="SELECT * FROM snaps WHERE date BETWEEN DATE '1997-03-01' AND DATE '1999-12-31'",
+        known="SELECT * FROM snaps WHERE date <= DATE '1999-12-31'",
     ),
 )
 def inventory_month_fallback(s):
-    """Snapshots known from March 1997 to the cutoff; earlier days fall back to the month mean."""
-    snaps = s.snapshots().where("date >= date'1997-03-01'").select("date", *MF)
-    return st.asof_month_fallback(s.spine(), snaps, MF, cut())
+    """Snapshots known up to the cutoff; days before the first one fall back to the month mean."""
+    return st.asof_month_fallback(s.spine(), s.snapshots().select("date", *MF), MF, cut())
 
 
 SF = ["inv_avg_days_of_supply", "inv_avg_sell_through_rate", "inv_stockout_rate", "restock_signal", "stock_pressure", "stockout_pressure"]
@@ -455,16 +456,16 @@ def web_traffic_reference(s):
     sql(
         "revenue",
         """SELECT t.date, COALESCE(e.revenue, md.v, mm.v, 0) AS revenue_lookup FROM (SELECT * FROM revenue WHERE date > DATE '1999-12-31') t
-           LEFT JOIN (SELECT * FROM h WHERE date >= DATE '1999-06-01') e ON e.date = CAST(t.date - INTERVAL 1 YEAR AS DATE)
+           LEFT JOIN h e ON e.date = CAST(t.date - INTERVAL 1 YEAR AS DATE)
            LEFT JOIN (SELECT MONTH(date) AS m, ISODOW(date) AS d, AVG(revenue) AS v FROM h GROUP BY ALL) md ON md.m = MONTH(t.date) AND md.d = ISODOW(t.date)
            LEFT JOIN (SELECT MONTH(date) AS m, AVG(revenue) AS v FROM h GROUP BY ALL) mm ON mm.m = MONTH(t.date)""",
-        h="SELECT * FROM revenue WHERE date BETWEEN DATE '1999-06-01' AND DATE '1999-12-31'",
+        h="SELECT * FROM revenue WHERE date <= DATE '1999-12-31'",
     ),
 )
 def seasonal_lookup(s):
-    """History of seven months only, so that every fallback step is used."""
+    """Days after the cutoff from all days up to it; from the second year on the exact day is unknown."""
     r = s.revenue()
-    return ref.seasonal_lookup(r.where("date > date'1999-12-31'").drop("revenue"), r.where("date between date'1999-06-01' and date'1999-12-31'"), "revenue", "revenue_lookup")
+    return ref.seasonal_lookup(r.where("date > date'1999-12-31'").drop("revenue"), r.where(F.col("date") <= cut()), "revenue", "revenue_lookup")
 
 
 @query(
@@ -477,12 +478,12 @@ def seasonal_lookup(s):
            LEFT JOIN h b ON b.date = CAST(t.date - TO_YEARS((YEAR(t.date) - 1998)::INT) AS DATE)
            LEFT JOIN (SELECT DAYOFYEAR(date) AS d, AVG(orders_count) AS v FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY DAYOFYEAR(date) ORDER BY date DESC) AS rn FROM h) WHERE rn <= 3 GROUP BY 1) y
              ON y.d = DAYOFYEAR(t.date)""",
-        h="SELECT date, orders_count FROM daily WHERE date <= DATE '1998-09-30'",
+        h="SELECT date, orders_count FROM daily WHERE date <= DATE '1998-12-31'",
     ),
 )
 def business_lag_lookup(s):
     d = s.order_series().select("series_id", "date", F.col("orders_count").cast("double").alias("orders_count"))
-    return ref.business_lag_lookup(d.where("date > date'1998-12-31'").select("series_id", "date"), d.where("date <= date'1998-09-30'"), "orders_count", "orders_lag_365", 1998)
+    return ref.business_lag_lookup(d.where("date > date'1998-12-31'").select("series_id", "date"), d.where("date <= date'1998-12-31'"), "orders_count", "orders_lag_365", 1998)
 
 
 @query(

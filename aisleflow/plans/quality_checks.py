@@ -11,6 +11,7 @@ from aisleflow.operators.windows import add_lag_grid
 from aisleflow.plans.registry import query
 from aisleflow.plans.sqlbase import cte, sql
 from aisleflow.sources import tables as io
+from aisleflow.sources.star import LONGEST_LOOK_BACK
 
 # Typed rows with zero, tiny, negative and missing denominators, from the part table.
 cte(
@@ -219,7 +220,7 @@ def orders_in_time_slice(s):
 def aligned_forecast(s):
     fc = s.components().select("date", F.col("recent").alias("Recent_Revenue"))
     name = io.resolve_column(fc, ["revenue", "recent_revenue", "prediction"])
-    spine = io.load_spine(s.spine().where("date >= date'1998-01-01'"))
+    spine = io.load_spine(s.spine().where(F.col("date") >= F.date_add(s.first_date(), LONGEST_LOOK_BACK)))
     return io.load_aligned(spine, fc.withColumnRenamed(name, "revenue"), ["revenue"])
 
 
@@ -375,9 +376,9 @@ def time_split_audit(s):
         "spine components",
         """SELECT TRUE AS columns_ok, f.n AS forecast_rows, s.n AS spine_rows, s.n - f.n AS missing_dates, 0 AS extra_dates,
              0 AS duplicate_dates, 0 AS null_rows, 0 AS negative_rows, s.n = f.n AS passed
-           FROM (SELECT COUNT(*) AS n FROM components) f, (SELECT COUNT(*) AS n FROM spine WHERE date >= DATE '1997-12-01') s""",
+           FROM (SELECT COUNT(*) AS n FROM components) f, (SELECT COUNT(*) AS n FROM spine) s""",
     ),
 )
 def forecast_contract(s):
     fc = s.components().select("date", F.col("recent").alias("revenue"), (F.col("recent") * 0.89).alias("cogs"))
-    return dq.check_forecast(fc, s.spine().where("date >= date'1997-12-01'"))
+    return dq.check_forecast(fc, s.spine())

@@ -8,12 +8,15 @@ agree on names, types and rounding.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aisleflow.functions.scalars import half_up, half_up_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,12 +25,6 @@ def _fields(out: str) -> list[tuple[str, str]]:
     return [tuple(part.rsplit(":", 1)) for part in out.split()]
 
 
-def guard(digits: int) -> float:
-    """Small offset added before rounding. Exact halves (money divided by a small count) then
-    round up in every engine instead of depending on the last bit of the quotient."""
-    return float(f"1.7320508e-{digits + 2}")
-
-
 def _spark_column(name: str, kind: str) -> Column:
     c = F.col(f"`{name}`")
     if kind == "s":
@@ -39,7 +36,7 @@ def _spark_column(name: str, kind: str) -> Column:
     elif kind == "b":
         c = c.cast("boolean")
     else:
-        c = F.round(c.cast("double") + F.lit(guard(int(kind))), int(kind))
+        c = half_up(c, int(kind))
     return c.alias(name)
 
 
@@ -53,7 +50,7 @@ def _sql_column(name: str, kind: str) -> str:
         return f"CAST({q} AS BIGINT) AS {q}"
     if kind == "b":
         return f"CAST({q} AS BOOLEAN) AS {q}"
-    rounded = f"ROUND(CAST({q} AS DOUBLE) + {guard(int(kind))}::DOUBLE, {kind})"
+    rounded = half_up_sql(q, int(kind))
     return f"CASE WHEN {rounded} = 0 THEN CAST(0 AS DOUBLE) ELSE {rounded} END AS {q}"
 
 
@@ -87,7 +84,10 @@ def query(name: str, out: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             from aisleflow.sources.star import Star
 
-            return conform(fn(Star(spark, sf_dir)), out)
+            star = Star(spark, sf_dir)
+            result = conform(fn(star), out)
+            weakref.finalize(result, star.release)  # frames that the query shares live as long as its result
+            return result
 
         QUERIES[name] = run
         if sql is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import MONEY
+from aisleflow.functions.scalars import MONEY, half_up
 from aisleflow.operators import quality as dq
 from aisleflow.operators import sets
 from aisleflow.operators import windows as win
@@ -249,7 +249,7 @@ cte("importance", "g", "SELECT feature, ROUND(ABS(c) + 1.7320508e-10::DOUBLE, 8)
 
 def importance(s):
     g = win.add_lag_grid(s.daily(), ["revenue", "orders_count"], [7, 14, 30], [7, 30])
-    return dq.corr_with(g, "revenue", FEATURES).select("feature", F.round(F.abs("corr") + 1.7320508e-10, 8).alias("importance"))
+    return dq.corr_with(g, "revenue", FEATURES).select("feature", half_up(F.abs("corr"), 8).alias("importance"))
 
 
 @query(

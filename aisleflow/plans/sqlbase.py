@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from aisleflow.functions.scalars import half_up_sql
+
 # name -> (names it needs, body)
 CTES: dict[str, tuple[str, str]] = {
     "spine": (
@@ -68,21 +70,25 @@ CTES: dict[str, tuple[str, str]] = {
                         CAST(SUM(list_cost) AS DOUBLE) * 0.89::DOUBLE AS cogs, SUM(quantity) AS quantity,
                         COUNT(*) AS item_lines FROM facts GROUP BY 1, 2) USING (series_id, date)""",
     ),
-    "promotions": (
+    "cal_span": (
         "",
+        "SELECT MIN(o_orderdate)::DATE AS lo, DATE_DIFF('day', MIN(o_orderdate)::DATE, MAX(o_orderdate)::DATE) + 1 AS days FROM orders",
+    ),
+    "promotions": (
+        "cal_span",
         """SELECT *, DATE_DIFF('day', start_date, end_date) + 1 AS duration_days,
              ['Spring Sale','Mid-Year Sale','Fall Launch','Year-End Sale','Urban Blowout','Rural Special'][promo_key % 6 + 1]
                || ' ' || CAST(YEAR(start_date) AS VARCHAR) AS promo_name
            FROM (SELECT p_partkey AS promo_key, 'PROMO-' || p_partkey AS promo_id,
              CASE WHEN p_partkey % 10 = 0 THEN 'fixed' ELSE 'percentage' END AS promo_type,
              CAST(5 + p_partkey % 20 AS DOUBLE) AS discount_value,
-             DATE '1995-01-01' + CAST(p_partkey * 131 % 2404 AS INT) AS start_date,
-             DATE '1995-01-01' + CAST(p_partkey * 131 % 2404 AS INT) + p_size - 1 AS end_date,
+             lo + CAST(p_partkey * 131 % days AS INT) AS start_date,
+             lo + CAST(p_partkey * 131 % days AS INT) + p_size - 1 AS end_date,
              CASE WHEN p_partkey % 5 = 0 THEN p_brand WHEN p_partkey % 7 = 0 THEN ' ' END AS applicable_category,
              ['all_channels','online','email','social_media','in_store'][p_partkey % 5 + 1] AS promo_channel,
              ['1','0',' Yes ','no'][p_partkey % 4 + 1] AS stackable_flag,
              CAST(p_partkey % 4 * 50000 AS DOUBLE) AS min_order_value
-           FROM part WHERE p_type = 'PROMO')""",
+           FROM part, cal_span WHERE p_type = 'PROMO')""",
     ),
     "promo_days": (
         "promotions spine",
@@ -104,18 +110,17 @@ CTES: dict[str, tuple[str, str]] = {
            FROM lineitem GROUP BY 1, 2)""",
     ),
     "traffic": (
-        "",
-        """SELECT DATE '1995-01-01' + CAST(((event_id % 49999) * (event_id % 49999) + user_id * 131) % 2404 AS INT) AS date, event_type AS traffic_source,
+        "cal_span",
+        """SELECT lo + CAST(((event_id % 49999) * (event_id % 49999) + user_id * 131) % days AS INT) AS date, event_type AS traffic_source,
              CAST(COUNT(*) AS DOUBLE) AS sessions, CAST(COUNT(DISTINCT user_id) AS DOUBLE) AS unique_visitors,
              CAST(SUM(CAST(json_extract_string(props, '$.k') AS INT)) AS DOUBLE) AS page_views,
              AVG(CASE WHEN value < 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS bounce_rate,
              CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*) AS avg_session_duration_sec
-           FROM events GROUP BY 1, 2""",
+           FROM events, cal_span GROUP BY 1, 2""",
     ),
     "components": (
         "revenue",
-        """SELECT series_id, date, actual, ROUND(last_year + 1.7320508e-4::DOUBLE, 2) AS last_year, ROUND(recent + 1.7320508e-4::DOUBLE, 2) AS recent,
-             ROUND(weekday + 1.7320508e-4::DOUBLE, 2) AS weekday, ROUND(level + 1.7320508e-4::DOUBLE, 2) AS level
+        "SELECT series_id, date, actual, " + ", ".join(f"{half_up_sql(n, 2)} AS {n}" for n in ("last_year", "recent", "weekday", "level")) + """
            FROM (SELECT series_id, date, revenue AS actual, LAG(revenue, 364) OVER w AS last_year,
              CASE WHEN COUNT(revenue) OVER w28 = 28 THEN AVG(revenue) OVER w28 END AS recent,
              (LAG(revenue, 7) OVER w + LAG(revenue, 14) OVER w + LAG(revenue, 21) OVER w + LAG(revenue, 28) OVER w
@@ -124,7 +129,7 @@ CTES: dict[str, tuple[str, str]] = {
            FROM revenue
            WINDOW w AS (ORDER BY date), w28 AS (ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING),
              w365 AS (ORDER BY date ROWS BETWEEN 365 PRECEDING AND 1 PRECEDING))
-           WHERE date >= DATE '1998-01-01'""",
+           WHERE date >= (SELECT MIN(date) + 365 FROM revenue)""",
     ),
 }
 

@@ -15,15 +15,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import MONEY, cents, units
+from aisleflow.functions.scalars import MONEY, cents, half_up, units
 from aisleflow.operators.joins import expand_intervals
 
-# The six campaign names and the traffic window origin.
+# The six campaign names and the promotion channels.
 CAMPAIGNS = ["Spring Sale", "Mid-Year Sale", "Fall Launch", "Year-End Sale", "Urban Blowout", "Rural Special"]
 CHANNELS = ["all_channels", "online", "email", "social_media", "in_store"]
 STACKABLE = ["1", "0", " Yes ", "no"]
-ORIGIN = "1995-01-01"
-SPAN_DAYS = 2404
+#: Days before the first naive forecast: its longest look-back.
+LONGEST_LOOK_BACK = 365
 COGS_RATIO = 0.89
 
 
@@ -68,6 +68,11 @@ class Star:
     def last_date(self) -> Column:
         return self.bounds().select("hi").scalar()
 
+    def spread(self, n: Column) -> Column:
+        """A day of the order calendar for a number: its remainder by the days of the calendar."""
+        days = self.bounds().select((F.datediff("hi", "lo") + 1).alias("n")).scalar()
+        return F.date_add(self.first_date(), (n % days).cast("int"))
+
     def spine(self) -> DataFrame:
         return self.bounds().select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
 
@@ -164,10 +169,9 @@ class Star:
         )
 
     def order_days(self) -> DataFrame:
-        return self.orders().groupBy("date").agg(
-            F.countDistinct("order_id").alias("orders_count"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-        )
+        """Orders and customers per day; order_id is the key of the table."""
+        per_customer = self.orders().groupBy("date", "customer_id").agg(F.count(F.lit(1)).alias("n"))
+        return per_customer.groupBy("date").agg(F.sum("n").alias("orders_count"), F.count("customer_id").alias("unique_customers"))
 
     def order_series(self) -> DataFrame:
         """Dense daily order and customer counts; reads the order table only."""
@@ -217,7 +221,7 @@ class Star:
     def promotions(self) -> DataFrame:
         """One promotion per PROMO product; dates, size and flags follow from its key."""
         k = F.col("p_partkey")
-        start = F.date_add(F.lit(ORIGIN).cast("date"), (k * 131 % SPAN_DAYS).cast("int"))
+        start = self.spread(k * 131)
         return (
             self.table("part")
             .where("p_type = 'PROMO'")
@@ -283,7 +287,7 @@ class Star:
         """Traffic per day and source; events are spread over the order calendar by id."""
         e = self.table("events")
         return e.groupBy(
-            F.date_add(F.lit(ORIGIN).cast("date"), (((F.col("event_id") % 49999) * (F.col("event_id") % 49999) + F.col("user_id") * 131) % SPAN_DAYS).cast("int")).alias("date"),
+            self.spread((F.col("event_id") % 49999) * (F.col("event_id") % 49999) + F.col("user_id") * 131).alias("date"),
             F.col("event_type").alias("traffic_source"),
         ).agg(
             F.count(F.lit(1)).cast("double").alias("sessions"),
@@ -298,7 +302,8 @@ class Star:
         return self.kept("components", self._build_components)
 
     def _build_components(self) -> DataFrame:
-        """date, actual and four naive forecasts from strictly earlier days (wide)."""
+        """date, actual and four naive forecasts from strictly earlier days (wide), from the first day
+        on which the longest look-back is complete."""
         from pyspark.sql import Window
 
         from aisleflow.operators.windows import roll_mean
@@ -319,6 +324,5 @@ class Star:
             roll_mean("revenue", 365).alias("level"),
         )
         names = ["last_year", "recent", "weekday", "level"]
-        return wide.where("date >= date'1998-01-01'").select(
-            "series_id", "date", "actual", *[F.round(F.col(n) + 1.7320508e-4, 2).alias(n) for n in names]
-        )
+        usable = F.date_add(self.first_date(), LONGEST_LOOK_BACK)
+        return wide.where(F.col("date") >= usable).select("series_id", "date", "actual", *[half_up(F.col(n), 2).alias(n) for n in names])

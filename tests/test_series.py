@@ -129,10 +129,10 @@ def test_promo_calendar_on_equal_intervals(spark):
 
 def test_projection_moves_leap_day(spark):
     p = pr.prepare_promotions(promos(spark))
-    got = pr.project_promotions(p, F.lit(2020), 2023).first()
+    got = pr.project_promotions(p, F.lit(2020), F.lit(2023)).first()
     assert (got.promo_id, got.promo_name, str(got.start_date), str(got.end_date), got.duration_days) == ("SYN_PROMO_2023_01", "Fall Launch 2023", "2023-02-28", "2023-03-01", 2)
     assert [r.campaign_index for r in pr.campaign_index(p).orderBy("promo_id").collect()] == [1, 2, 1]
-    assert pr.even_source_year(p, 2022, 2020).first()[0] == 2020
+    assert pr.pattern_year(p, F.lit(2024)).first()[0] == 2020
 
 
 def test_stock_month_fallback(spark):
