@@ -59,8 +59,8 @@ def spike_v1(df: DataFrame, key: str = "series_id") -> DataFrame:
         c("month").isin(HIGH_ERROR_MONTHS).cast("int").alias("is_high_error_month"),
     )
     # compared to ten digits: a volatility equal to its median must not count as high by rounding noise
-    median = win.expanding_median("rel_volatility_30", key)
-    d = d.withColumn("recent_volatility_high", flag_gt(F.round("rel_volatility_30", 10), F.round(median, 10)))
+    d = win.past_quantiles(d, "rel_volatility_30", [0.5], "_median", key)
+    d = d.withColumn("recent_volatility_high", flag_gt(F.round("rel_volatility_30", 10), F.round(F.get("_median", F.lit(0)), 10))).drop("_median")
     return d.select(
         "*",
         product("revenue_lag_365", "month"), product("revenue_lag_365", "day_of_week"), product("revenue_lag_365", "day_of_year"),
@@ -69,8 +69,7 @@ def spike_v1(df: DataFrame, key: str = "series_id") -> DataFrame:
 
 
 def past_quantiles(df: DataFrame, key: str = "series_id", col: str = "revenue") -> DataFrame:
-    q = win.expanding_quantiles(col, [0.80, 0.90, 0.95], key)
-    return df.withColumn("_q", q).select(*df.columns, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("past_p80", "past_p90", "past_p95"))])
+    return win.past_quantiles(df, col, [0.80, 0.90, 0.95], "_q", key).select(*df.columns, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("past_p80", "past_p90", "past_p95"))])
 
 
 def spike_v2(df: DataFrame, key: str = "series_id") -> DataFrame:

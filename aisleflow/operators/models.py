@@ -155,15 +155,17 @@ def compose(orders: Column, aov: Column, shape: Column | None = None) -> Column:
 
 # -- pyspark.ml models ------------------------------------------------------------------
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Features as a vector. A missing value fails the job: impute before (``fit_medians``), so that no
+    row is dropped from training or scoring."""
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, **params):
     from pyspark.ml.regression import GBTRegressor
 
-    kw = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, "subsamplingRate": 0.9, "checkpointInterval": 10, **params}
+    kw = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, "subsamplingRate": 0.9, **params}
     if weight is not None:
         kw["weightCol"] = weight
     return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="predicted", **kw).fit(assembled(df, features))

@@ -7,6 +7,7 @@ Look-back frames end at the previous row; the row being described is never read.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,8 +57,38 @@ def expanding_quantiles(col: str, probs: Sequence[float], key: str = "series_id"
     return F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])).over(frame)
 
 
-def expanding_median(col: str, key: str = "series_id", order: str = "date") -> Column:
-    return expanding_quantile(col, 0.5, key, order)
+def past_quantiles(df: DataFrame, col: str, probs: Sequence[float], out: str, key: str = "series_id", order: str = "date") -> DataFrame:
+    """``df`` with the array ``out`` of exact quantiles of all strictly earlier rows of its series.
+
+    One pass per series: each value is inserted into the sorted values before it, so ten times the
+    rows take about ten times as long, where a window's percentile is evaluated anew for every row.
+    One row per (key, order) is expected; nulls and NaN of ``col`` are skipped.
+    """
+    probs = [float(p) for p in probs]
+    kinds = dict(df.select(F.col(key).alias("_k"), F.col(order).alias("_o")).dtypes)
+
+    def run(rows):
+        seen, found = [], []
+        for v in rows.sort_values("_o", kind="stable")["_v"]:
+            row = None
+            if seen:
+                row = []
+                for p in probs:
+                    at = (len(seen) - 1) * p
+                    lo = int(at)
+                    row.append(seen[lo] if lo == at else (lo + 1 - at) * seen[lo] + (at - lo) * seen[lo + 1])
+            found.append(row)
+            if v is not None and v == v:
+                insort(seen, float(v))
+        done = rows.sort_values("_o", kind="stable")[["_k", "_o"]]
+        done["_q"] = found
+        return done
+
+    narrow = df.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(col).cast("double").alias("_v"))
+    q = narrow.groupBy("_k").applyInPandas(run, f"_k {kinds['_k']}, _o {kinds['_o']}, _q array<double>")
+    q = q.withColumnRenamed("_q", out)
+    return df.join(q, F.col(key).eqNullSafe(F.col("_k")) & (F.col(order) == F.col("_o")), "left").drop("_k", "_o")
+
 
 
 def lag_columns(cols: Sequence[str], lags: Sequence[int], key: str = "series_id") -> list[Column]:

@@ -494,8 +494,9 @@ ML_FEATURES = ["lag_7", "mean_30", "lag_365", "month", "day_of_week"]
 
 
 def ml_table(s):
+    """All rows; look-backs that are not complete get the training median of their series, else 0."""
     p = panel_history(s).join(calendar(s).select("date", "month", "day_of_week"), "date")
-    return p.na.drop(subset=ML_FEATURES)
+    return fx.apply_medians(p, fx.fit_medians(until_cut(p), ML_FEATURES[:3], ["series_id"]), ML_FEATURES[:3], ["series_id"])
 
 
 @query("gbt_forecast", "series_id:s date:d actual:4 predicted:2")
@@ -526,11 +527,33 @@ def spike_probabilities(s):
     r = ft.revenue_history(s.revenue()).join(calendar(s).select("date", "month", "day_of_week"), "date")
     p90 = until_cut(s.revenue()).agg(F.percentile("revenue", F.lit(0.9))).scalar()
     feats = ["revenue_lag_7", "revenue_roll_mean_30", "revenue_lag_365", "month", "day_of_week"]
-    d = r.withColumn("top10", (F.col("revenue") >= p90).cast("int")).na.drop(subset=feats)
+    d = fx.apply_medians(r, fx.fit_medians(until_cut(r), feats[:3], ["series_id"]), feats[:3], ["series_id"])
+    d = d.withColumn("top10", (F.col("revenue") >= p90).cast("int"))
     model = md.fit_spike_classifier(until_cut(d), feats, "top10")
     return md.probability_of(model, d.where("date > date'1999-12-31'"), feats, "prob_top10")
 
 
+@query(
+    "model_output_coverage",
+    "model:s rows:i first_day:d last_day:d valid:i",
+    sql(
+        "panel revenue",
+        f"""SELECT model, COUNT(*) AS rows, MIN(date) AS first_day, MAX(date) AS last_day, COUNT(*) AS valid FROM (
+             SELECT UNNEST(['gbt', 'huber']) AS model, date FROM panel WHERE date > {CUT} UNION ALL SELECT 'spike', date FROM revenue WHERE date > {CUT}) GROUP BY 1""",
+    ),
+)
+def model_output_coverage(s):
+    """Every series and day after the cutoff is scored by each fitted model, with a usable value."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300)
+    parts = [
+        gbt_forecast(s).select(F.lit("gbt").alias("model"), "date", (finite("predicted") & (F.col("predicted") >= 0)).alias("ok")),
+        huber_forecast(s).select(F.lit("huber").alias("model"), "date", finite("predicted").alias("ok")),
+        spike_probabilities(s).select(F.lit("spike").alias("model"), "date", F.col("prob_top10").between(0, 1).alias("ok")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count_if("ok").alias("valid"))
+
+
 # -- end to end -------------------------------------------------------------------------------
 @query(
     "final_forecast",

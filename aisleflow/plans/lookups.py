@@ -95,13 +95,12 @@ def tx_fact(s):
         .select(F.col("c_custkey").alias("customer_id"), F.col("r_name").alias("region"))
     )
     promos = pr.prepare_promotions(s.promotions())
-    return hier.build_fact(items, s.orders().select("order_id", "customer_id", "date"), products, geo, promos)
+    return hier.compact_lines(items, s.orders().select("order_id", "customer_id", "date"), products, geo, promos)
 
 
 @kept
 def compact(s):
-    c = hier.compact_fact(tx_fact(s).withColumn("raw_cogs", units("raw_cogs")))
-    return c.withColumns({x: F.col(x) / MONEY for x in ("raw_revenue", "raw_cogs")})
+    return tx_fact(s).withColumns({x: F.col(x) / MONEY for x in ("raw_revenue", "raw_cogs")})
 
 
 @kept

@@ -133,9 +133,8 @@ def rolling_median_and_smoothing(s):
     ),
 )
 def expanding_quantiles(s):
-    return s.revenue().select(
-        "date", win.expanding_quantiles("revenue", [0.8, 0.9, 0.95, 0.5]).alias("q")
-    ).select("date", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(["p80", "p90", "p95", "median"])])
+    q = win.past_quantiles(s.revenue(), "revenue", [0.8, 0.9, 0.95, 0.5], "q")
+    return q.select("date", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(["p80", "p90", "p95", "median"])])
 
 
 @query(

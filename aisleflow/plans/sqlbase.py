@@ -120,7 +120,7 @@ CTES: dict[str, tuple[str, str]] = {
     ),
     "components": (
         "revenue",
-        "SELECT series_id, date, actual, " + ", ".join(f"{half_up_sql(n, 2)} AS {n}" for n in ("last_year", "recent", "weekday", "level")) + """
+        "SELECT series_id, date, actual, " + ", ".join(f"{half_up_sql(half_up_sql(n, 6), 2)} AS {n}" for n in ("last_year", "recent", "weekday", "level")) + """
            FROM (SELECT series_id, date, revenue AS actual, LAG(revenue, 364) OVER w AS last_year,
              CASE WHEN COUNT(revenue) OVER w28 = 28 THEN AVG(revenue) OVER w28 END AS recent,
              (LAG(revenue, 7) OVER w + LAG(revenue, 14) OVER w + LAG(revenue, 21) OVER w + LAG(revenue, 28) OVER w

@@ -325,4 +325,4 @@ class Star:
         )
         names = ["last_year", "recent", "weekday", "level"]
         usable = F.date_add(self.first_date(), LONGEST_LOOK_BACK)
-        return wide.where(F.col("date") >= usable).select("series_id", "date", "actual", *[half_up(F.col(n), 2).alias(n) for n in names])
+        return wide.where(F.col("date") >= usable).select("series_id", "date", "actual", *[half_up(half_up(F.col(n), 6), 2).alias(n) for n in names])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -130,12 +129,8 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's checkpoint folder (a local one only in local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = tempfile.mkdtemp(prefix="aisleflow-")
+    """A new folder name under the cluster's checkpoint folder, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
