@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aisleflow.llm.storage import without
 
 #: Bigrams of all templates up to which they are sent to every task.
 SMALL = 100_000

@@ -88,13 +88,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ``vectors`` and ``queries`` are (vec_id long, v array<long>); a query never matches the vector of
     its own id. Ranks start at 1, ties go to the smaller vec_id, and fewer candidates give fewer rows.
     Edge cases: null vectors and null ids take no part; shorter vectors count as filled up with
-    zeros; rows that repeat an id each count as a candidate; scores beyond a long are clipped to it;
+    zeros; rows that repeat an id each count as a candidate, but are one query (with the
+    smallest of their vectors); scores beyond a long are clipped to it;
     empty frames give an empty frame. Blocks are ranges, so equal vectors spread over many of them.
     """
     usable = "vec_id is not null and v is not null"
-    vectors, queries = vectors.select("vec_id", "v").where(usable), queries.select("vec_id", "v").where(usable)
+    vectors = vectors.select("vec_id", "v").where(usable)
+    queries = queries.select("vec_id", "v").where(usable).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = _blocks(vectors)
-    queries = materialize(queries.join(_floors(blocks, queries, k), "vec_id", "left"), "queries")
+    queries = materialize(queries.join(_floors(blocks, queries, k), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(LEAST))), "queries")
     tasks = blocks.sparkSession.sparkContext.defaultParallelism
     n_blocks, n_queries = blocks.count(), queries.count()
     chunks = max(1, -(-n_queries // CHUNK))
@@ -107,7 +109,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if not len(q) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         width = max(int(b["width"].max()), max(map(len, q["v"])))
-        found = list(search(matrix(list(q["v"]), width), q["vec_id"].to_numpy(), q["floor"].fillna(LEAST).astype("int64").to_numpy(), _unpack(b, width), k))
+        found = list(search(matrix(list(q["v"]), width), q["vec_id"].to_numpy(), q["floor"].to_numpy(), _unpack(b, width), k))
         own = q["vec_id"].to_numpy()
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pd.DataFrame({"query_id": join([np.full(len(ids), own[i]) for i, ids, _ in found]), "vec_id": join([ids for _, ids, _ in found]), "score": join([s for _, _, s in found])})
