@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at a time; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 U = np.uint64
 SPACE = np.zeros(256, bool)

@@ -31,9 +31,11 @@ MANTISSA = 10  # bits kept after the leading one
 BAND = 4  # registers in a band: 32 bands, each 64 bits
 BUCKETS = 1 << BUCKET_BITS
 #: Pairs given to one verification step, and members of a bucket that one task compares.
-PAIRS, PIECE = 64, 1000
+PAIRS, PIECE = 64, 500
+#: Longs in the bit map of ids (2 MB).
+WORDS = 1 << 18
 #: Members above which a bucket is dealt again by a second band.
-DEAL = 20 * PIECE
+DEAL = 40 * PIECE
 
 U = np.uint64
 
@@ -193,7 +195,7 @@ def _link(percent: int):
         own, of = own[of >= 0], of[of >= 0]
         order = np.argsort(of, kind="stable")
         own, of = own[order], of[order]
-        common = np.zeros((len(sets), len(sets)))
+        common = np.zeros((len(sets), len(sets)), np.float32)  # exact: whole numbers below 2**24
         for start in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
             lo, hi = np.searchsorted(of, [start, start + 4096])
             grid = np.zeros((len(sets), 4096), np.float32)
@@ -205,6 +207,16 @@ def _link(percent: int):
     return _by_group(work)
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of these distinct ids. A bit map of hashed ids, of at most ``WORDS``
+    longs however many ids there are, is sent to every task first, so that few other texts are moved."""
+    place, bit = F.pmod(F.xxhash64("doc_id"), F.lit(WORDS)), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, 1), 64) as int))")
+    seen = ids.select(place.alias("_place"), bit.alias("_bit")).groupBy("_place").agg(F.bit_or("_bit").alias("_bits"))
+    rows = docs.withColumns({"_at": place, "_bit": bit}).join(F.broadcast(seen), F.col("_at") == F.col("_place"))
+    rows = rows.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*docs.columns)
+    return rows.join(ids, "doc_id", "left_semi")
+
+
 def _links_within(members: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members (bucket, node) of one bucket that lie in different components.
 
@@ -228,7 +240,8 @@ def _links_within(members: DataFrame, found: DataFrame, classes: DataFrame, docs
     group = ["bucket", "i", "j"]
     flagged = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_flag(percent / 100), "bucket long, i int, j int, piece int, node long, component long")
     flagged = materialize(flagged, "flagged")
-    texts = flagged.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
+    wanted = materialize(_among(docs, flagged.select(F.col("node").alias("doc_id")).distinct()), "texts")
+    texts = flagged.join(wanted.select(F.col("doc_id").alias("node"), "text"), "node")
     return materialize(texts.repartition(*group).sortWithinPartitions(*group).mapInArrow(_link(percent), "a long, b long").distinct(), "links")
 
 
@@ -288,7 +301,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     stars = stars.join(rb, "b").join(ra, "a").where(likely(percent / 100, F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")))
     stars = materialize(stars.select("a", "b", "bands"), "stars")
     ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(ends, "doc_id", "left_semi"), "texts")
+    texts = materialize(_among(docs, ends), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         return materialize(confirm(pairs.distinct(), texts, percent).distinct(), "links")
