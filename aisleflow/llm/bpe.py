@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from aisleflow.llm.storage import without
 
 #: Units remembered by a worker in each of two generations; more only cost time. About 200 bytes each.
-MEMO = 500_000
+MEMO = 200_000
 #: Units that are one pre-token in any pattern with runs of letters behind an optional space.
 PLAIN = re.compile(" ?[A-Za-z]+").fullmatch
 #: Texts handled at a time, so that a batch of very long texts is never held twice.
-SLICE = 256
+SLICE = 128
 
 # The characters of the Unicode property White_Space.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
