@@ -27,9 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows without an id all stay."""
+    """One document of each group of near-duplicates, linked from a similarity of 0.8 on (op6 has its
+    own contract of 0.85); rows without an id all stay."""
     importable(spark)
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_dup.near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

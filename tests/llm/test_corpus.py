@@ -262,6 +262,24 @@ def test_pipeline(spark, small):
     assert word_count is not None
 
 
+def test_pipeline_links_at_80(spark, small):
+    """The near-dedup stage against brute force at 0.8, with pairs between 0.8 and 0.85 and below 0.8."""
+    import corpus_pipeline as p
+
+    base = [[f"n{k}w{i}" for i in range(105)] for k in range(2)]  # 101 shingles; an edit in mid-text changes 5
+    edited = lambda k, at: " ".join("edit" if i in at else w for i, w in enumerate(base[k]))
+    pairs = [(90_000, edited(0, ())), (90_001, edited(0, (40, 70))), (90_002, edited(1, ())), (90_003, edited(1, (40, 60, 80)))]
+    a, b, c, d = (shingles(t) for _, t in pairs)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and len(c & d) / len(c | d) < 0.8
+    texts = {r["doc_id"]: r["text"] for r in small.collect()} | dict(pairs)
+    docs = small.unionByName(spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in pairs], SCHEMA))
+    got = {r["doc_id"] for r in p.near_dedup(spark, docs, SF).collect()}
+    assert got == set(components(texts, percent=80).values())
+    assert 90_001 not in got and 90_003 in got
+    op6 = {r["doc_id"]: r["kept"] for r in near_dup.near_duplicates(docs).collect()}
+    assert op6[90_001] and op6[90_003]
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_odd_rows(spark, odd, stage):
     import corpus_pipeline as p
