@@ -1,7 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
-Every run of consecutive sentences is hashed: from each sentence on, at least ``SENTENCES`` of them and
-as many more as it takes to have ``WORDS`` words. Equal runs meet in one global join; the run in the
+Runs of consecutive sentences are hashed: from each sentence on and back from each sentence, at least
+``SENTENCES`` of them and as many more as it takes to have ``WORDS`` words, and each sentence that has
+``ALONE`` words by itself. So every repeated stretch of whole sentences that holds such a run is covered
+from its first sentence to its last. Equal runs meet in one global join; the run in the
 document with the smallest id is the first, and the sentences of every other one are removed.
 """
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from aisleflow.llm.storage import materialize, without
 
 SENTENCES, WORDS = 2, 20
+ALONE = 20  # words that make one sentence a run
 #: The white space after a sentence: after its full stop, or with a line break in it.
 END = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|[\n\r][\x20\x09-\x0D]*")
 
@@ -31,21 +34,29 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(text: str) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, hash) of every run; sentences without words join the next.
-    Hashes ignore ASCII case and white space."""
+    """(first sentence, number of sentences, hash) of every run, in order; sentences without words join
+    the next. Hashes ignore ASCII case and white space."""
     words = [s.encode().lower().split() for s in sentences(text)]
     place = [i for i, w in enumerate(words) if w]  # sentences with words
     sizes = [len(words[i]) for i in place]
     plain = [b" ".join(words[i]) for i in place]
-    out, j, n = [], 0, 0  # n: words in sentences i to j - 1
-    for i, first in enumerate(place):
+    ends = {(i, i + 1) for i, n in enumerate(sizes) if n >= ALONE}
+    j, n = 0, 0  # n: words in sentences i to j - 1
+    for i in range(len(place)):
         while j < len(place) and (j - i < SENTENCES or n < WORDS):
             n, j = n + sizes[j], j + 1
         if j - i < SENTENCES or n < WORDS:
             break
-        out.append((first, place[j - 1] - first + 1, xxhash.xxh3_128_digest(b" ".join(plain[i:j]))))
+        ends.add((i, j))
         n -= sizes[i]
-    return out
+    i, n = 0, 0  # back from each sentence: the last start that leaves enough
+    for j in range(1, len(place) + 1):
+        n += sizes[j - 1]
+        while j - i > SENTENCES and n - sizes[i] >= WORDS:
+            n, i = n - sizes[i], i + 1
+        if j - i >= SENTENCES and n >= WORDS:
+            ends.add((i, j))
+    return [(place[i], place[j - 1] - place[i] + 1, xxhash.xxh3_128_digest(b" ".join(plain[i:j]))) for i, j in sorted(ends)]
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +98,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``docs`` with n_sentences and n_removed, and without the repeated sentences in ``text``.
 
     Edge cases: null texts stay null and have no sentences; empty texts and texts below
-    the length of a run lose nothing; a document all of whose sentences repeat keeps an empty text;
+    the length of a run lose nothing; what shares a sentence with other text is not whole and stays; a document all of whose sentences repeat keeps an empty text;
     null ids come last when the first occurrence is chosen; rows with equal id and text are one
     document and stay equal; an empty frame gives an empty frame; other columns pass unchanged, ones
     named like the added ones are replaced.

@@ -182,6 +182,33 @@ def test_spans_odd_rows(spark, odd):
     assert spans.remove_repeated(odd.limit(0)).count() == 0
 
 
+def test_spans_of_glued_passages(spark):
+    """Passages that start or end inside a sentence of the host, and tails below the word floor."""
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + ". "
+    long, head, mid, tail = say("long", 47), say("head", 12), say("mid", 12), say("tail", 9)
+    rows = [
+        (1, "Start. " + say("six", 6) + long + "End."), (2, "Glued to " + say("six", 6) + long + "Other end."),  # one whole sentence
+        (3, "Start. " + head + mid + tail + "End."), (4, "Own. " + head + mid + tail + "Quite another text follows here with its own words."),  # a tail below 20 words
+        (5, "Start. " + say("p", 19) + "End."), (6, "Own. " + say("p", 19) + "Other."),  # one sentence below 20 words stays
+    ]
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {2: "Glued to " + say("six", 6) + "Other end.", 4: "Own. Quite another text follows here with its own words."}
+
+
+def test_runs_cover_repeated_stretches():
+    """Every repeated stretch of whole sentences is covered by the runs inside it."""
+    rng = random.Random(8)
+    for _ in range(300):
+        sizes = [rng.choice([1, 3, 8, 12, 19, 20, 30]) for _ in range(rng.randint(1, 9))]
+        said = [" ".join(f"s{i}w{j}" for j in range(n)) + ". " for i, n in enumerate(sizes)]
+        a = rng.randrange(len(sizes))
+        b = rng.randint(a + 1, len(sizes))
+        once, again = ({h: (i, n) for i, n, h in spans.runs(t)} for t in ("".join(said), "New. " + "".join(said[a:b]) + "Other."))
+        covered = {x - 1 + a for h in once.keys() & again.keys() for x in range(again[h][0], sum(again[h]))}
+        whole = sum(sizes[a:b]) >= spans.WORDS and (b - a >= spans.SENTENCES or sizes[a] >= spans.ALONE)
+        assert covered == (set(range(a, b)) if whole else set()), (sizes, a, b)
+
+
 def test_licences_by_hand(spark, odd):
     t = licences.templates(spark)
     docs = spark.createDataFrame([
