@@ -247,6 +247,28 @@ def test_co_training_learns_from_the_other_view():
     assert ((both > 0.5) == y[3000:]).mean() > 0.95 > ((alone > 0) == y[3000:]).mean()
 
 
+def test_co_training_uses_every_unlabelled_document(spark):
+    """The pool in Spark against the same training in memory, and a kind of junk beyond any fixed sample."""
+    rng = np.random.default_rng(3)
+    n, k = 9000, 300  # more unlabelled documents than the 6,000 that were once drawn
+    y = rng.integers(0, 2, n)
+    x = rng.normal(size=(n, cotrain.TEXT_FEATURES))
+    x[:, 0] += 2 * y
+    s, g = rng.integers(0, 5, n) + 10 * y, rng.integers(20, 23, n)
+    size = [None if i % 50 == 0 else int(v) for i, v in enumerate(rng.integers(0, 5000, n))]
+    ties = rng.integers(-(2**63), 2**63 - 1, n)
+    pool = np.argsort(ties[k:]) + k
+    m = cotrain.page_rows(s, g, size)
+    want = cotrain.co_train(x[:k], m[:k], y[:k].astype(float), x[pool], m[pool])
+    rows = [(x[i].tobytes(), int(s[i]), int(g[i]), size[i], int(ties[i])) for i in range(k, n)]
+    table = spark.createDataFrame(rows, "x binary, s int, g int, n long, tie long").repartition(6)
+    got = cotrain.co_train_table(x[:k], m[:k], y[:k].astype(float), table)
+    for a, b in zip(got.scores(x, m), want.scores(x, m), strict=True):
+        assert abs(a - b).max() < 0.01
+    few = cotrain.co_train(x[:k], m[:k], y[:k].astype(float), x[pool[:6000]], m[pool[:6000]])
+    assert abs(few.scores(x, m)[2] - want.scores(x, m)[2]).max() > 0.01
+
+
 def test_co_training_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (8, 0), (6, 1), (7, 0), (7, 1), (None, 1), (9, None)], "doc_id long, quality int")
     assert cotrain.classify(odd, labels).count() == odd.count()
