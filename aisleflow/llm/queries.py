@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleflow.llm import bpe, cotrain, licences, line_rules, mix, near_dup, pii, spans, topk, word_piece
+from aisleflow.llm import bpe, cotrain, licences, line_rules, mix, near_dup, pii, repair, spans, topk, word_piece
 from aisleflow.llm.storage import documents, importable, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,60 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cotrain.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return scored.select("doc_id", "text_score", "page_score", "quality_score", "kept")
+
+
+@register("op11_auction_repair", r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), code AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda x: ascii(x)::BIGINT),
+                         lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 20 AS code
+  FROM conversations, crc
+), r AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, n
+  FROM code, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS u(n) WHERE code <> 0
+), f AS (
+  SELECT *, row_number() OVER o AS i, left(role, 1) AS c, lag(left(role, 1)) OVER o AS before, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) > 1 AS seen, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n)
+), figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (NOT blank AND seen)::BIGINT AS duplicate,
+         count(*) FILTER (NOT blank AND NOT seen AND cut)::BIGINT AS truncated, count(*) FILTER (before IS NOT NULL AND concat(before, c) NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM f GROUP BY conv_id
+), best AS (  -- cheapest edits so far, by the last kept role: none, system, user, assistant
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS b0, {'c': 1000000000::BIGINT, 'a': ''} AS b1, {'c': 1000000000::BIGINT, 'a': ''} AS b2, {'c': 1000000000::BIGINT, 'a': ''} AS b3
+  FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT conv_id, i, {'c': b0.c + 4, 'a': b0.a || 'D'},
+         list_min([{'c': b1.c + 4, 'a': b1.a || 'D'}, {'c': b0.c + k + CASE WHEN c = 's' THEN 0 ELSE 1000000000 END, 'a': b0.a || 'K'}]),
+         list_min([{'c': b2.c + 4, 'a': b2.a || 'D'}, {'c': b0.c + k + CASE WHEN c = 'u' THEN 0 ELSE 3 END, 'a': b0.a || CASE WHEN c = 'u' THEN 'K' ELSE 'R' END},
+                   {'c': b1.c + k + CASE WHEN c = 'u' THEN 0 ELSE 3 END, 'a': b1.a || CASE WHEN c = 'u' THEN 'K' ELSE 'R' END}, {'c': b3.c + k + CASE WHEN c = 'u' THEN 0 ELSE 3 END, 'a': b3.a || CASE WHEN c = 'u' THEN 'K' ELSE 'R' END}]),
+         list_min([{'c': b3.c + 4, 'a': b3.a || 'D'}, {'c': b2.c + k + CASE WHEN c = 'a' THEN 0 ELSE 3 END, 'a': b2.a || CASE WHEN c = 'a' THEN 'K' ELSE 'R' END}])
+  FROM (
+    SELECT conv_id, i, c, k, b0, b1, b2, list_min([b3, {'c': b2.c + 3, 'a': b2.a || 'I'}]) AS b3 FROM (
+      SELECT f.conv_id, f.i, c, CASE WHEN blank OR seen THEN 1000000000 WHEN cut THEN 3 ELSE 0 END AS k, b0, b1, b3,
+             list_min([b2, {'c': b0.c + 3, 'a': b0.a || 'I'}, {'c': b1.c + 3, 'a': b1.a || 'I'}, {'c': b3.c + 3, 'a': b3.a || 'I'}]) AS b2
+      FROM best JOIN f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.i = best.i + 1))
+), ended AS (
+  SELECT conv_id, list_min([b0, b3, {'c': b2.c + 3, 'a': b2.a || 'I'}, {'c': b1.c + 6, 'a': b1.a || 'II'}]) AS b
+  FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), steps AS (
+  SELECT conv_id, k, l, sum((l <> 'D')::INT) OVER w AS said, sum((l <> 'I')::INT) OVER w AS i
+  FROM (SELECT conv_id, unnest(range(1, len(b.a) + 1)) AS k, unnest(string_split(b.a, '')) AS l FROM ended WHERE b.a <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), spoken AS (
+  SELECT steps.conv_id, k, l, said, role, text, bool_or(said = 1 AND l = 'K' AND c = 's') OVER (PARTITION BY steps.conv_id) AS opened
+  FROM steps LEFT JOIN f ON steps.conv_id IS NOT DISTINCT FROM f.conv_id AND steps.i = f.i AND l <> 'I' WHERE l <> 'D'
+), said AS (
+  SELECT conv_id, sha256(string_agg(concat(CASE WHEN l = 'K' THEN role WHEN (said % 2 = 1) = opened THEN 'assistant' ELSE 'user' END, ':', coalesce(text, '')), chr(10) ORDER BY k)) AS digest
+  FROM spoken GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN figures x ON d.conv_id IS NOT DISTINCT FROM x.conv_id
+LEFT JOIN ended e ON d.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN said s ON d.conv_id IS NOT DISTINCT FROM s.conv_id
+""")
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(documents(spark, sf_dir, "conversations"))
+    return repair.summarize(repair.repair(damaged)).select("conv_id", *repair.FIGURES, "audit", "repaired_sha256")
