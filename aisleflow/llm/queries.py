@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleflow.llm import bpe, cotrain, licences, line_rules, mix, near_dup, pii, repair, spans, topk, word_piece
+from aisleflow.llm import bpe, cotrain, licences, line_rules, mix, near_dup, negatives, pii, repair, spans, topk, word_piece
 from aisleflow.llm.storage import documents, importable, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,3 +257,23 @@ LEFT JOIN ended e ON d.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN said s O
 def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = repair.damage(documents(spark, sf_dir, "conversations"))
     return repair.summarize(repair.repair(damaged)).select("conv_id", *repair.FIGURES, "audit", "repaired_sha256")
+
+
+@register("op13_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, list_sum(list_transform(list_zip(a.v, d.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v d ON a.vec_id <> d.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.vectors(documents(spark, sf_dir, "embeddings"), label)
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
