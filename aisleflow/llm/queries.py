@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleflow.llm import bpe, cotrain, licences, line_rules, mix, near_dup, negatives, pii, repair, spans, topk, word_piece
+from aisleflow.llm import bpe, cotrain, langid, licences, line_rules, mix, near_dup, negatives, pii, repair, spans, topk, word_piece
 from aisleflow.llm.storage import documents, importable, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +259,15 @@ def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.summarize(repair.repair(damaged)).select("conv_id", *repair.FIGURES, "audit", "repaired_sha256")
 
 
+@register("op12_char_models")
+def op12_char_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    taught = docs.where(part != 2).select("lang", "text", (part == 3).alias("spare"))
+    held = docs.select("doc_id", (part == 2).alias("held_out"), "text")
+    return langid.identify(held, taught).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 @register("op13_hard_negatives", """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
