@@ -14,6 +14,16 @@ def workers(spark):
     importable(spark)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_left(spark):
+    """Written folders and cached frames end with each module."""
+    from aisleflow.llm.storage import release
+
+    yield
+    release(spark)
+    spark.catalog.clearCache()
+
+
 def words(text):
     return WORD.findall(text or "")
 

@@ -228,12 +228,12 @@ def test_pipeline(spark, small):
     import public_tokenizers
     import tiktoken
     from aisleflow.llm import cotrain
-    from aisleflow.llm.storage import word_count
+    from aisleflow.llm.storage import materialize
 
     docs, seen = small, []
-    for _, stage in p.STAGES:
+    for name, stage in p.STAGES:
         before = docs
-        docs = stage(spark, docs, SF).cache()
+        docs = materialize(stage(spark, docs, SF), name.replace(" ", "-").lower())
         seen.append((before.collect(), docs.collect()))
     assert all(list(b[0].asDict()) == list(a[0].asDict()) for b, a in seen[:-1])
     ids = lambda rows: {r["doc_id"] for r in rows}
@@ -241,7 +241,7 @@ def test_pipeline(spark, small):
     verdict = {r["doc_id"]: r["kept"] for r in cotrain.classify(small, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert ids(seen[0][1]) == {d for d, k in verdict.items() if k} and not all(verdict.values())
     # near-duplicates: the first of each group by brute force
-    groups = components({r["doc_id"]: r["text"] for r in seen[1][0]})
+    groups = components({r["doc_id"]: r["text"] for r in seen[1][0]}, percent=80)
     assert ids(seen[1][1]) == set(groups.values())
     # personal data: same documents, no address left
     real = {m for r in seen[2][0] for m in re.findall(r"\S+@\S+\.com|\d+\.\d+\.\d+\.\d+|AKIA\w{16}", r["text"] or "")}
@@ -259,7 +259,6 @@ def test_pipeline(spark, small):
     wanted = Counter((r["doc_id"], tuple(library.encode_ordinary(r["text"] or ""))) for r in seen[4][0])
     assert wanted == Counter((r["doc_id"], tuple(r["token_ids"])) for r in seen[4][1])
     assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in p.run(spark, SF).collect()) == wanted
-    assert word_count is not None
 
 
 def test_pipeline_links_at_80(spark, small):
@@ -287,13 +286,16 @@ def test_stages_take_odd_rows(spark, odd, stage):
     name, run = p.STAGES[stage]
     out = run(spark, odd, SF)
     assert stage == 4 or out.columns == odd.columns
-    assert out.count() > 0 or name == "x"
+    if name == "mixing sources":  # a row more than twice: its source's words are few
+        assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in odd.collect()}
+    else:
+        assert 0 < out.count() <= odd.count()
     assert run(spark, odd.limit(0), SF).count() == 0
 
 
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in entry.queries() if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in entry.queries() and SCHEMA and QUERIES

@@ -147,20 +147,26 @@ def test_line_rules_odd_rows(spark, odd):
 
 
 def brute_spans(texts):
-    """doc_id -> text without the sentences of runs seen earlier."""
+    """doc_id -> text without every stretch of whole sentences seen earlier that is long enough: some
+    sentences with enough words in all, or one long sentence. Of the long ones, only stretches that cease
+    to be long enough without their first or their last sentence are tried: they cover all others."""
     seen, out = {}, {}
     for d in sorted(texts):
-        s = re.findall(r"(?s).*?(?:(?<=[.!?])[\x20\x09-\x0D]+|[\n\r][\x20\x09-\x0D]*|$)", texts[d] or "")
-        s = [x for x in s if x]
+        s = [x for x in re.findall(r"(?s).*?(?:(?<=[.!?])[\x20\x09-\x0D]+|[\n\r][\x20\x09-\x0D]*|$)", texts[d] or "") if x]
         w = [[re.sub("[A-Z]", lambda m: m[0].lower(), y) for y in words(x)] for x in s]
+        said = [i for i, x in enumerate(w) if x]
+
+        def enough(a, b):
+            return b - a >= spans.SENTENCES and sum(len(w[i]) for i in said[a:b]) >= spans.WORDS
+
         gone = set()
-        for i in range(len(s)):
-            for j in range(i + 1, len(s) + 1):
-                part = [x for x in w[i:j] if x]
-                if w[i] and w[j - 1] and len(part) >= spans.SENTENCES and sum(map(len, part)) >= spans.WORDS:
-                    if seen.setdefault(tuple(y for x in part for y in x), (d, i)) != (d, i):
-                        gone |= set(range(i, j))
+        for a in range(len(said)):
+            for b in range(a + 1, len(said) + 1):
+                if enough(a + 1, b) and enough(a, b - 1):
                     break
+                if enough(a, b) or b - a == 1 and len(w[said[a]]) >= spans.ALONE:
+                    if seen.setdefault(tuple(y for i in said[a:b] for y in w[i]), (d, a, b)) != (d, a, b):
+                        gone |= set(range(said[a], said[b - 1] + 1))
         out[d] = None if texts[d] is None else "".join(x for i, x in enumerate(s) if i not in gone)
     return out
 
