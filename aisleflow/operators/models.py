@@ -2,7 +2,8 @@
 
 Linear models are fitted from moments (counts, sums, cross products), which Spark adds up per
 group: any number of series, regimes, windows or folds is one aggregation, and only k x k
-systems reach the small numpy solver. Trees and classifiers come from pyspark.ml.
+systems reach the small numpy solver. Trees of any depth come from pyspark.ml; boosting from moments is
+in ``boosting``, robust, quantile and logistic models are in ``robust``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from aisleflow.functions.scalars import clip
 
 Z = 1e-9
+ROUNDS = 360  # of boosted trees, at most
 
 
 # -- ridge from moments -------------------------------------------------------------
@@ -25,8 +27,9 @@ def moment_names(k: int) -> list[str]:
     return ["n", "sy", *[f"sx_{i}" for i in range(k)], *[f"sxy_{i}" for i in range(k)], *[f"sxx_{i}_{j}" for i in range(k) for j in range(i, k)]]
 
 
-def moments(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Sufficient statistics per group over rows where the label and all features are present."""
+def moments(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str], weight: str | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """Sufficient statistics per group over rows where the label and all features are present, and
+    further aggregates of the same pass."""
     rows = df.na.drop(subset=[*features, label])
     w = F.lit(1.0) if weight is None else F.col(weight)
     k = len(features)
@@ -35,7 +38,7 @@ def moments(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str
     aggs = [F.sum(w).alias("n"), F.sum(w * y).alias("sy")]
     aggs += [F.sum(w * x[i]).alias(f"sx_{i}") for i in range(k)] + [F.sum(w * x[i] * y).alias(f"sxy_{i}") for i in range(k)]
     aggs += [F.sum(w * x[i] * x[j]).alias(f"sxx_{i}_{j}") for i in range(k) for j in range(i, k)]
-    return rows.groupBy(*by).agg(*aggs)
+    return rows.groupBy(*by).agg(*aggs, *extra)
 
 
 def solve_ridge(k: int, alpha: float):
@@ -162,37 +165,19 @@ def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
 
 
-def fit_gbt(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, **params):
+def fit_gbt(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, validation: str | None = None, **params):
+    """Trees of pyspark.ml, ``ROUNDS`` of them at most. With a boolean ``validation`` column boosting stops
+    once a round lowers the error on those rows by less than ``validationTol``."""
     from pyspark.ml.regression import GBTRegressor
 
-    kw = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, "subsamplingRate": 0.9, **params}
+    kw = {"maxIter": ROUNDS if validation else 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42, "subsamplingRate": 0.9, **params}
     if weight is not None:
         kw["weightCol"] = weight
+    if validation is not None:
+        kw |= {"validationIndicatorCol": validation, "validationTol": 0.01}
     return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="predicted", **kw).fit(assembled(df, features))
 
 
-def fit_huber(df: DataFrame, features: Sequence[str], label: str):
-    from pyspark.ml.regression import LinearRegression
-
-    return LinearRegression(featuresCol="features", labelCol=label, predictionCol="predicted", loss="huber", epsilon=1.35, regParam=0.0005, maxIter=100).fit(assembled(df, features))
-
-
-def fit_spike_classifier(df: DataFrame, features: Sequence[str], label: str):
-    """Class-balanced logistic regression; probabilities come from probability_of."""
-    from pyspark.ml.classification import LogisticRegression
-
-    share = df.agg(F.avg(F.col(label).cast("double"))).scalar()
-    d = df.withColumn("_w", F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w", predictionCol="predicted_label", probabilityCol="_prob", rawPredictionCol="_raw", regParam=0.01, maxIter=100).fit(assembled(d, features))
-
-
-def probability_of(model, df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    s = model.transform(assembled(df, features))
-    return s.withColumn(out, vector_to_array("_prob")[1]).drop("features", "_prob", "_raw", "predicted_label")
-
-
 def tree_importance(spark, model, features: Sequence[str]) -> DataFrame:
     rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in rows])))

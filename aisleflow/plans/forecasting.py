@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aisleflow.functions import scalars as fx
+from aisleflow.functions.scalars import half_up_sql
+from aisleflow.operators import boosting as bo
 from aisleflow.operators import features as ft
 from aisleflow.operators import metrics as mt
 from aisleflow.operators import models as md
@@ -12,11 +14,12 @@ from aisleflow.operators import promos as pr
 from aisleflow.operators import quality as dq
 from aisleflow.operators import recursive as rc
 from aisleflow.operators import references as ref
+from aisleflow.operators import robust as rb
 from aisleflow.operators import windows as win
 from aisleflow.plans.calendar_promos import active_days, calendar
 from aisleflow.plans.daily_facts import funnel
 from aisleflow.plans.evaluation import BASIC_OUT, M_SQL, drivers
-from aisleflow.plans.feature_blocks import scored
+from aisleflow.plans.feature_blocks import ABOVE, RATIOS, SPIKES, ZS, scored, spike_table
 from aisleflow.plans.lookups import _back, _wavg, seasonal_table
 from aisleflow.plans.registry import kept, query
 from aisleflow.plans.series_windows import FEATURES, importance, lagged, strict
@@ -244,6 +247,67 @@ def quantile_forecast(s):
     return md.conformal_quantile(d, F.col("date") <= F.lit("1999-12-31").cast("date"), ["regime"], [0.65, 0.70, 0.75])
 
 
+def chained(needs: str, steps: dict[str, str], body: str) -> str:
+    """SQL with named steps, each kept once it is computed."""
+    given = sql(needs, "").strip().removeprefix("WITH ")
+    return "WITH " + ",\n".join([given, *[f"{k} AS MATERIALIZED ({b})" for k, b in steps.items()]]) + "\n" + body
+
+
+def wls_sql(source: str, by: str, w: str, extra: str = "") -> str:
+    """Weighted least squares of y on x1 and x2 per group by centred sums, in closed form."""
+    sums = ", ".join(f"SUM(w * ({a} - m{a}) * ({b} - m{b})) AS {n}" for n, a, b in (("c11", "x1", "x1"), ("c12", "x1", "x2"), ("c22", "x2", "x2"), ("c1", "x1", "y"), ("c2", "x2", "y")))
+    means = ", ".join(f"SUM(w * {a}) OVER p / SUM(w) OVER p AS m{a}" for a in ("x1", "x2", "y"))
+    return f"""SELECT *, my - b1 * mx1 - b2 * mx2 AS b0 FROM (
+      SELECT *, (c22 * c1 - c12 * c2) / (c11 * c22 - c12 * c12) AS b1, (c11 * c2 - c12 * c1) / (c11 * c22 - c12 * c12) AS b2 FROM (
+        SELECT {by}, ANY_VALUE(mx1) AS mx1, ANY_VALUE(mx2) AS mx2, ANY_VALUE(my) AS my, {sums}{extra} FROM (
+          SELECT *, {means} FROM (SELECT *, {w} AS w FROM ({source})) WINDOW p AS (PARTITION BY {by})) GROUP BY {by}))"""
+
+
+ALPHAS = [0.65, 0.70, 0.75]
+
+
+def pinball_sql(body: str) -> str:
+    rows = f"SELECT series_id, date, lag_7 AS x1, mean_30 AS x2, revenue AS y, UNNEST([{', '.join(f'{a}::DOUBLE' for a in ALPHAS)}]) AS alpha FROM phist WHERE date <= {CUT} AND lag_7 IS NOT NULL AND mean_30 IS NOT NULL"
+    steps = {"prow": rows, "pin0": wls_sql("SELECT * FROM prow", "series_id, alpha", "1::DOUBLE")}
+    r = "(y - (b0 + b1 * x1 + b2 * x2))"
+    steps["least"] = f"SELECT series_id, alpha, 0.1::DOUBLE * AVG(ABS({r})) AS least FROM prow JOIN pin0 USING (series_id, alpha) GROUP BY 1, 2"
+    for i in range(rb.STEPS):
+        source = f"SELECT p.*, least, {r} AS r FROM prow p JOIN (SELECT series_id, alpha, b0, b1, b2 FROM pin{i}) USING (series_id, alpha) JOIN least USING (series_id, alpha)"
+        steps[f"pin{i + 1}"] = wls_sql(source, "series_id, alpha", "(CASE WHEN r >= 0 THEN alpha ELSE 1 - alpha END) / GREATEST(ABS(r), least, 1e-9::DOUBLE)")
+    last = f"pin{rb.STEPS}"
+    pick = " ".join(f"WHEN {a}::DOUBLE THEN QUANTILE_CONT(r, {a})" for a in ALPHAS)
+    steps["pinned"] = f"SELECT series_id, alpha, ANY_VALUE(b0) + CASE alpha {pick} END AS b0, ANY_VALUE(b1) AS b1, ANY_VALUE(b2) AS b2 FROM (SELECT p.*, b0, b1, b2, {r} AS r FROM prow p JOIN {last} USING (series_id, alpha)) GROUP BY series_id, alpha"
+    return chained("phist", steps, body)
+
+
+def pinball_models(s):
+    return rb.fit_pinball(until_cut(panel_history(s)).select("series_id", "date", "revenue", "lag_7", "mean_30"), ["lag_7", "mean_30"], "revenue", ["series_id"], ALPHAS, rb.STEPS)
+
+
+@query(
+    "pinball_forecast",
+    "series_id:s date:d q65:1 q70:1 q75:1",
+    pinball_sql("SELECT p.series_id, date, " + ", ".join(f"MAX(CASE WHEN alpha = {a}::DOUBLE THEN GREATEST(0, b0 + b1 * lag_7 + b2 * mean_30) END) AS q{round(a * 100)}" for a in ALPHAS) + f" FROM phist p JOIN pinned USING (series_id) WHERE date > {CUT} GROUP BY 1, 2"),
+)
+def pinball_forecast(s):
+    """Quantile forecasts by pinball loss, one model per series and alpha."""
+    v = panel_history(s).where("date > date'1999-12-31'").join(pinball_models(s), "series_id")
+    value = fx.clip(md.linear(["lag_7", "mean_30"]), lo=0)
+    return v.groupBy("series_id", "date").agg(*[F.max(F.when(F.col("alpha") == a, value)).alias(f"q{round(a * 100)}") for a in ALPHAS])
+
+
+@query(
+    "pinball_coverage",
+    "series_id:s alpha:2 n:i within_one_row:b",
+    pinball_sql("SELECT series_id, alpha, COUNT(*) AS n, ABS(COUNT(*) FILTER (y - (b0 + b1 * x1 + b2 * x2) <= 1e-6::DOUBLE) - alpha * COUNT(*)) <= 1 AS within_one_row FROM prow JOIN pinned USING (series_id, alpha) GROUP BY 1, 2"),
+)
+def pinball_coverage(s):
+    """Whether the training rows at or below each quantile line are alpha of all, up to one row."""
+    t = until_cut(panel_history(s)).na.drop(subset=["lag_7", "mean_30"]).join(pinball_models(s), "series_id")
+    below = F.count_if(F.col("revenue") - md.linear(["lag_7", "mean_30"]) <= 1e-6)
+    return t.groupBy("series_id", "alpha").agg(F.count(F.lit(1)).alias("n"), below.alias("below")).withColumn("within_one_row", F.abs(F.col("below") - F.col("alpha") * F.col("n")) <= 1)
+
+
 # -- direct forecasts ------------------------------------------------------------------
 cte(
     "direct",
@@ -489,48 +553,186 @@ def correlation_pruned_features(s):
     return md.select_features(importance(s), dq.corr_matrix(g, FEATURES), 0.5, 5)
 
 
-# -- pyspark.ml models (no SQL twin) --------------------------------------------------------
+# -- boosting from moments --------------------------------------------------------------------
+#: Columns of the feature blocks that the boosted model may split: history, spikes, strengths, calendar and promotions.
+BOOSTED = [
+    *[f"revenue_lag_{k}" for k in ft.LAGS], *[f"revenue_roll_mean_{w}" for w in ft.MEANS], *[f"revenue_roll_std_{w}" for w in ft.STDS], *[f"rel_volatility_{w}" for w in ft.STDS], *RATIOS, *SPIKES,
+    *[f"z_{k}_{w}" for k, w in ZS], *[f"lag{k}_above_p{q}" for k, q in ABOVE], "momentum_7_30", "momentum_14_60", "momentum_30_90", "month", "day_of_week", "day_of_year", "any_promo", "avg_discount_value", "active_promo_count",
+]
+
+
+def boosted_sql(body: str) -> str:
+    """The rounds of the boosted model by lists of bins: one recursion step per round."""
+    n, bins, cells = len(BOOSTED), bo.BINS, len(BOOSTED) * bo.BINS
+    digits = lambda x: f"(FLOOR(({x}) * 1000000000 + 0.5::DOUBLE) / 1000000000)"
+    cut = lambda f: f"LIST_TRANSFORM(QUANTILE_CONT({f}, [{', '.join(f'{i / bins}::DOUBLE' for i in range(1, bins))}]) FILTER (part = 0), lambda x: {half_up_sql('x', 6)})"
+    pairs = lambda part: f"SELECT LIST(own ORDER BY i) AS m FROM (SELECT i, LIST(COALESCE(n, 0) ORDER BY j) AS own FROM (SELECT i, j FROM RANGE({cells}) a(i), RANGE({cells}) b(j)) LEFT JOIN (SELECT p.k AS i, q.k AS j, COUNT(*)::DOUBLE AS n FROM cell p JOIN cell q USING (date) WHERE p.part = {part} GROUP BY ALL) USING (i, j) GROUP BY i)"
+    sums = lambda part: f"SELECT LIST(COALESCE(s, 0) ORDER BY k) AS g FROM RANGE({cells}) a(k) LEFT JOIN (SELECT k, SUM(revenue - base) AS s FROM cell, ends WHERE part = {part} GROUP BY k) USING (k)"
+    rows = f"SELECT date, revenue, CASE WHEN date > {CUT} THEN 2 WHEN date > {CUT} - 365 THEN 1 ELSE 0 END AS part, " + ", ".join(f"{f}::DOUBLE AS {f}" for f in BOOSTED) + " FROM v2"
+    steps = {
+        "rows_": rows,
+        "edge": "SELECT " + ", ".join(f"{cut(f)} AS {f}" for f in BOOSTED) + " FROM rows_",
+        "bin": "SELECT date, revenue, part, [" + ", ".join(f"COALESCE(LEN(LIST_FILTER(e.{f}, lambda x: r.{f} > x)), 0)" for f in BOOSTED) + "] AS b FROM rows_ r, edge e",
+        "cell": f"SELECT date, revenue, part, (j - 1) * {bins} + b[j] AS k FROM bin, RANGE(1, {n + 1}) t(j)",
+        "ends": "SELECT AVG(revenue) FILTER (part = 0) AS base, VAR_POP(revenue) FILTER (part = 0) * COUNT(*) FILTER (part = 0) AS spread FROM bin",
+        "vends": "SELECT SUM((revenue - base) * (revenue - base)) AS first FROM bin, ends WHERE part = 1",
+        "fitm": pairs(0), "heldm": pairs(1), "fitg": sums(0), "heldg": sums(1),
+        "cuts": f"""SELECT LIST({{'o': o, 't': t, 'nl': nl, 'nr': nr}} ORDER BY o, t) AS c FROM (
+            SELECT o, t, LIST_SUM(LIST_TRANSFORM(RANGE(o, o + t), lambda k: m[k + 1][k + 1])) AS nl, LIST_SUM(LIST_TRANSFORM(RANGE(o + t, o + {bins}), lambda k: m[k + 1][k + 1])) AS nr
+            FROM fitm, (SELECT j * {bins} AS o, t FROM RANGE({n}) a(j), RANGE(1, {bins}) b(t))) WHERE nl >= {bo.LEAST_ROWS} AND nr >= {bo.LEAST_ROWS}""",
+    }
+    own = f"c.o + 1 : c.o + {bins}"
+    rounds = f"""boost AS (
+      SELECT 0 AS round, 0 AS o, 0 AS t, 0::DOUBLE AS gain, LIST_TRANSFORM(RANGE({cells}), lambda k: 0::DOUBLE) AS f, fitg.g AS g, heldg.g AS gv, first AS error FROM fitg, heldg, vends
+      UNION ALL
+      SELECT round + 1, c.o, c.t, share, LIST_TRANSFORM(RANGE({cells}), lambda k: f[k + 1] + CASE WHEN k BETWEEN c.o AND c.o + {bins - 1} THEN u[k - c.o + 1] ELSE 0 END),
+        LIST_TRANSFORM(RANGE({cells}), lambda k: g[k + 1] - LIST_DOT_PRODUCT(fm[k + 1][{own}], u)), LIST_TRANSFORM(RANGE({cells}), lambda k: gv[k + 1] - LIST_DOT_PRODUCT(hm[k + 1][{own}], u)),
+        error - 2 * LIST_DOT_PRODUCT(gv[{own}], u) + LIST_DOT_PRODUCT(LIST_TRANSFORM(RANGE({bins}), lambda b: LIST_DOT_PRODUCT(hm[c.o + b + 1][{own}], u)), u)
+      FROM (SELECT *, LIST_TRANSFORM(RANGE({bins}), lambda b: CASE WHEN b < c.t THEN {bo.RATE}::DOUBLE * gl / c.nl ELSE {bo.RATE}::DOUBLE * (gs - gl) / c.nr END) AS u
+        FROM (SELECT *, LIST_SUM(g[c.o + 1 : c.o + c.t]) AS gl, LIST_SUM(g[{own}]) AS gs
+          FROM (SELECT *, all_cuts[place] AS c, shares[place] AS share
+            FROM (SELECT *, LIST_POSITION(shares, LIST_MAX(shares)) AS place
+              FROM (SELECT round, f, g, gv, error, fitm.m AS fm, heldm.m AS hm, cuts.c AS all_cuts, LIST_TRANSFORM(cuts.c, lambda x: {digits(f"(LIST_SUM(g[x.o + 1 : x.o + x.t]) ** 2 / x.nl + LIST_SUM(g[x.o + x.t + 1 : x.o + {bins}]) ** 2 / x.nr - LIST_SUM(g[x.o + 1 : x.o + {bins}]) ** 2 / (x.nl + x.nr)) / spread")}) AS shares
+                FROM boost, fitm, heldm, cuts, ends WHERE round < {bo.ROUNDS}))))
+        WHERE share > 0))"""
+    path = f"path AS (SELECT round, CASE WHEN round > 0 THEN ({BOOSTED!r})[o // {bins} + 1] ELSE '' END AS feature, t AS cut, gain, f, CASE WHEN first > 0 THEN {digits('error / first')} ELSE 1 END AS error FROM boost, vends)"
+    chosen = "chosen AS (SELECT * FROM path ORDER BY error, round LIMIT 1)"
+    given = sql("v2", "").strip().removeprefix("WITH ")
+    return "WITH RECURSIVE " + ",\n".join([given, *[f"{k} AS MATERIALIZED ({b})" for k, b in steps.items()], rounds, path, chosen]) + "\n" + body
+
+
+@kept
+def boosted_table(s):
+    return spike_table(s).select("date", "revenue", *BOOSTED)
+
+
+def boosted_model(s):
+    """Boosted split rules over the feature blocks; the last 365 days before the cutoff choose the rounds."""
+    return bo.boost(until_cut(boosted_table(s)), BOOSTED, "revenue", F.col("date") > F.date_add(F.lit("1999-12-31").cast("date"), -365))
+
+
+@query(
+    "boosted_forecast",
+    "date:d actual:4 predicted:2",
+    boosted_sql(f"SELECT date, revenue AS actual, GREATEST(0, base + LIST_SUM(LIST_TRANSFORM(RANGE({len(BOOSTED)}), lambda j: f[j * {bo.BINS} + b[j + 1] + 1]))) AS predicted FROM bin, chosen, ends WHERE part = 2"),
+)
+def boosted_forecast(s):
+    """Days after the cutoff by a model of up to 360 rounds over 40 and more block columns."""
+    return boosted_table(s).where("date > date'1999-12-31'").select("date", F.col("revenue").alias("actual"), boosted_model(s).score())
+
+
+def literal_rows(s, rows, names):
+    return s.spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])))
+
+
+@query("boosted_rounds", "round:i feature:s cut:i gain:7 error:7 chosen:i", boosted_sql("SELECT p.round, p.feature, p.cut, p.gain, p.error, CAST(p.round = c.round AS INT) AS chosen FROM path p, chosen c"))
+def boosted_rounds(s):
+    """Every round: the exact best split, the share of squared error it gains, the validation error left."""
+    m = boosted_model(s)
+    return literal_rows(s, [(*p, int(p[0] == m.best)) for p in m.path], ["round", "feature", "cut", "gain", "error", "chosen"])
+
+
+@query(
+    "boosted_gain_importance",
+    "feature:s gain:6 splits:i",
+    boosted_sql(f"SELECT feature, COALESCE(gain, 0) AS gain, COALESCE(splits, 0) AS splits FROM (SELECT UNNEST({BOOSTED!r}) AS feature) LEFT JOIN (SELECT p.feature, SUM(p.gain) AS gain, COUNT(*) AS splits FROM path p, chosen c WHERE p.round BETWEEN 1 AND c.round GROUP BY 1) USING (feature)"),
+)
+def boosted_gain_importance(s):
+    return literal_rows(s, boosted_model(s).gain(), ["feature", "gain", "splits"])
+
+
+# -- trees of pyspark.ml, robust and logistic models ------------------------------------------
 ML_FEATURES = ["lag_7", "mean_30", "lag_365", "month", "day_of_week"]
+GBT_FEATURES = [*ML_FEATURES, *[f"revenue_lag_{k}" for k in ft.LAGS], *[f"revenue_roll_mean_{w}" for w in ft.MEANS], *[f"revenue_roll_std_{w}" for w in ft.STDS], "day_of_year"]
 
 
-def ml_table(s):
+def ml_table(s, features=tuple(ML_FEATURES)):
     """All rows; look-backs that are not complete get the training median of their series, else 0."""
-    p = panel_history(s).join(calendar(s).select("date", "month", "day_of_week"), "date")
-    return fx.apply_medians(p, fx.fit_medians(until_cut(p), ML_FEATURES[:3], ["series_id"]), ML_FEATURES[:3], ["series_id"])
+    history = [f for f in features if f not in ("month", "day_of_week", "day_of_year")]
+    p = panel_history(s).join(calendar(s).select("date", "month", "day_of_week", "day_of_year"), "date")
+    if set(history) - set(ML_FEATURES):
+        p = ft.revenue_history(p)
+    return fx.apply_medians(p, fx.fit_medians(until_cut(p), history, ["series_id"]), history, ["series_id"])
 
 
 @query("gbt_forecast", "series_id:s date:d actual:4 predicted:2")
 def gbt_forecast(s):
-    """Gradient-boosted trees over all series, with target weights; scored on 2000 and later."""
-    t = ml_table(s)
-    train = md.quantile_weights(until_cut(t), "revenue", ["series_id"])
-    model = md.fit_gbt(train, ML_FEATURES, "revenue", "target_weight")
-    v = model.transform(md.assembled(t.where("date > date'1999-12-31'"), ML_FEATURES))
+    """Gradient-boosted trees of depth 5 over the history block of all series, with target weights; the
+    last 365 days before the cutoff end the boosting, after 360 rounds at most. Scored after the cutoff."""
+    t = ml_table(s, tuple(GBT_FEATURES))
+    train = md.quantile_weights(until_cut(t), "revenue", ["series_id"]).withColumn("held", F.col("date") > F.date_add(F.lit("1999-12-31").cast("date"), -365))
+    model = md.fit_gbt(train, GBT_FEATURES, "revenue", "target_weight", "held")
+    v = model.transform(md.assembled(t.where("date > date'1999-12-31'"), GBT_FEATURES))
     return v.select("series_id", "date", F.col("revenue").alias("actual"), fx.clip("predicted", lo=0).alias("predicted"))
 
 
 @query("gbt_feature_importance", "feature:s importance:6")
 def gbt_feature_importance(s):
-    return md.tree_importance(s.spark, md.fit_gbt(until_cut(ml_table(s)), ML_FEATURES, "revenue", maxIter=10), ML_FEATURES)
+    return md.tree_importance(s.spark, md.fit_gbt(until_cut(ml_table(s)), ML_FEATURES, "revenue", maxIter=10, maxDepth=4), ML_FEATURES)
 
 
-@query("huber_forecast", "series_id:s date:d actual:4 predicted:1")
-def huber_forecast(s):
-    t = ml_table(s)
-    model = md.fit_huber(until_cut(t), ["lag_7", "mean_30"], "revenue")
-    return model.transform(md.assembled(t.where("date > date'1999-12-31'"), ["lag_7", "mean_30"])).select("series_id", "date", F.col("revenue").alias("actual"), "predicted")
+def huber_sql() -> str:
+    filled = f"SELECT p.series_id, date, revenue, COALESCE(lag_7, a, 0) AS x1, COALESCE(mean_30, b, 0) AS x2 FROM phist p JOIN (SELECT series_id, MEDIAN(lag_7) AS a, MEDIAN(mean_30) AS b FROM phist WHERE date <= {CUT} GROUP BY 1) USING (series_id)"
+    e = f"{rb.EPSILON}::DOUBLE"
+    steps = {"filled": filled, "hrow": f"SELECT 1 AS g, x1, x2, revenue AS y FROM filled WHERE date <= {CUT}", "hub0": f"SELECT *, NULL::DOUBLE AS scale FROM ({wls_sql('SELECT * FROM hrow', 'g', '1::DOUBLE')})"}
+    for i in range(rb.STEPS):
+        source = f"SELECT h.*, y - (b0 + b1 * x1 + b2 * x2) AS r, COALESCE({e} * scale, 'Infinity'::DOUBLE) AS lim FROM hrow h JOIN (SELECT g, b0, b1, b2, scale FROM hub{i}) USING (g)"
+        extra = ", SUM(CASE WHEN ABS(r) <= lim THEN r * r END) AS inner_, COUNT(*) FILTER (ABS(r) > lim) AS outer_, COUNT(*) AS n"
+        steps[f"hub{i + 1}"] = f"SELECT *, SQRT(COALESCE(inner_, 0) / GREATEST(n - {e} * {e} * outer_, 1)) AS scale FROM ({wls_sql(source, 'g', 'CASE WHEN ABS(r) <= lim THEN 1 ELSE GREATEST(lim, 1e-12::DOUBLE) / ABS(r) END', extra)})"
+    return chained("phist", steps, f"SELECT series_id, date, revenue AS actual, b0 + b1 * x1 + b2 * x2 AS predicted FROM filled, hub{rb.STEPS} WHERE date > {CUT}")
 
 
-@query("spike_probabilities", "date:d top10:i prob_top10:6")
+@query("huber_forecast", "series_id:s date:d actual:4 predicted:1", huber_sql())
+def huber_forecast(s):
+    t = ml_table(s).select("series_id", "date", "revenue", "lag_7", "mean_30").withColumn("_g", F.lit(1))
+    model = rb.fit_huber(until_cut(t), ["lag_7", "mean_30"], "revenue", ["_g"])
+    return md.score(t.where("date > date'1999-12-31'"), model, ["lag_7", "mean_30"], ["_g"]).select("series_id", "date", F.col("revenue").alias("actual"), "predicted")
+
+
+SPIKE_FEATURES = ["revenue_lag_7", "revenue_roll_mean_30", "revenue_lag_365", "month", "day_of_week"]
+
+
+def solve_sql(k: int, source: str) -> str:
+    """x0 .. of the symmetric system a{i}_{j} (i <= j), r{i}, by elimination one unknown at a time."""
+    out = source
+    for p in range(k):
+        rows = [f"a{i}_{j} - a{p}_{i} * a{p}_{j} / a{p}_{p} AS a{i}_{j}" for i in range(p + 1, k) for j in range(i, k)] + [f"r{i} - a{p}_{i} * r{p} / a{p}_{p} AS r{i}" for i in range(p + 1, k)]
+        out = f"SELECT * REPLACE ({', '.join(rows)}) FROM ({out})" if rows else out
+    for p in range(k - 1, -1, -1):
+        out = f"SELECT *, (r{p}{''.join(f' - a{p}_{j} * x{j}' for j in range(p + 1, k))}) / a{p}_{p} AS x{p} FROM ({out})"
+    return out
+
+
+def spike_sql() -> str:
+    k, held = len(SPIKE_FEATURES) + 1, 0.01
+    history = SPIKE_FEATURES[:3]
+    filled = "SELECT date, revenue, " + ", ".join(f"COALESCE({f}, m_{f}, 0)::DOUBLE AS {f}" for f in history) + ", month::DOUBLE AS month, day_of_week::DOUBLE AS day_of_week FROM hist JOIN calendar USING (date), (SELECT " + ", ".join(f"MEDIAN({f}) AS m_{f}" for f in history) + f" FROM hist WHERE date <= {CUT})"
+    steps = {
+        "filled": filled,
+        "labelled": f"SELECT *, CAST(revenue >= (SELECT QUANTILE_CONT(revenue, 0.9) FROM revenue WHERE date <= {CUT}) AS INT) AS top10 FROM filled",
+        "places": "SELECT AVG(top10) AS share, COUNT(*) AS n, " + ", ".join(f"AVG({f}) AS m_{i}, CASE WHEN STDDEV_POP({f}) > 1e-9 THEN STDDEV_POP({f}) ELSE 1 END AS s_{i}" for i, f in enumerate(SPIKE_FEATURES, 1)) + f" FROM labelled WHERE date <= {CUT}",
+        "zrow": "SELECT date, top10, CASE WHEN top10 = 1 THEN 0.5::DOUBLE / share ELSE 0.5::DOUBLE / (1 - share) END AS w, 1::DOUBLE AS z0, " + ", ".join(f"({f} - m_{i}) / s_{i} AS z{i}" for i, f in enumerate(SPIKE_FEATURES, 1)) + " FROM labelled, places",
+        "log0": "SELECT " + ", ".join(f"0::DOUBLE AS b{i}" for i in range(k)),
+    }
+    for step in range(rb.STEPS):
+        p = f"SELECT *, 1 / (1 + EXP(-({' + '.join(f'b{i} * z{i}' for i in range(k))}))) AS p FROM zrow, log{step} WHERE date <= {CUT}"
+        a = [f"SUM(w * p * (1 - p) * z{i} * z{j}) / SUM(w){f' + {held}::DOUBLE' if i == j > 0 else ''} AS a{i}_{j}" for i in range(k) for j in range(i, k)]
+        r = [f"SUM(w * (p - top10) * z{i}) / SUM(w){f' + {held}::DOUBLE * ANY_VALUE(b{i})' if i else ''} AS r{i}" for i in range(k)]
+        source = f"SELECT {', '.join(a + r)}, {', '.join(f'ANY_VALUE(b{i}) AS o{i}' for i in range(k))} FROM ({p})"
+        steps[f"log{step + 1}"] = f"SELECT {', '.join(f'o{i} - x{i} AS b{i}' for i in range(k))} FROM ({solve_sql(k, source)})"
+    return chained("hist calendar", steps, f"SELECT date, top10, 1 / (1 + EXP(-({' + '.join(f'b{i} * z{i}' for i in range(k))}))) AS prob_top10 FROM zrow, log{rb.STEPS} WHERE date > {CUT}")
+
+
+@query("spike_probabilities", "date:d top10:i prob_top10:6", spike_sql())
 def spike_probabilities(s):
     """Class-balanced probability that a day is in the top decile of the training period."""
     r = ft.revenue_history(s.revenue()).join(calendar(s).select("date", "month", "day_of_week"), "date")
     p90 = until_cut(s.revenue()).agg(F.percentile("revenue", F.lit(0.9))).scalar()
-    feats = ["revenue_lag_7", "revenue_roll_mean_30", "revenue_lag_365", "month", "day_of_week"]
-    d = fx.apply_medians(r, fx.fit_medians(until_cut(r), feats[:3], ["series_id"]), feats[:3], ["series_id"])
-    d = d.withColumn("top10", (F.col("revenue") >= p90).cast("int"))
-    model = md.fit_spike_classifier(until_cut(d), feats, "top10")
-    return md.probability_of(model, d.where("date > date'1999-12-31'"), feats, "prob_top10")
+    filled = fx.apply_medians(r, fx.fit_medians(until_cut(r), SPIKE_FEATURES[:3], ["series_id"]), SPIKE_FEATURES[:3], ["series_id"])
+    d = s.kept("spike_rows", lambda: filled.withColumn("top10", (F.col("revenue") >= p90).cast("int")))
+    share = until_cut(d).agg(F.avg("top10")).scalar()
+    model = rb.fit_logistic(until_cut(d), SPIKE_FEATURES, "top10", F.when(F.col("top10") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    return d.where("date > date'1999-12-31'").select("date", "top10", rb.logistic(model).alias("prob_top10"))
 
 
 @query(

@@ -8,7 +8,6 @@ agree on names, types and rounding.
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Callable
 from functools import wraps
 
@@ -21,6 +20,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+OPEN = 4  # queries that keep their shared frames; building one more frees those of the oldest
+_OPEN: list = []  # the stars of the queries built since the last release
+
+
+def release() -> None:
+    """Free the frames that the queries built so far share among their parts; call it once their results
+    have been written. A result built
+    before stays right, it only computes its shared frames anew."""
+    while _OPEN:
+        _OPEN.pop().release()
+
+
 def _fields(out: str) -> list[tuple[str, str]]:
     return [tuple(part.rsplit(":", 1)) for part in out.split()]
 
@@ -94,10 +105,11 @@ def query(name: str, out: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             from aisleflow.sources.star import Star
 
+            while len(_OPEN) >= OPEN:
+                _OPEN.pop(0).release()
             star = Star(spark, sf_dir)
-            result = conform(fn(star), out)
-            weakref.finalize(result, star.release)  # frames that the query shares live as long as its result
-            return result
+            _OPEN.append(star)
+            return conform(fn(star), out)
 
         QUERIES[name] = run
         if sql is not None:

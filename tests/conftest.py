@@ -11,13 +11,22 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.cleaner.periodicGC.interval", "2min").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
 
 
+@pytest.fixture(autouse=True)
+def nothing_cached(request):
+    """Frames that a test's queries share end with the test; those of wider fixtures stay."""
+    yield
+    from aisleflow.plans.registry import release
+
+    release()
+
+
 def rows(df, *order):
     return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
 

@@ -15,7 +15,8 @@ SAMPLE = [
     "order_gap_days", "top_return_reason", "return_rate_by_size", "divide_rules", "date_normalisation", "iqr_outlier_report", "forecast_contract", "daily_funnel_table",
     "promo_phase_calendar", "projected_promotions", "calendar_columns", "expanding_quantiles", "level_hierarchy", "inventory_asof_per_unit", "stock_scenarios_updating",
     "seasonal_reference_block", "spike_strength_features", "traffic_scenarios", "spike_classifier_metrics", "ensemble_best_weights", "scaling_config_picks", "blend_risk_table",
-    "walk_forward_scale", "recursive_panel_forecast", "adaptive_spike_blend", "final_forecast", "return_flag_auc",
+    "walk_forward_scale", "recursive_panel_forecast", "adaptive_spike_blend", "final_forecast", "return_flag_auc", "boosted_rounds", "boosted_forecast", "huber_forecast", "pinball_forecast",
+    "pinball_coverage", "spike_probabilities",
 ]
 NAMES = sorted(QUERIES) if os.environ.get("AISLEFLOW_ALL") else SAMPLE
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,26 @@ def test_numeric_features_refuse_text(spark):
     assert mt.numeric_features(df, ["s"]) == ["a", "b"]
     with pytest.raises(ValueError):
         mt.numeric_features(df, [])
+
+
+def test_entry_without_the_training_data_part():
+    """A library that only that part needs may be missing; the other queries stay."""
+    import subprocess
+    import sys
+
+    from aisleflow.plans.registry import QUERIES
+
+    hide = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", hide], cwd=str(Path(__file__).resolve().parent.parent), capture_output=True, text=True, check=True).stdout.split()
+    assert out[-2:] == [str(len(QUERIES)), "False"]
+
+
+def test_shared_frames_are_released(spark):
+    from aisleflow.plans import registry
+
+    path = "/root/testdata/sf0.001"
+    registry.QUERIES["daily_sales"](spark, path).where("true").count()
+    kept = [df for star in registry._OPEN for df in star._kept.values()]
+    assert kept and all(df.storageLevel.useMemory for df in kept)
+    registry.release()
+    assert not any(df.storageLevel.useMemory for df in kept) and not registry._OPEN
