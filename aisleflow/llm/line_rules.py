@@ -2,7 +2,8 @@
 
 Every document gives its base figures and the hashes of its normalised lines. A line's frequency is
 the number of distinct documents (texts) of one host that hold it. Lines above the limit are removed,
-and a document that is then depleted is rejected.
+and a document that is then depleted is rejected. The limit is a count that does not grow with the host;
+only very short lines, which different documents share by chance, must also be frequent for their host.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aisleflow.llm.hashing import SPACE, chunks, shingle_hashes, word_hashes
+from aisleflow.llm.skew import lookup
 from aisleflow.llm.storage import materialize, without
 
 # The characters counted as symbols.
@@ -44,7 +46,8 @@ def repeated_words(windows: np.ndarray) -> int:
 
 
 def _figures(texts: pa.Array) -> list[list]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line hashes, words on those lines."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line hashes, words on all copies of
+    those lines in the text, words of one."""
     rows = []
     for raw, offsets in chunks(texts):
         words, firsts = word_hashes(raw, offsets, fold=False)
@@ -57,32 +60,35 @@ def _figures(texts: pa.Array) -> list[list]:
             n = int(firsts[d + 1] - firsts[d])
             lines = [x for x in data[offsets[d] : offsets[d + 1]].split(b"\n") if x.strip()]
             held: dict[int, int] = {}
+            sizes: dict[int, int] = {}
             for x in lines:
                 h = line_hash(x)
-                held[h] = held.get(h, 0) + len(x.split())
-            rows.append([n, int(chars[d]), int(symbols[d]), len(lines) - len(set(lines)), repeated_words(windows[ends[d] : ends[d + 1]]) if n > 2 else 0, list(held), list(held.values())])
+                sizes[h] = len(x.split())
+                held[h] = held.get(h, 0) + sizes[h]
+            rows.append([n, int(chars[d]), int(symbols[d]), len(lines) - len(set(lines)), repeated_words(windows[ends[d] : ends[d + 1]]) if n > 2 else 0, list(held), list(held.values()), list(sizes.values())])
     return rows
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             columns = list(zip(*_figures(part.column(3)), strict=True))
-            yield pa.RecordBatch.from_arrays(part.columns[:3] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "host", "text_key", *FIGURES, "lines", "line_words"])
+            yield pa.RecordBatch.from_arrays(part.columns[:3] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "host", "text_key", *FIGURES, "lines", "line_words", "line_sizes"])
 
 
 def line_report(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_share: float = 0.1, min_documents: int = 20, max_removed: float = 0.5, min_words: int = 50, max_repeat: float = 0.5,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_share: float = 0.1, min_documents: int = 20, short: int = 3, max_removed: float = 0.5, min_words: int = 50, max_repeat: float = 0.5,
 ) -> DataFrame:
     """One row per document: doc_id, host, text_key, the base figures, base_failed, removed_words,
     removed (hashes of its removed lines) and kept.
 
-    A line is removed where more than ``min_documents`` and more than ``max_share`` of the distinct
-    texts of its host hold it. base_failed: fewer than ``min_words`` words, or more than
-    ``max_repeat`` of them in repeated three-word windows. kept: not base_failed and at most
-    ``max_removed`` of the words on removed lines. Equal texts of a host count as one document, so a
+    A line is removed where more than ``min_documents`` of the distinct texts of its host hold it; one of
+    ``short`` words or fewer only where that is also more than ``max_share`` of them. base_failed: fewer than ``min_words`` words, or more than
+    ``max_repeat`` of them in repeated three-word windows. kept: not base_failed and not depleted, which
+    is to have more than ``max_removed`` of the words on removed lines, or fewer than ``min_words`` beside
+    them. Equal texts of a host count as one document, so a
     page that was crawled often does not turn its own lines into boilerplate.
 
     Edge cases: null and empty texts have figures of 0 and fail; a null host is a host of its own;
@@ -90,23 +96,27 @@ def line_report(
     columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, host string, text_key long, " + ", ".join(f"{c} long" for c in FIGURES) + ", lines array<long>, line_words array<long>"
+    schema = "doc_id long, host string, text_key long, " + ", ".join(f"{c} long" for c in FIGURES) + ", lines array<long>, line_words array<long>, line_sizes array<long>"
     seen = materialize(rows.mapInArrow(_measure, schema).withColumn("row", F.monotonically_increasing_id()), "lines")
 
-    texts = seen.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
-    held = seen.select("host", "text_key", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents)
-    sizes = texts.groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "of_host")
-    common = held.join(sizes, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n") > F.col("of") * max_share)
-    common = common.select(F.col("host").alias("common_host"), F.col("line").alias("common_line"))
-    spread = seen.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    gone = spread.join(common, (F.col("line") == F.col("common_line")) & F.col("host").eqNullSafe(F.col("common_host"))).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))
-
-    out = seen.drop("lines", "line_words").join(gone, "row", "left").drop("row")
+    each = seen.select("host", "text_key", F.explode(F.arrays_zip("lines", "line_sizes")).alias("x")).select("host", "text_key", F.col("x.lines").alias("line"), F.col("x.line_sizes").alias("size"))
+    counted = each.groupBy("host", "line", "text_key").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    held = counted.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.sum("rows").alias("held")).where(F.col("n") > min_documents)
+    sizes = seen.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "of_host")
+    common = held.join(sizes, F.col("host").eqNullSafe(F.col("of_host"))).where((F.col("size") > short) | (F.col("n") > F.col("of") * max_share))
+    place = F.xxhash64("line", F.coalesce("host", F.lit("")), F.col("host").isNull()).alias("place")
+    common = materialize(common.select(place, "held").groupBy("place").agg(F.sum("held").alias("held")), "common-lines")
+    spread = seen.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")).withColumn("place", place)
+    gone = lookup(spread, common, "place", "held", "inner").groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))
+
+    out = seen.drop("lines", "line_words", "line_sizes").join(gone, "row", "left").drop("row")
     out = out.withColumns({
         "removed_words": F.coalesce("removed_words", F.lit(0).cast("long")), "removed": F.coalesce("removed", F.array().cast("array<long>")),
         "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * max_repeat),
     })
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.col("n_words") * max_removed))
+    gone = F.col("removed_words")
+    depleted = (gone > F.col("n_words") * max_removed) | ((gone > 0) & (F.col("n_words") - gone < min_words))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def without_lines(text: str | None, removed) -> str | None:

@@ -133,14 +133,14 @@ WITH w AS (
   SELECT source, array_to_string(lw, ' ') AS line, count(DISTINCT content) AS n FROM lines JOIN base USING (doc_id) WHERE len(lw) > 0 GROUP BY ALL
 ), common AS (
   SELECT h.source, line FROM held h JOIN (SELECT source, count(DISTINCT content) AS texts FROM base GROUP BY source) t ON h.source IS NOT DISTINCT FROM t.source
-  WHERE n > 20 AND n > texts * 0.1
+  WHERE n > 20 AND (len(string_split(line, ' ')) > 3 OR n > texts * 0.1)
 ), gone AS (
   SELECT l.doc_id, sum(len(lw))::BIGINT AS removed_words FROM lines l JOIN base USING (doc_id) JOIN common c ON base.source IS NOT DISTINCT FROM c.source AND c.line = array_to_string(lw, ' ') GROUP BY l.doc_id
 ), failed AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(removed_words, 0) AS removed_words,
-       NOT base_failed AND 2 * coalesce(removed_words, 0) <= n_words AS kept
+       NOT base_failed AND 2 * coalesce(removed_words, 0) <= n_words AND (coalesce(removed_words, 0) = 0 OR n_words - removed_words >= 50) AS kept
 FROM failed LEFT JOIN gone USING (doc_id)
 """)
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,24 @@ def test_line_rules_odd_rows(spark, odd):
     assert line_rules.line_report(odd.limit(0)).count() == 0
 
 
+def test_limit_does_not_grow_with_the_host(spark):
+    """A line of several words in 5 % of thousands of texts goes, a short one stays; a document that is
+    mostly such lines, or too little beside them, is rejected."""
+    body = lambda i, n: " ".join(f"b{i}w{j}" for j in range(n))
+    notice, short = "subscribe to our weekly letter for more of this", "read more"
+    rows = [(i, f"{body(i, 60)}\n{notice}\n{short}" if i % 20 == 0 else body(i, 60), "big") for i in range(3000)]
+    rows += [(9000, f"{notice}\n" * 7 + body(9000, 60), "big"), (9001, f"{notice}\n{body(9001, 45)}", "big"), (9002, f"{notice}\n{body(9002, 52)}", "big")]
+    got = {r.doc_id: r for r in line_rules.line_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].removed_words == 9 and got[0].kept and got[1].removed_words == 0
+    assert [got[i].kept for i in (9000, 9001, 9002)] == [False, False, True] and not any(got[i].base_failed for i in (9000, 9001, 9002))
+
+
+def test_line_rules_reject_depleted_documents(spark):
+    """At a tenth of the scale factor some documents have too little beside common lines."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert line_rules.line_report(docs).where("not kept and not base_failed").count() > 0
+
+
 def brute_spans(texts):
     """doc_id -> text without every stretch of whole sentences seen earlier that is long enough: some
     sentences with enough words in all, or one long sentence. Of the long ones, only stretches that cease
