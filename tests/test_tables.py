@@ -150,8 +150,10 @@ def test_entry_without_the_training_data_part():
     import subprocess
     import sys
 
+    import __spark_entry__ as entry
     from aisleflow.plans.registry import QUERIES
 
+    assert entry.queries()
     hide = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
     out = subprocess.run([sys.executable, "-c", hide], cwd=str(Path(__file__).resolve().parent.parent), capture_output=True, text=True, check=True).stdout.split()
     assert out[-2:] == [str(len(QUERIES)), "False"]
