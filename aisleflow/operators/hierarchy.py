@@ -34,36 +34,38 @@ def build_fact(items: DataFrame, orders: DataFrame, products: DataFrame, geograp
     )
 
 
-def compact_lines(items: DataFrame, orders: DataFrame, products: DataFrame, geography: DataFrame, promos: DataFrame) -> DataFrame:
-    """The lines of :func:`build_fact` reduced to the finest grain any level needs, with one join at
-    line grain. Orders get their region first; the lines meet them on order_id and fold to (date,
-    product, region, promotions); only that small frame meets products and promotions. Lines without
-    a promotion get keys of their own, so that nulls never gather in one partition. ``unit_cost`` is
-    summed in whole ten-thousandths."""
+def folded_lines(items: DataFrame, orders: DataFrame, products: DataFrame, geography: DataFrame, promos: DataFrame) -> DataFrame:
+    """Lines summed per (date, category, segment, region, primary promotion, secondary promotion id).
+
+    Products and promotions have one row per key and meet the lines first, without hints: while Catalyst
+    may broadcast them that moves no line. The one exchange of lines is the join with their orders, which have
+    got their region before, and its rows fold at once to a grain bounded by the calendar and the
+    levels. A secondary id is kept only where there is no primary promotion to prevail over it."""
     by_order = orders.join(geography, "customer_id", "left").where("date is not null").select("order_id", "date", F.coalesce("region", F.lit(UNKNOWN)).alias("region"))
-    folded = items.join(by_order, "order_id").groupBy("date", "product_id", "region", "promo_id", "promo_id_2").agg(
-        F.sum(F.greatest(F.col("net_value"), F.lit(0))).alias("raw_revenue"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("item_lines"),
+    names = promos.select("promo_id", F.col("promo_name_base").alias("_primary"))
+    lines = _named(items.join(products, "product_id", "left"), names, "promo_id", "order_id").select(
+        "order_id", *[F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("category", "segment")], "_primary", F.when(F.col("_primary").isNull(), F.col("promo_id_2")).alias("promo_id_2"),
+        F.greatest(F.col("net_value"), F.lit(0)).alias("_revenue"), units(F.col("quantity") * F.coalesce("unit_cost", F.lit(0.0))).alias("_cogs"), "quantity",
     )
-    names = promos.select("promo_id", F.col("promo_name_base").alias("_name"))
-
-    def named(df: DataFrame, col: str, out: str) -> DataFrame:
-        key = F.coalesce(col, F.concat(F.lit("none/"), F.col("product_id").cast("string")))
-        return df.withColumn("_key", key).join(names.select(F.col("promo_id").alias("_key"), F.col("_name").alias(out)), "_key", "left").drop("_key")
-
-    wide = named(named(folded.join(products, "product_id", "left"), "promo_id", "_primary"), "promo_id_2", "_secondary")
-    return wide.groupBy(
-        "date", *[F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("category", "segment")], "region", F.coalesce("_primary", "_secondary", F.lit(NO_PROMO)).alias("campaign_base"),
-    ).agg(
-        F.sum("raw_revenue").alias("raw_revenue"), F.sum(units(F.col("quantity") * F.coalesce("unit_cost", F.lit(0.0)))).alias("raw_cogs"),
-        F.sum("quantity").alias("quantity"), F.sum("item_lines").alias("item_lines"),
+    return lines.join(by_order, "order_id").groupBy("date", "category", "segment", "region", "_primary", "promo_id_2").agg(
+        F.sum("_revenue").alias("raw_revenue"), F.sum("_cogs").alias("raw_cogs"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("item_lines"),
     )
 
 
-def compact_fact(fact: DataFrame) -> DataFrame:
-    """Fact reduced to the finest grain any level needs; partial sums collapse hot products."""
-    return fact.groupBy("date", "category", "segment", "region", "campaign_base").agg(
-        F.sum("raw_revenue").cast("double").alias("raw_revenue"), F.sum("raw_cogs").alias("raw_cogs"),
-        F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("item_lines"),
+def _named(df: DataFrame, names: DataFrame, key: str, other: str) -> DataFrame:
+    """Left join on an id that most rows lack: those get keys of their own, made of another column, so that
+    nulls never gather in one partition where the join is a shuffle."""
+    own = F.coalesce(key, F.concat(F.lit("none/"), F.coalesce(F.col(other).cast("string"), F.lit(""))))
+    return df.withColumn("_key", own).join(names.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
+def compact_lines(items: DataFrame, orders: DataFrame, products: DataFrame, geography: DataFrame, promos: DataFrame) -> DataFrame:
+    """The lines of :func:`build_fact` reduced to the finest grain any level needs: ``folded_lines``, whose
+    rows then meet the secondary promotions."""
+    folded = folded_lines(items, orders, products, geography, promos)
+    names = promos.select(F.col("promo_id").alias("promo_id_2"), F.col("promo_name_base").alias("_secondary"))
+    return _named(folded, names, "promo_id_2", "date").groupBy("date", "category", "segment", "region", F.coalesce("_primary", "_secondary", F.lit(NO_PROMO)).alias("campaign_base")).agg(
+        *[F.sum(c).alias(c) for c in ("raw_revenue", "raw_cogs", "quantity", "item_lines")],
     )
 
 

@@ -38,6 +38,21 @@ def test_compact_lines_with_mostly_missing_promotions(spark, as_rows):
     assert as_rows(got.select(*want.columns), *keys) == as_rows(want, *keys)
 
 
+def test_lines_fold_before_the_last_join(spark):
+    """The folded frame is bounded by days and levels, however many lines there are."""
+    lines = spark.range(60_000).select(
+        (F.col("id") / 4).cast("long").alias("order_id"), (F.col("id") * 7919 % 500).alias("product_id"), F.lit(1.0).alias("quantity"), (F.col("id") % 900).alias("net_value"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("P"), F.col("id") % 4)).alias("promo_id"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("P"), F.col("id") % 4)).alias("promo_id_2"),
+    )
+    orders = spark.range(15_000).select(F.col("id").alias("order_id"), (F.col("id") % 40).alias("customer_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 10).cast("int")).alias("date"))
+    products = spark.range(500).select(F.col("id").alias("product_id"), (F.col("id") % 5).cast("string").alias("category"), (F.col("id") % 2).cast("string").alias("segment"), F.lit(0.5).alias("unit_cost"))
+    geography = spark.range(40).select(F.col("id").alias("customer_id"), (F.col("id") % 3).cast("string").alias("region"))
+    promos = spark.range(4).select(F.concat(F.lit("P"), "id").alias("promo_id"), F.concat(F.lit("c"), "id").alias("promo_name_base"))
+    folded = hier.folded_lines(lines, orders, products, geography, promos)
+    assert folded.count() * 20 < 60_000
+    assert folded.agg(F.sum("item_lines")).first()[0] == 60_000
+
+
 def test_days_before_the_first_snapshot_fall_back_to_the_month(spark):
     spine = spark.sql("select explode(sequence(date'2020-01-30', date'2021-02-02', interval 1 day)) as date")
     snaps = spark.createDataFrame([("2020-02-29", 4.0), ("2021-01-31", 8.0), ("2021-02-01", 99.0)], "date string, v double").withColumn("date", F.col("date").cast("date"))
