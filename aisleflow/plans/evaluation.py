@@ -401,7 +401,23 @@ def gate_neighbours(s):
     return win.neighbors(gate_results(s), ["mode", "threshold"], "uplift", "rmse")
 
 
-CONFIGS = bl.scale_configs()
+def space_sql(space):
+    """The configurations of :func:`blend.grid_of` as a relation, by cross joins of the lists."""
+    parts, first, names = [], 0, bl.parameter_names(space)
+    for strategy, lists in space.items():
+        tables = ", ".join(f"(SELECT UNNEST({list(v)}::DOUBLE[]) AS {n}, UNNEST(RANGE({len(v)})) AS i_{n})" for n, v in lists.items())
+        place = "0"
+        for n, v in lists.items():
+            place = f"({place}) * {len(v)} + i_{n}"
+        parts.append(f"SELECT {first} + {place} AS config_id, '{strategy}' AS strategy, {', '.join(n if n in lists else f'0::DOUBLE AS {n}' for n in names)} FROM {tables}")
+        count = 1
+        for v in lists.values():
+            count *= len(v)
+        first += count
+    return "(" + " UNION ALL ".join(parts) + ") grid"
+
+
+CONFIGS, CONFIGS_SQL = bl.SCALE_SPACE, space_sql(bl.SCALE_SPACE)
 cte(
     "sctx",
     "slevels",
@@ -411,7 +427,7 @@ SCALE_SQL = """GREATEST(1.0::DOUBLE, CASE strategy WHEN 'soft_linear' THEN 1 + a
   WHEN 'threshold' THEN CASE WHEN effective_prob >= 0.7 THEN 1 + high_uplift WHEN effective_prob >= 0.5 THEN 1 + mid_uplift WHEN effective_prob >= 0.35 THEN 1 + low_uplift ELSE 1.0::DOUBLE END
   WHEN 'context' THEN 1 + alpha * effective_prob + beta * any_promo + gamma * normalized_promo_intensity + delta * is_high_risk_month
   ELSE 1 + uplift * CASE WHEN effective_prob >= threshold AND (any_promo = 1 OR is_high_risk_month = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END)"""
-cte("scales", "sctx", f"SELECT config_id, strategy, AVG(sc) AS mean_scale, MIN(sc) AS min_scale, MAX(sc) AS max_scale, {M_SQL}, {SPIKE_SQL} FROM (SELECT *, base_pred * sc AS predicted FROM (SELECT *, {SCALE_SQL} AS sc FROM sctx, {values(CONFIGS)})) GROUP BY config_id, strategy")
+cte("scales", "sctx", f"SELECT config_id, strategy, AVG(sc) AS mean_scale, MIN(sc) AS min_scale, MAX(sc) AS max_scale, {M_SQL}, {SPIKE_SQL} FROM (SELECT *, base_pred * sc AS predicted FROM (SELECT *, {SCALE_SQL} AS sc FROM sctx, {CONFIGS_SQL})) GROUP BY config_id, strategy")
 cte("scales_ok", "scales base_m", "SELECT s.*, CAST(s.non_spike_rmse <= b.non_spike_rmse * 1.01 AND s.rmse <= b.rmse * 1.01 AS INT) AS accepted FROM scales s, base_m b")
 SCALE_OUT = "config_id:i strategy:s mean_scale:6 min_scale:6 max_scale:6 mae:2 rmse:2 r2:6 top10_rmse:2 top10_under:i non_spike_rmse:2 accepted:i"
 
@@ -424,7 +440,7 @@ def scaling_inputs(s):
 @kept
 def scale_results(s):
     d = scaling_inputs(s)
-    g = bl.with_grid(d, CONFIGS).withColumn("sc", bl.scale_expr())
+    g = bl.with_grid(d, bl.grid_of(CONFIGS)).withColumn("sc", bl.scale_expr())
     g = g.withColumn("predicted", F.col("base_pred") * F.col("sc"))
     m = g.groupBy("config_id", "strategy").agg(F.avg("sc").alias("mean_scale"), F.min("sc").alias("min_scale"), F.max("sc").alias("max_scale"), *mt.basic(), *mt.spike_columns())
     return bl.accept(m, base_metrics(d), {"non_spike_rmse": 1.01, "rmse": 1.01})
@@ -459,13 +475,14 @@ def scaling_config_picks(s):
     "date:d config_id:i scale:6 revenue:3 cogs:3",
     sql(
         "scales_ok sctx",
-        f"SELECT date, config_id, {SCALE_SQL} AS scale, GREATEST(0, base_pred * {SCALE_SQL}) AS revenue, GREATEST(0, base_pred * 0.89::DOUBLE * {SCALE_SQL}) AS cogs FROM sctx, {values(CONFIGS)} WHERE config_id = (SELECT config_id FROM scales_ok ORDER BY accepted DESC, ROUND(rmse, 6), config_id LIMIT 1)",
+        f"SELECT date, config_id, {SCALE_SQL} AS scale, GREATEST(0, base_pred * {SCALE_SQL}) AS revenue, GREATEST(0, base_pred * 0.89::DOUBLE * {SCALE_SQL}) AS cogs FROM sctx, {CONFIGS_SQL} WHERE config_id = (SELECT config_id FROM scales_ok ORDER BY accepted DESC, ROUND(rmse, 6), config_id LIMIT 1)",
     ),
 )
 def scaled_forecast(s):
     """The chosen configuration applied to the forecast; revenue and COGS scale together."""
-    best = bl.pick(scale_results(s).withColumn("_one", F.lit(1)), ["_one"], [F.round("rmse", 6), F.col("config_id")]).select("config_id")
-    g = bl.with_grid(scaling_inputs(s), CONFIGS).join(best, "config_id", "left_semi").withColumn("scale", bl.scale_expr())
+    best = bl.pick(scale_results(s).withColumn("_one", F.lit(1)), ["_one"], [F.round("rmse", 6), F.col("config_id")]).select("config_id").scalar()
+    chosen = F.filter(bl.grid_of(CONFIGS), lambda c: c["config_id"] == F.col("_best"))
+    g = bl.with_grid(scaling_inputs(s).withColumn("_best", best), chosen).withColumn("scale", bl.scale_expr())
     return g.select("date", "config_id", "scale", fx.clip(F.col("base_pred") * F.col("scale"), lo=0).alias("revenue"), fx.clip(F.col("base_pred") * 0.89 * F.col("scale"), lo=0).alias("cogs"))
 
 
