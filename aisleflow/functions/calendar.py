@@ -49,6 +49,7 @@ def calendar_features(df: DataFrame, min_date: Column, col: str = "date", regime
     return base.withColumn("regime_time_index", F.col("time_index") * F.col("regime_flag"))
 
 
+# Names of the calendar columns.
 CALENDAR_COLUMNS = [
     "day_of_week", "day_of_year", "week_of_year", "month", "quarter", "year", "is_weekend", "is_month_start",
     "is_month_end", "is_quarter_start", "is_quarter_end", "time_index", "regime_flag", "years_since_start",

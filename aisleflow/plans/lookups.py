@@ -28,13 +28,15 @@ def cut():
 @query(
     "forecast_outer_join",
     "date:d left_value:2 right_value:2 merged:2",
-    sql("components", """SELECT date, l AS left_value, r AS right_value, COALESCE(l, r) AS merged FROM (SELECT date, recent AS l FROM components WHERE date < DATE '2000-07-01')
-                           FULL JOIN (SELECT date, weekday AS r FROM components WHERE date >= DATE '1999-07-01') USING (date)"""),
+    sql("components", """SELECT date, l AS left_value, r AS right_value, COALESCE(l, r) AS merged FROM (SELECT date, recent AS l FROM components WHERE date <= (SELECT MAX(date) - 180 FROM components))
+                           FULL JOIN (SELECT date, weekday AS r FROM components WHERE date >= (SELECT MIN(date) + 180 FROM components)) USING (date)"""),
 )
 def forecast_outer_join(s):
+    """Two forecasts that overlap: one ends half a year early, the other starts half a year late."""
     c = s.components()
-    left = c.where("date < date'2000-07-01'").select("date", F.col("recent").alias("left_value"))
-    right = c.where("date >= date'1999-07-01'").select("date", F.col("weekday").alias("right_value"))
+    first, last = (c.agg(f("date")).scalar() for f in (F.min, F.max))
+    left = c.where(F.col("date") <= F.date_add(last, -180)).select("date", F.col("recent").alias("left_value"))
+    right = c.where(F.col("date") >= F.date_add(first, 180)).select("date", F.col("weekday").alias("right_value"))
     return left.join(right, "date", "full").withColumn("merged", F.coalesce("left_value", "right_value"))
 
 
@@ -489,17 +491,29 @@ def business_lag_lookup(s):
     "overlay_known_promotions",
     "date:d active_promo_count:i avg_discount_value:6 promo_duration:6",
     sql(
-        "pcal pknown",
+        "pcal pknown spine",
         """SELECT c.date, COALESCE(k.active_promo_count, c.active_promo_count * 0) AS active_promo_count, COALESCE(k.avg_discount_value, c.avg_discount_value) AS avg_discount_value, k.promo_duration
-           FROM pcal c LEFT JOIN (SELECT * FROM pknown WHERE YEAR(date) >= 1998) k USING (date)""",
+           FROM pcal c LEFT JOIN (SELECT * FROM pknown WHERE YEAR(date) >= (SELECT MIN(YEAR(date)) + 3 FROM spine)) k USING (date)""",
     ),
 )
 def overlay_known_promotions(s):
     base = pr.promo_calendar(active_days(s), s.spine()).select("date", (F.col("active_promo_count") * 0).alias("active_promo_count"), "avg_discount_value")
-    patch = known_calendar(s).where(F.year("date") >= 1998).select("date", "active_promo_count", "avg_discount_value", "promo_duration")
+    patch = known_calendar(s).where(F.year("date") >= F.year(s.first_date()) + 3).select("date", "active_promo_count", "avg_discount_value", "promo_duration")
     return jn.overlay(base, patch, ["date"])
 
 
+@query(
+    "missing_forecast_columns",
+    "date:d recent:2 weekday:2 level:2",
+    sql("components", "SELECT date, ROUND(recent / 1000) AS recent, weekday, level FROM components LEFT JOIN (SELECT date, weekday, level FROM components WHERE date >= (SELECT MIN(date) + 180 FROM components)) o USING (date)".replace("weekday, level FROM components LEFT", "o.weekday, o.level FROM components LEFT")),
+)
+def missing_forecast_columns(s):
+    """Columns that one forecast table lacks come from another; those both have stay as they are."""
+    c = s.components()
+    other = c.where(F.col("date") >= F.date_add(c.agg(F.min("date")).scalar(), 180)).select("date", "recent", "weekday", "level")
+    return jn.add_missing_columns(c.select("date", F.round(F.col("recent") / 1000).alias("recent")), other, ["date"])
+
+
 cte("funnel_promo", "funnel pknown", "SELECT f.*, p.any_promo, " + ", ".join(f"p.{c}" for c in CAMPAIGNS) + " FROM funnel f JOIN pknown p USING (date)")
 
 

@@ -177,6 +177,33 @@ def named_table_scan(s):
     return out
 
 
+TYPED = {"o_orderkey": "int", "o_orderstatus": "double", "o_totalprice": "double", "o_orderdate": "date", "o_orderpriority": "int", "o_clerk_name": "string"}
+
+
+def _typed_sql(col, kind):
+    fits = {"date": f"TRY_CAST({col} AS DATE)", "string": col}.get(kind, f"TRY_CAST({col} AS DOUBLE)")
+    given = "NULL::VARCHAR" if col == "o_clerk_name" else col
+    return f"SELECT '{col}' AS column_name, COUNT(*) AS rows, COUNT(*) FILTER ({given} IS NULL) AS missing, COUNT(*) FILTER ({given} IS NOT NULL AND {fits.replace(col, given)} IS NULL) AS rejected FROM orders"
+
+
+@query("typed_scan_report", "column_name:s rows:i missing:i rejected:i", sql("", " UNION ALL ".join(_typed_sql(c, k) for c, k in TYPED.items())))
+def typed_scan_report(s):
+    """What a declared schema rejects: letters in numbers, a column the file does not have."""
+    return io.scan_report(s.spark, f"{s.sf_dir}/orders.parquet", "orders", ", ".join(f"{c} {k}" for c, k in TYPED.items()))
+
+
+@query(
+    "typed_table_scan",
+    "year:i orders:i without_status:i value:0",
+    sql("", "SELECT YEAR(o_orderdate) AS year, COUNT(*) AS orders, COUNT(*) FILTER (TRY_CAST(o_orderstatus AS DOUBLE) IS NULL) AS without_status, SUM(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS value FROM orders GROUP BY 1"),
+)
+def typed_table_scan(s):
+    t = io.read_table(s.spark, f"{s.sf_dir}/orders.parquet", "orders", ", ".join(f"{c} {k}" for c, k in TYPED.items()))
+    return t.groupBy(F.year("o_orderdate").alias("year")).agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus").isNull()).alias("without_status"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"),
+    )
+
+
 @query(
     "written_table_round_trip",
     "year:i days:i revenue:2",

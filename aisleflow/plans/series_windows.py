@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from aisleflow.functions.scalars import MONEY, half_up
+from aisleflow.functions.scalars import MONEY, half_up, half_up_sql
 from aisleflow.operators import quality as dq
 from aisleflow.operators import sets
 from aisleflow.operators import windows as win
@@ -243,7 +243,7 @@ cte(
     "SELECT date, revenue, " + ", ".join(f"{lagged('revenue', k)} AS revenue_lag_{k}" for k in (7, 14, 30)) + ", "
     + ", ".join(f"{strict('revenue', w)} AS revenue_roll_mean_{w}" for w in (7, 30)) + f", {lagged('orders_count', 7)} AS orders_count_lag_7, {strict('orders_count', 7)} AS orders_count_roll_mean_7 FROM daily",
 )
-cte("importance", "g", "SELECT feature, ROUND(ABS(c) + 1.7320508e-10::DOUBLE, 8) AS importance FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, CORR({f}, revenue) AS c FROM g" for f in FEATURES) + ")")
+cte("importance", "g", f"SELECT feature, {half_up_sql('ABS(c)', 8)} AS importance FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, CORR({f}, revenue) AS c FROM g" for f in FEATURES) + ")")
 
 
 def importance(s):

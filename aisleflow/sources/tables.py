@@ -38,16 +38,33 @@ SCHEMAS: dict[str, str] = {
 CRITICAL = ["sales", "orders", "order_items", "products"]
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, name: str, schema: str | None = None) -> DataFrame:
     """Typed scan of one table. CSV text is read as strings and cast with NULL on bad values,
-    so a dirty cell never drops a row; columns absent from the file become typed NULLs."""
-    declared = [part.strip().split(" ") for part in SCHEMAS[name].split(",")]
-    if path.rstrip("/").endswith(".csv"):
-        raw = spark.read.option("header", True).csv(path)
-    else:
-        raw = spark.read.parquet(path)
+    so a dirty cell never drops a row; columns absent from the file become typed NULLs. ``schema``
+    declares the columns of a table that ``SCHEMAS`` does not have."""
+    raw = _raw(spark, path)
+    return raw.select(*_typed(raw, schema or SCHEMAS[name]))
+
+
+def scan_report(spark: SparkSession, path: str, name: str, schema: str | None = None) -> DataFrame:
+    """(column_name, rows, missing, rejected): for each declared column the rows without a value and those
+    whose value does not fit the declared type. One pass; an absent column is missing in every row."""
+    raw = _raw(spark, path)
+    counts = []
+    for part, typed in zip((schema or SCHEMAS[name]).split(","), _typed(raw, schema or SCHEMAS[name]), strict=True):
+        col = part.strip().split(" ")[0]
+        given = F.col(f"`{col}`").isNotNull() if col in raw.columns else F.lit(False)
+        counts.append(F.struct(F.lit(col).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count_if(~given).alias("missing"), F.count_if(given & typed.isNull()).alias("rejected")))
+    return raw.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+
+
+def _typed(raw: DataFrame, schema: str) -> list[Column]:
     cols = []
-    for col, kind in declared:
+    for col, kind in [part.strip().split(" ") for part in schema.split(",")]:
         if col not in raw.columns:
             cols.append(F.lit(None).cast(kind).alias(col))
         elif kind == "date":
@@ -56,7 +73,7 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
             cols.append(to_number(col).cast(kind).alias(col))
         else:
             cols.append(F.col(col).cast("string").alias(col))
-    return raw.select(*cols)
+    return cols
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
