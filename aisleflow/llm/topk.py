@@ -21,14 +21,14 @@ from aisleflow.llm.storage import materialize
 
 BLOCK = 256  # documents in a block
 GROUP = 512  # blocks that one task holds at most
-CHUNK = 2048  # queries that one task holds, about
+CHUNK = 32_768  # queries that one task holds, about; every chunk is sent all blocks
 EXACT = 2.0**53
 LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def quantized(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component as a long, or null if the vector is null, empty or holds a
-    null or non-finite component."""
+    """floor(scale * x) of every component as a long, or null if the vector is null or holds a null or
+    non-finite component. An empty vector stays empty: its products are 0."""
     x = F.transform(vector, lambda v: v.cast("double"))
     usable = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.when(usable, F.transform(x, lambda v: F.floor(v * scale).cast("long")))

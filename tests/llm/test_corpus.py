@@ -221,6 +221,16 @@ def test_no_python_in_surrogates(spark, small):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_top_k_of_repeated_ids_and_empty_vectors(spark):
+    """Rows that repeat an id each count as a candidate but are one query; an empty vector scores 0."""
+    from aisleflow.llm import topk
+
+    rows = [(1, [1, 2]), (1, [1, 2]), (2, [3, 1]), (2, [3, 1]), (3, []), (4, [-1, -1]), (5, None), (None, [1, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id in (1, 3)"), 3).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 5), (1, 2, 2, 5), (1, 3, 3, 0), (3, 1, 1, 0), (3, 2, 1, 0), (3, 3, 2, 0)]
+
+
 def test_pipeline(spark, small):
     import base64
 
