@@ -234,13 +234,37 @@ def slice_times(df: DataFrame, lo: str, hi: str, col: str) -> DataFrame:
     return df.where((F.col(col) >= F.lit(lo).cast(df.schema[col].dataType)) & (F.col(col) < end))
 
 
-def one_hot(df: DataFrame, col: str, categories: Sequence[str], prefix: str | None = None) -> DataFrame:
-    """0/1 columns for a fixed training template; unseen values give all zeros."""
+def one_hot(df: DataFrame, col: str, categories: Sequence[str], prefix: str | None = None, other: str | None = None) -> DataFrame:
+    """0/1 columns for a fixed training template; unseen and NULL values give all zeros, or 1 in the column
+    ``{prefix}_{other}`` where ``other`` is named."""
     prefix = prefix or col
     flags = [F.coalesce(F.col(col) == v, F.lit(False)).cast("int").alias(f"{prefix}_{v}") for v in categories]
+    if other is not None:
+        flags.append((~F.coalesce(F.col(col).isin(list(categories)), F.lit(False))).cast("int").alias(f"{prefix}_{other}"))
     return df.select("*", *flags)
 
 
+def fit_categories(train: DataFrame, col: str, limit: int = 1000) -> Column:
+    """The ``limit`` most frequent values of the training rows in ascending order, as a scalar array for
+    :func:`one_hot_codes`; ties go to the smaller value. NULL is no category; no rows give an empty array. The
+    counts are aggregated first, so only ``limit`` values meet in one row."""
+    counts = train.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).count()
+    top = counts.orderBy(F.desc("count"), "value").limit(limit)
+    return top.agg(F.sort_array(F.collect_list("value"))).scalar()
+
+
+def one_hot_codes(df: DataFrame, col: str, categories: Column, prefix: str | None = None) -> DataFrame:
+    """Adds ``{prefix}_code`` (place of the value in ``categories`` from 0; the number of categories for an
+    unseen or NULL value) and ``{prefix}_onehot``, 0/1 per category and a last one for such other values. The width is that
+    of the fit, whatever ``df`` holds."""
+    prefix = prefix or col
+    fitted = df.withColumn("_fit", categories)
+    place = F.coalesce(F.array_position("_fit", F.col(col).cast("string")), F.lit(0))
+    code = F.when(place > 0, place - 1).otherwise(F.size("_fit")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.size("_fit")), lambda i: (i == F.col(f"{prefix}_code")).cast("int"))
+    return fitted.withColumn(f"{prefix}_code", code).withColumn(f"{prefix}_onehot", cells).drop("_fit")
+
+
 def half_up(c: Column, digits: int) -> Column:
     """Round a double half up, from plain double arithmetic so that every engine gives the same
     value. Beyond 2**53 units of the last place there is nothing to round."""

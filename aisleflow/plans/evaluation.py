@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from aisleflow.functions import scalars as fx
@@ -418,32 +420,54 @@ def space_sql(space):
 
 
 CONFIGS, CONFIGS_SQL = bl.SCALE_SPACE, space_sql(bl.SCALE_SPACE)
+# Stand-ins for the stored probabilities: ranks of two look-backs, as they are and halved on days with neither
+# a promotion nor a high-risk month.
+PROB_SOURCES = ["prob_top10", "prob_top15", "eff_prob_top10", "eff_prob_top15"]
 cte(
     "sctx",
     "slevels",
-    "SELECT *, spike_prob AS effective_prob, LEAST(1.5, avg_discount_value * active_promo_count / 100) AS normalized_promo_intensity FROM slevels",
+    """SELECT *, prob_top10 * weight AS eff_prob_top10, prob_top15 * weight AS eff_prob_top15 FROM (
+         SELECT *, spike_prob AS prob_top10, (RANK() OVER (ORDER BY weekday) + (COUNT(*) OVER (PARTITION BY weekday) - 1) / 2.0::DOUBLE) / COUNT(*) OVER () AS prob_top15,
+           CASE WHEN any_promo = 1 OR is_high_risk_month = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight, LEAST(1.5, avg_discount_value * active_promo_count / 100) AS normalized_promo_intensity FROM slevels)""",
 )
+cte("ssrc", "sctx", " UNION ALL ".join(f"SELECT *, '{n}' AS prob_source, {n} AS effective_prob FROM sctx" for n in PROB_SOURCES))
 SCALE_SQL = """GREATEST(1.0::DOUBLE, CASE strategy WHEN 'soft_linear' THEN 1 + alpha * effective_prob WHEN 'soft_quadratic' THEN 1 + alpha * effective_prob * effective_prob
   WHEN 'threshold' THEN CASE WHEN effective_prob >= 0.7 THEN 1 + high_uplift WHEN effective_prob >= 0.5 THEN 1 + mid_uplift WHEN effective_prob >= 0.35 THEN 1 + low_uplift ELSE 1.0::DOUBLE END
   WHEN 'context' THEN 1 + alpha * effective_prob + beta * any_promo + gamma * normalized_promo_intensity + delta * is_high_risk_month
   ELSE 1 + uplift * CASE WHEN effective_prob >= threshold AND (any_promo = 1 OR is_high_risk_month = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END)"""
-cte("scales", "sctx", f"SELECT config_id, strategy, AVG(sc) AS mean_scale, MIN(sc) AS min_scale, MAX(sc) AS max_scale, {M_SQL}, {SPIKE_SQL} FROM (SELECT *, base_pred * sc AS predicted FROM (SELECT *, {SCALE_SQL} AS sc FROM sctx, {CONFIGS_SQL})) GROUP BY config_id, strategy")
-cte("scales_ok", "scales base_m", "SELECT s.*, CAST(s.non_spike_rmse <= b.non_spike_rmse * 1.01 AND s.rmse <= b.rmse * 1.01 AS INT) AS accepted FROM scales s, base_m b")
-SCALE_OUT = "config_id:i strategy:s mean_scale:6 min_scale:6 max_scale:6 mae:2 rmse:2 r2:6 top10_rmse:2 top10_under:i non_spike_rmse:2 accepted:i"
+cte(
+    "scales",
+    "ssrc",
+    f"""SELECT prob_source, config_id, strategy, AVG(sc) AS mean_scale, MIN(sc) AS min_scale, MAX(sc) AS max_scale, {M_SQL}, {SPIKE_SQL}
+        FROM (SELECT *, base_pred * sc AS predicted FROM (SELECT *, {SCALE_SQL} AS sc FROM ssrc, {CONFIGS_SQL})) GROUP BY ALL""",
+)
+cte(
+    "scales_ok",
+    "scales base_m",
+    """SELECT s.*, CAST(ROUND(s.rmse, 6) < ROUND(b.rmse, 6) AS INT) AS improves_rmse, CAST(ROUND(s.top10_rmse, 6) < ROUND(b.top10_rmse, 6) AS INT) AS improves_top10,
+         CAST(s.non_spike_rmse <= b.non_spike_rmse * 1.01 AND s.rmse <= b.rmse * 1.01 AS INT) AS accepted FROM scales s, base_m b""",
+)
+SCALE_OUT = "prob_source:s config_id:i strategy:s mean_scale:6 min_scale:6 max_scale:6 mae:2 rmse:2 r2:6 top10_rmse:2 top10_under:i non_spike_rmse:2 improves_rmse:i improves_top10:i accepted:i"
 
 
+@kept
 def scaling_inputs(s):
+    """Scored days with every probability source and the promotion intensity in units of 100."""
     d = mt.with_spike_levels(scored(s), ["series_id"])
-    return d.select("*", F.col("spike_prob").alias("effective_prob"), F.least(F.lit(1.5), F.col("avg_discount_value") * F.col("active_promo_count") / 100).alias("normalized_promo_intensity"))
+    d = d.select("*", F.col("spike_prob").alias("prob_top10"), win.rank_pct("weekday").alias("prob_top15"), F.least(F.lit(1.5), F.col("avg_discount_value") * F.col("active_promo_count") / 100).alias("normalized_promo_intensity"))
+    weight = F.when((F.col("any_promo") == 1) | (F.col("is_high_risk_month") == 1), 1.0).otherwise(0.5)
+    return d.select("*", *[(F.col(n) * weight).alias(f"eff_{n}") for n in PROB_SOURCES[:2]])
 
 
 @kept
 def scale_results(s):
     d = scaling_inputs(s)
-    g = bl.with_grid(d, bl.grid_of(CONFIGS)).withColumn("sc", bl.scale_expr())
+    g = bl.with_grid(bl.with_sources(d, PROB_SOURCES), bl.grid_of(CONFIGS)).withColumn("sc", bl.scale_expr())
     g = g.withColumn("predicted", F.col("base_pred") * F.col("sc"))
-    m = g.groupBy("config_id", "strategy").agg(F.avg("sc").alias("mean_scale"), F.min("sc").alias("min_scale"), F.max("sc").alias("max_scale"), *mt.basic(), *mt.spike_columns())
-    return bl.accept(m, base_metrics(d), {"non_spike_rmse": 1.01, "rmse": 1.01})
+    m = g.groupBy("prob_source", "config_id", "strategy").agg(F.avg("sc").alias("mean_scale"), F.min("sc").alias("min_scale"), F.max("sc").alias("max_scale"), *mt.basic(), *mt.spike_columns())
+    base = base_metrics(d)
+    m = m.select("*", *[(F.round(n, 6) < F.round(base[n], 6)).cast("int").alias(f"improves_{o}") for n, o in (("rmse", "rmse"), ("top10_rmse", "top10"))])
+    return bl.accept(m, base, {"non_spike_rmse": 1.01, "rmse": 1.01})
 
 
 @query("scaling_grid_search", SCALE_OUT, sql("scales_ok", "SELECT * FROM scales_ok"))
@@ -451,7 +475,27 @@ def scaling_grid_search(s):
     return scale_results(s)
 
 
-PICKS = {"best": "ROUND(rmse, 6), config_id", "conservative": "ROUND(ABS(mean_scale - 1), 9), ROUND(rmse, 6), config_id", "aggressive": "ROUND(top10_rmse, 6), top10_under, config_id"}
+LAST = "prob_source, config_id"  # ties
+PICKS = {
+    "best": f"ROUND(rmse, 6), ROUND(top10_rmse, 6), top10_under, ROUND(mae, 6), {LAST}",
+    "conservative": f"ROUND(ABS(mean_scale - 1), 9), ROUND(rmse, 6), ROUND(top10_rmse, 6), ROUND(mae, 6), {LAST}",
+    "aggressive": f"ROUND(top10_rmse, 6), top10_under, ROUND(rmse, 6), ROUND(mae, 6), {LAST}",
+}
+
+
+def pick_order(choice):
+    """Ranking keys of a choice; metrics are compared to six places, so that ties are ties in every engine."""
+    rmse, top10, mae, ties = F.round("rmse", 6), F.round("top10_rmse", 6), F.round("mae", 6), [F.col("prob_source"), F.col("config_id")]
+    keys = {
+        "best": [rmse, top10, F.col("top10_under"), mae],
+        "conservative": [F.round(F.abs(F.col("mean_scale") - 1), 9), rmse, top10, mae],
+        "aggressive": [top10, F.col("top10_under"), rmse, mae],
+    }
+    return [*keys[choice], *ties]
+
+
+def picked(s, choice):
+    return bl.pick(scale_results(s).withColumn("_one", F.lit(1)), ["_one"], pick_order(choice))
 
 
 @query(
@@ -460,30 +504,43 @@ PICKS = {"best": "ROUND(rmse, 6), config_id", "conservative": "ROUND(ABS(mean_sc
     sql("scales_ok", " UNION ALL ".join(f"(SELECT '{n}' AS choice, * FROM scales_ok ORDER BY accepted DESC, {o} LIMIT 1)" for n, o in PICKS.items())),
 )
 def scaling_config_picks(s):
-    r = scale_results(s).withColumn("_one", F.lit(1))
-    orders = {
-        "best": [F.round("rmse", 6), F.col("config_id")],
-        "conservative": [F.round(F.abs(F.col("mean_scale") - 1), 9), F.round("rmse", 6), F.col("config_id")],
-        "aggressive": [F.round("top10_rmse", 6), F.col("top10_under"), F.col("config_id")],
-    }
-    out = [bl.pick(r, ["_one"], o).withColumn("choice", F.lit(n)) for n, o in orders.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return reduce(lambda a, b: a.unionByName(b), [picked(s, n).withColumn("choice", F.lit(n)) for n in PICKS])
+
+
+@query(
+    "scaling_neighbours",
+    "choice:s prob_source:s config_id:i strategy:s mean_scale:6 rmse:2 top10_rmse:2 mae:2",
+    sql(
+        "scales_ok",
+        "SELECT choice, p.* EXCLUDE (i) FROM placed p, (SELECT MIN(i) AS i FROM placed, best b WHERE ABS(placed.mean_scale - b.mean_scale) <= 1e-8 + 1e-5 * ABS(b.mean_scale) AND ABS(placed.rmse - b.rmse) <= 1e-8 + 1e-5 * ABS(b.rmse)) m, "
+        "(SELECT COUNT(*) AS n FROM placed) c, (VALUES ('lower', -1), ('best', 0), ('higher', 1)) v(choice, step) WHERE p.i = GREATEST(1, LEAST(c.n, m.i + step))",
+        best=f"SELECT * FROM scales_ok ORDER BY accepted DESC, {PICKS['best']} LIMIT 1",
+        family="SELECT s.* FROM scales_ok s JOIN best b ON s.strategy = b.strategy AND s.prob_source = b.prob_source",
+        placed="SELECT *, ROW_NUMBER() OVER (ORDER BY ROUND(mean_scale, 9), ROUND(rmse, 6), ROUND(top10_rmse, 6), config_id) AS i FROM family",
+    ),
+)
+def scaling_neighbours(s):
+    """The winner and the next milder and stronger configurations of its strategy and source."""
+    order = [F.round("mean_scale", 9), F.round("rmse", 6), F.round("top10_rmse", 6), F.col("config_id")]
+    return bl.family_neighbours(scale_results(s), picked(s, "best"), ["strategy", "prob_source"], order, ["mean_scale", "rmse"])
 
 
 @query(
     "scaled_forecast",
-    "date:d config_id:i scale:6 revenue:3 cogs:3",
+    "date:d prob_source:s config_id:i scale:6 revenue:3 cogs:3",
     sql(
-        "scales_ok sctx",
-        f"SELECT date, config_id, {SCALE_SQL} AS scale, GREATEST(0, base_pred * {SCALE_SQL}) AS revenue, GREATEST(0, base_pred * 0.89::DOUBLE * {SCALE_SQL}) AS cogs FROM sctx, {CONFIGS_SQL} WHERE config_id = (SELECT config_id FROM scales_ok ORDER BY accepted DESC, ROUND(rmse, 6), config_id LIMIT 1)",
+        "scales_ok ssrc",
+        f"SELECT date, prob_source, config_id, {SCALE_SQL} AS scale, GREATEST(0, base_pred * {SCALE_SQL}) AS revenue, GREATEST(0, base_pred * 0.89::DOUBLE * {SCALE_SQL}) AS cogs FROM ssrc, {CONFIGS_SQL} WHERE (prob_source, config_id) = (SELECT (prob_source, config_id) FROM scales_ok ORDER BY accepted DESC, {PICKS['best']} LIMIT 1)",
     ),
 )
 def scaled_forecast(s):
     """The chosen configuration applied to the forecast; revenue and COGS scale together."""
-    best = bl.pick(scale_results(s).withColumn("_one", F.lit(1)), ["_one"], [F.round("rmse", 6), F.col("config_id")]).select("config_id").scalar()
-    chosen = F.filter(bl.grid_of(CONFIGS), lambda c: c["config_id"] == F.col("_best"))
-    g = bl.with_grid(scaling_inputs(s).withColumn("_best", best), chosen).withColumn("scale", bl.scale_expr())
-    return g.select("date", "config_id", "scale", fx.clip(F.col("base_pred") * F.col("scale"), lo=0).alias("revenue"), fx.clip(F.col("base_pred") * 0.89 * F.col("scale"), lo=0).alias("cogs"))
+    best = picked(s, "best").select(F.struct("prob_source", "config_id")).scalar()
+    d = scaling_inputs(s).withColumn("_best", best)
+    one = bl.with_sources(d, PROB_SOURCES).where(F.col("prob_source") == F.col("_best.prob_source"))
+    chosen = F.filter(bl.grid_of(CONFIGS), lambda c: c["config_id"] == F.col("_best.config_id"))
+    g = bl.with_grid(one, chosen).withColumn("scale", bl.scale_expr())
+    return g.select("date", "prob_source", "config_id", "scale", fx.clip(F.col("base_pred") * F.col("scale"), lo=0).alias("revenue"), fx.clip(F.col("base_pred") * 0.89 * F.col("scale"), lo=0).alias("cogs"))
 
 
 META_CLIPS = [{"clip_name": n, "clip_lo": a, "clip_hi": b} for n, a, b in (("tight", 0.97, 1.12), ("medium", 0.95, 1.15), ("wide", 0.93, 1.18), ("conservative", 0.98, 1.10))]
@@ -592,20 +649,29 @@ def anchored(s):
     return bl.with_anchor_levels(s.components().withColumn("anchor", F.col("level")), "anchor", ["series_id"])
 
 
+cte(
+    "diagnostics",
+    "anchored",
+    """SELECT *, exclusion_reasons = '' AS passes FROM (SELECT *, RTRIM(CASE WHEN ABS(mean_ratio - 1) > 0.08 THEN 'mean_shift_gt_8pct;' ELSE '' END || CASE WHEN max_ratio NOT BETWEEN 0.75 AND 1.25 THEN 'max_ratio_outside_0.75_1.25;' ELSE '' END
+         || CASE WHEN top10_ratio NOT BETWEEN 0.75 AND 1.25 THEN 'top10_spike_ratio_extreme;' ELSE '' END, ';') AS exclusion_reasons
+       FROM (SELECT model, AVG(x) AS mean_revenue, STDDEV_SAMP(x) AS std_revenue, MAX(x) AS max_revenue, MIN(x) AS min_revenue, AVG(x) / AVG(anchor) AS mean_ratio, MAX(x) / MAX(anchor) AS max_ratio,
+         AVG(x) FILTER (anchor >= anchor_p90) / AVG(anchor) FILTER (anchor >= anchor_p90) AS top10_ratio, AVG(x) FILTER (anchor <= anchor_p50) / AVG(anchor) FILTER (anchor <= anchor_p50) AS bottom50_ratio, CORR(x, anchor) AS corr_to_anchor,
+         COUNT(*) FILTER (ABS(x / anchor - 1) > 0.05) AS days_gt_5pct, COUNT(*) FILTER (ABS(x / anchor - 1) > 0.10) AS days_gt_10pct
+         FROM (""" + " UNION ALL ".join(f"SELECT *, '{m}' AS model, {m} AS x FROM anchored" for m in MODELS[:3]) + ") GROUP BY model))",
+)
+
+
 @query(
     "candidate_diagnostics",
     "model:s mean_revenue:3 std_revenue:2 max_revenue:2 min_revenue:2 mean_ratio:6 max_ratio:6 top10_ratio:6 bottom50_ratio:6 corr_to_anchor:6 days_gt_5pct:i days_gt_10pct:i exclusion_reasons:s passes:b",
-    sql(
-        "anchored",
-        """SELECT *, exclusion_reasons = '' AS passes FROM (SELECT *, RTRIM(CASE WHEN ABS(mean_ratio - 1) > 0.08 THEN 'mean_shift_gt_8pct;' ELSE '' END || CASE WHEN max_ratio NOT BETWEEN 0.75 AND 1.25 THEN 'max_ratio_outside_0.75_1.25;' ELSE '' END
-             || CASE WHEN top10_ratio NOT BETWEEN 0.75 AND 1.25 THEN 'top10_spike_ratio_extreme;' ELSE '' END, ';') AS exclusion_reasons
-           FROM (SELECT model, AVG(x) AS mean_revenue, STDDEV_SAMP(x) AS std_revenue, MAX(x) AS max_revenue, MIN(x) AS min_revenue, AVG(x) / AVG(anchor) AS mean_ratio, MAX(x) / MAX(anchor) AS max_ratio,
-             AVG(x) FILTER (anchor >= anchor_p90) / AVG(anchor) FILTER (anchor >= anchor_p90) AS top10_ratio, AVG(x) FILTER (anchor <= anchor_p50) / AVG(anchor) FILTER (anchor <= anchor_p50) AS bottom50_ratio, CORR(x, anchor) AS corr_to_anchor,
-             COUNT(*) FILTER (ABS(x / anchor - 1) > 0.05) AS days_gt_5pct, COUNT(*) FILTER (ABS(x / anchor - 1) > 0.10) AS days_gt_10pct
-             FROM (""" + " UNION ALL ".join(f"SELECT *, '{m}' AS model, {m} AS x FROM anchored" for m in MODELS[:3]) + ") GROUP BY model))",
-    ),
+    sql("diagnostics", "SELECT * FROM diagnostics"),
 )
 def candidate_diagnostics(s):
+    return candidate_diagnostics_of(s)
+
+
+@kept
+def candidate_diagnostics_of(s):
     d = anchored(s)
     long = mt.predictions_long(d.select("series_id", "date", "anchor", "anchor_p50", "anchor_p90", *MODELS[:3]), MODELS[:3])
     return bl.candidate_diagnostics(long, ["model"])
@@ -638,6 +704,53 @@ def blend_risk_table(s):
     return bl.risk_table(catalog(s), ["blend_id", "scale"])
 
 
+CANDIDATES = MODELS[:3]
+# Weights of the named blends; one that names a forecast that is absent is left out.
+NAMED = {
+    "tiny_A": {"anchor": 0.90, "recent": 0.05, "weekday": 0.05},
+    "tiny_B": {"anchor": 0.90, "last_year": 0.05, "stock_cautious": 0.05},
+    "tiny_C": {"anchor": 0.85, "last_year": 0.10, "weekday": 0.05},
+    "tiny_E": {"anchor": 0.80, "last_year": 0.10, "recent": 0.05, "weekday": 0.05},
+}
+SCALES = [0.990, 0.995, 1.000, 1.005, 1.010]
+NAMED_SQL = ", ".join(f"('{n}', '{'three_way' if len(w) == 3 else 'four_way'}', " + ", ".join(str(w.get(m, 0.0)) for m in ("anchor", *CANDIDATES)) + ")" for n, w in NAMED.items() if set(w) <= {"anchor", *CANDIDATES})
+cte(
+    "tested_catalog",
+    "anchored diagnostics",
+    """SELECT *, GREATEST(0, (w_anchor * anchor + w_last_year * last_year + w_recent * recent + w_weekday * weekday) * scale) AS predicted FROM anchored, (
+         SELECT 'two_way__' || model || '__' || CAST(a AS VARCHAR) || '_' || CAST(100 - a AS VARCHAR) AS blend_id, 'two_way' AS mode, a / 100.0::DOUBLE AS w_anchor, """
+    + ", ".join(f"CASE WHEN model = '{m}' THEN (100 - a) / 100.0::DOUBLE ELSE 0::DOUBLE END AS w_{m}" for m in CANDIDATES)
+    + f""" FROM diagnostics, (VALUES (95), (90), (85)) v(a) WHERE passes
+         UNION ALL SELECT name, mode, a::DOUBLE, b::DOUBLE, c::DOUBLE, d::DOUBLE FROM (VALUES {NAMED_SQL}) n(name, mode, a, b, c, d)) blends, (SELECT UNNEST({SCALES}::DOUBLE[]) AS scale)""",
+)
+cte("tested_changes", "tested_catalog", "SELECT *, CASE WHEN ABS(anchor) > 1e-9 THEN (predicted - anchor) / anchor ELSE 0 END AS c, w_anchor AS anchor_weight FROM tested_catalog")
+
+
+@query(
+    "tested_blend_catalogue",
+    "blend_id:s mode:s scale:3 anchor_weight:3 mean_shift:8 std_shift:8 max_shift:8 days_gt_5pct:i days_gt_10pct:i risk_score:5 position:i",
+    sql(
+        "tested_changes",
+        """SELECT *, ROW_NUMBER() OVER (ORDER BY ROUND(risk_score, 6), blend_id, scale) AS position FROM (
+           SELECT *, 900 * GREATEST(0, mean_shift - 0.02) + 250 * GREATEST(0, std_shift - 0.025) + 140 * GREATEST(0, max_shift - 0.08) + 0.35 * days_gt_5pct + 1.10 * days_gt_10pct + 320 * GREATEST(0, -top10_change - 0.01)
+             + 220 * GREATEST(0, bottom50_change - 0.01) + 100 * GREATEST(0, b_abs - 0.03) + 90 * GREATEST(0, t_abs - 0.05) + 120 * GREATEST(0, 0.85 - anchor_weight) AS risk_score
+           FROM (SELECT blend_id, mode, scale, anchor_weight, ABS(AVG(predicted) / AVG(anchor) - 1) AS mean_shift, STDDEV_POP(c) AS std_shift, MAX(ABS(c)) AS max_shift, COUNT(*) FILTER (ABS(c) > 0.05) AS days_gt_5pct,
+             COUNT(*) FILTER (ABS(c) > 0.10) AS days_gt_10pct, AVG(c) FILTER (anchor >= anchor_p90) AS top10_change, AVG(c) FILTER (anchor <= anchor_p50) AS bottom50_change, AVG(ABS(c)) FILTER (anchor >= anchor_p90) AS t_abs,
+             AVG(ABS(c)) FILTER (anchor <= anchor_p50) AS b_abs FROM tested_changes GROUP BY ALL))""",
+    ),
+)
+def tested_blend_catalogue(s):
+    """Two-way blends of the candidates that pass their diagnostics, and the named blends, ranked by risk."""
+    from pyspark.sql import Window
+
+    known = candidate_diagnostics_of(s).agg(F.struct(F.sort_array(F.collect_set(F.when(F.col("passes"), F.col("model")))).alias("safe"), F.collect_set("model").alias("present"))).scalar()
+    d = anchored(s).withColumn("_known", known)
+    g = bl.with_grid(d, bl.tested_catalog(F.col("_known.safe"), F.col("_known.present"), "anchor", NAMED, SCALES))
+    mix = bl.total([F.coalesce(F.col("weights")[m], F.lit(0.0)) * F.col(m) for m in ("anchor", *CANDIDATES)])
+    r = bl.risk_table(g.withColumn("predicted", fx.clip(mix * F.col("scale"), lo=0)), ["blend_id", "mode", "scale"])
+    return r.withColumn("position", F.row_number().over(Window.orderBy(F.round("risk_score", 6), "blend_id", "scale")))
+
+
 @query(
     "blend_shift_metrics",
     "blend_id:s scale:3 mean_shift_pct:6 std_shift_pct:6 max_abs_dev_pct:6 pct_days_gt_2:6 pct_days_gt_5:6 top10_change_pct:6 bottom50_change_pct:6 top10_bias_penalty:8 safe_zone:b",

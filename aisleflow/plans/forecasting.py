@@ -507,14 +507,33 @@ def median_imputed_features(s):
 SEGMENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
 
 
+cte("fitted", "facts", f"SELECT segment, ROW_NUMBER() OVER (ORDER BY segment) - 1 AS i FROM (SELECT DISTINCT segment FROM facts WHERE date <= {CUT} AND segment IS NOT NULL)")
+
+
 @query(
     "one_hot_segments",
-    "product_id:i " + " ".join(f"segment_{v}:i" for v in SEGMENTS),
-    sql("", "SELECT p_partkey AS product_id, " + ", ".join(f"CAST(p_type = '{v}' AS INT) AS segment_{v}" for v in SEGMENTS) + " FROM part"),
+    "product_id:i " + " ".join(f"segment_{v}:i" for v in [*SEGMENTS, "other"]),
+    sql("", "SELECT p_partkey AS product_id, " + ", ".join(f"CAST(p_type = '{v}' AS INT) AS segment_{v}" for v in SEGMENTS) + f", CAST(p_type NOT IN ({', '.join(repr(v) for v in SEGMENTS)}) AS INT) AS segment_other FROM part"),
 )
 def one_hot_segments(s):
-    """Training template of five segments; the sixth one is unseen and gets all zeros."""
-    return fx.one_hot(s.products().select("product_id", "segment"), "segment", SEGMENTS)
+    """A given template of five segments; any other segment goes to the last column."""
+    return fx.one_hot(s.products().select("product_id", "segment"), "segment", SEGMENTS, other="other")
+
+
+@query(
+    "one_hot_fitted",
+    "product_id:i segment_code:i width:i segment_onehot:s",
+    sql(
+        "fitted",
+        """SELECT p_partkey AS product_id, code AS segment_code, n + 1 AS width, array_to_string(list_transform(range(0, n + 1), lambda i: CAST(i = code AS INT)), ',') AS segment_onehot
+           FROM (SELECT p_partkey, COALESCE(i, n) AS code, n FROM part LEFT JOIN fitted ON p_type = segment, (SELECT COUNT(*) AS n FROM fitted))""",
+    ),
+)
+def one_hot_fitted(s):
+    """Segments of the products sold in training; a segment first sold later is other."""
+    train = until_cut(s.lines()).select("product_id").distinct().join(s.products().select("product_id", "segment"), "product_id")
+    out = fx.one_hot_codes(s.products().select("product_id", "segment"), "segment", fx.fit_categories(train, "segment"))
+    return out.select("product_id", "segment_code", F.size("segment_onehot").alias("width"), F.array_join("segment_onehot", ",").alias("segment_onehot"))
 
 
 @query(
