@@ -181,11 +181,29 @@ WITH t AS (
   UNION ALL SELECT doc_id, NULL, flatten(list(w ORDER BY line)) FROM l GROUP BY doc_id HAVING count(*) FILTER (len(w) > 0) > 1
 ), g AS (
   SELECT doc_id, line, n, gram, count(*) AS here FROM (
-    SELECT doc_id, line, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM u WHERE len(w) BETWEEN 2 AND 100) GROUP BY ALL
+    SELECT doc_id, line, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM u WHERE len(w) >= 2) GROUP BY ALL
 ), r AS (
   SELECT doc_id, line, licence, version, 2 * sum(least(here, times))::DOUBLE / (n + size) AS score FROM g JOIN tg USING (gram) GROUP BY doc_id, line, n, licence, version, size
+), word AS (
+  SELECT doc_id, line, x, row_number() OVER (PARTITION BY doc_id ORDER BY line, j) AS p FROM (SELECT doc_id, line, unnest(w) AS x, unnest(range(len(w))) AS j FROM l)
+), pair AS (
+  SELECT a.doc_id, a.line, a.p, a.x || ' ' || b.x AS gram FROM word a JOIN word b ON a.doc_id = b.doc_id AND b.p = a.p + 1
+), hit AS (
+  SELECT doc_id, line, p, licence, version, size, gram, times FROM pair JOIN tg USING (gram)
+), enough AS (
+  SELECT doc_id, licence, version FROM (SELECT doc_id, licence, version, size, least(count(*), times) AS c FROM hit GROUP BY doc_id, licence, version, size, gram, times)
+  GROUP BY doc_id, licence, version, size HAVING sum(c) >= 0.85::DOUBLE * size
+), inside AS (
+  SELECT a.doc_id, a.line, a.p, a.licence, a.version, a.size, b.gram, least(count(*), b.times) AS c
+  FROM hit a JOIN enough USING (doc_id, licence, version) JOIN hit b ON a.doc_id = b.doc_id AND a.licence = b.licence AND a.version = b.version AND b.p >= a.p AND b.p < a.p + a.size
+  GROUP BY a.doc_id, a.line, a.p, a.licence, a.version, a.size, b.gram, b.times
+), win AS (
+  SELECT doc_id, line, licence, common::DOUBLE / size AS score FROM (SELECT doc_id, line, p, licence, version, size, sum(c) AS common FROM inside GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, licence, version ORDER BY common DESC, p) = 1
 ), p AS (
-  SELECT doc_id, line, licence, max(score) AS score FROM r WHERE score >= 0.85::DOUBLE GROUP BY ALL
+  SELECT doc_id, line, licence, max(score) AS score FROM (
+    SELECT doc_id, line, licence, score FROM r UNION ALL SELECT doc_id, line, licence, score FROM win WHERE (doc_id, licence) NOT IN (SELECT (doc_id, licence) FROM r WHERE score >= 0.85::DOUBLE)
+  ) WHERE score >= 0.85::DOUBLE GROUP BY ALL
 ), b AS (
   SELECT doc_id, arg_min(licence, k) AS licence, arg_min(score, k) AS score, arg_min(CASE WHEN line IS NULL THEN NULL ELSE line END, k) AS line, count(DISTINCT coalesce(line, -1)) AS n_lines
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence, line NULLS LAST) AS k FROM p) GROUP BY doc_id

@@ -249,6 +249,64 @@ def test_licences_by_hand(spark, odd):
     assert licences.scan(docs, t.limit(0)).where("licence is not null").count() == 0
 
 
+def test_licence_windows(spark):
+    """Notices over several lines, within a line, and paragraphs of full texts, by brute force over all windows."""
+    t = licences.templates(spark)
+    grant = licences.TEMPLATES["MIT"][-1]
+    wrapped = "\n * ".join(" ".join(grant.split()[i : i + 9]) for i in range(0, len(grant.split()), 9))
+    words = [f"w{i}" for i in range(60)]
+    prose, gpl = " ".join(words), licences.TEMPLATES["GPL-3.0"][1].split()
+    docs = {
+        1: f"{prose}\n/*\n * {wrapped}\n */\n{prose}",
+        2: f"{prose} Released under the MIT License. {prose}",
+        3: f"{prose}\nThis work is licensed under the GNU\nGeneral Public License, version 3. {prose}",
+        4: prose + "\n" + " ".join(x if i % 25 else "changed" for i, x in enumerate(gpl)) + " " + prose,
+        5: "Released under a license. " * 30 + "the MIT License. " * 400,
+        6: f"{prose} Released under the MIT", 7: "the " * 3000 + "Licensed under CC BY 4.0 " * 50, 8: prose,
+    }
+    from collections import Counter
+
+    def brute(text):
+        units = [(i, licences_words(x)) for i, x in enumerate(text.split("\n"))]
+        flat = [(i, w) for i, ws in units for w in ws]
+        every = [(i, ws) for i, ws in units if len(ws) > 1]
+        if sum(bool(ws) for _, ws in units) > 1:
+            every.append((None, [w for _, w in flat]))
+        out = {}
+        for name, versions in licences.TEMPLATES.items():
+            marks = [Counter(zip(m, m[1:])) for m in map(licences_words, versions)]
+            cells = []
+            for m in marks:
+                for at, ws in every:
+                    n = len(ws) - 1
+                    cells.append((2 * sum((Counter(zip(ws, ws[1:])) & m).values()) / (n + m.total()), at))
+            hit = {(s, at) for s, at in cells if s >= 0.85}
+            if not hit:
+                pairs = [(a[1], b[1]) for a, b in zip(flat, flat[1:])]
+                for m in marks:
+                    k = m.total()
+                    s, p = max(((sum((Counter(pairs[p : p + k]) & m).values()) / k, -p) for p in range(len(pairs)) if pairs[p] in m), default=(0, 0))
+                    hit |= {(s, flat[-p][0])} if s >= 0.85 else set()
+            for s, at in hit:
+                out[name, at] = max(s, out.get((name, at), 0))
+        if not out:
+            return None, None, None, 0
+        name, at = min(out, key=lambda k: (-out[k], k[0], k[1] is None, k[1]))
+        return name, out[name, at], at, len({k[1] for k in out})
+
+    def licences_words(x):
+        return re.findall("[a-z0-9]+", x.translate(str.maketrans(licences.UPPER, licences.LOWER)))
+
+    rows = spark.createDataFrame(list(docs.items()) + [(2, docs[2])], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in licences.scan(rows, t).collect()}
+    want = {k: brute(v) for k, v in docs.items()}
+    assert {k: v[:1] + v[2:] for k, v in got.items()} == {k: v[:1] + v[2:] for k, v in want.items()}
+    assert all(v[1] is None or abs(v[1] - want[k][1]) < 1e-12 for k, v in got.items())
+    assert [want[k][0] for k in (1, 2, 3, 4, 6, 8)] == ["MIT", "MIT", "GPL-3.0", "GPL-3.0", None, None]
+    more = licences.scan(rows, t, threshold=0.7).where("doc_id = 6").first()
+    assert more["licence"] == "MIT"
+
+
 def test_co_training_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     seen, unseen = labels.where("pmod(hash(doc_id), 2) = 0"), labels.where("pmod(hash(doc_id), 2) = 1")
